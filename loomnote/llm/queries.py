@@ -21,6 +21,20 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@_query
+def op1_source_mixing(spark, sf_dir):
+    from loomnote.llm.mixing import mix
+
+    return mix(documents(spark, sf_dir), weights=(5, 2, 1), share=1.5, cap=2.0).select("doc_id", "size", "source_size", "target", "copies", "taken")
+
+
+@_query
+def op4_winnowing(spark, sf_dir):
+    from loomnote.llm.winnowing import compare_edited
+
+    return compare_edited(documents(spark, sf_dir), k=5, w=8)
+
+
 @_query
 def op7_best_fit_packing(spark, sf_dir):
     from loomnote.llm.packing import pack
