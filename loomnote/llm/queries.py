@@ -35,6 +35,22 @@ def op4_winnowing(spark, sf_dir):
     return compare_edited(documents(spark, sf_dir), k=5, w=8)
 
 
+def toxicity_chain(spark, docs, sf_dir):
+    """The chain fitted on ``labels``: poor quality first, then toxicity."""
+    from loomnote.llm.toxicity import train
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").selectExpr("doc_id", "1 - quality AS low_quality", "toxic")
+    return train(docs, labels, ("low_quality", "toxic"))
+
+
+@_query
+def op6_classifier_chain(spark, sf_dir):
+    from loomnote.llm.toxicity import score
+
+    docs = documents(spark, sf_dir)
+    return score(docs, toxicity_chain(spark, docs, sf_dir)).selectExpr("doc_id", "p_low_quality", "p_toxic", "p_toxic >= 0.5 AS is_toxic")
+
+
 @_query
 def op7_best_fit_packing(spark, sf_dir):
     from loomnote.llm.packing import pack
