@@ -28,6 +28,13 @@ def op1_source_mixing(spark, sf_dir):
     return mix(documents(spark, sf_dir), weights=(5, 2, 1), share=1.5, cap=2.0).select("doc_id", "size", "source_size", "target", "copies", "taken")
 
 
+@_query
+def op3_matroska(spark, sf_dir):
+    from loomnote.llm.matroska import text_media
+
+    return text_media(documents(spark, sf_dir))
+
+
 @_query
 def op4_winnowing(spark, sf_dir):
     from loomnote.llm.winnowing import compare_edited
