@@ -65,6 +65,13 @@ def op7_best_fit_packing(spark, sf_dir):
     return pack(documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"), size=1024, end_id=0)
 
 
+@_query
+def op9_license_scan(spark, sf_dir):
+    from loomnote.llm.licenses import scan
+
+    return scan(documents(spark, sf_dir))
+
+
 @_query
 def op10_token_counts(spark, sf_dir):
     from loomnote.llm.token_counts import token_counts
