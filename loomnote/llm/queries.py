@@ -28,6 +28,13 @@ def op1_source_mixing(spark, sf_dir):
     return mix(documents(spark, sf_dir), weights=(5, 2, 1), share=1.5, cap=2.0).select("doc_id", "size", "source_size", "target", "copies", "taken")
 
 
+@_query
+def op2_chosen_path_dedup(spark, sf_dir):
+    from loomnote.llm.chosen_path import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir), k=2, least=80).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @_query
 def op3_matroska(spark, sf_dir):
     from loomnote.llm.matroska import text_media
