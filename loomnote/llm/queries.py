@@ -72,6 +72,13 @@ def op7_best_fit_packing(spark, sf_dir):
     return pack(documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"), size=1024, end_id=0)
 
 
+@_query
+def op8_katz_scores(spark, sf_dir):
+    from loomnote.llm.katz import score
+
+    return score(documents(spark, sf_dir))
+
+
 @_query
 def op9_license_scan(spark, sf_dir):
     from loomnote.llm.licenses import scan
