@@ -49,6 +49,13 @@ def op4_winnowing(spark, sf_dir):
     return compare_edited(documents(spark, sf_dir), k=5, w=8)
 
 
+@_query
+def op5_quotation_linking(spark, sf_dir):
+    from loomnote.llm.quotations import link
+
+    return link(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def toxicity_chain(spark, docs, sf_dir):
     """The chain fitted on ``labels``: poor quality first, then toxicity."""
     from loomnote.llm.toxicity import train
