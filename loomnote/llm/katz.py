@@ -12,10 +12,11 @@ Tokens are moved as packed arrays, not as rows:
 1. Blocks of documents are tokenized. A block holds its tokens as numbers of its own dictionary.
 2. Dictionaries, cut by word hash into parts, are merged part by part: words get ids and training counts, which go
    back to the blocks. Counts of counts of words give d'.
-3. Blocks send each bigram, with the documents it occurs in, to the part of its history: a table partitioned by
-   history. The few histories with a large share of all tokens are spread over parts by the word that follows.
-4. One pass over the parts counts bigrams and gives the counts of counts, and the sums for the spread histories. A
-   second pass evaluates every token, bigram first and unigram where it backs off, and sums by document.
+3. Blocks send each bigram, with the documents it occurs in, to the part of its history, where bigrams are counted: a
+   table partitioned by history, with the counts of counts and the sums of the few histories that have a large share
+   of all tokens; those are spread over parts by the word that follows.
+4. A pass over that table, where it lies, evaluates every token, bigram first and unigram where it backs off, and sums
+   by document.
 
 Only counts of counts and the sums of spread histories (at most ``4 * parts``) reach the driver.
 """
@@ -218,7 +219,7 @@ def _merge_dictionaries(entries: DataFrame, parts: int) -> DataFrame:
         rank[np.argsort(-count.astype("i8"), kind="stable")] = np.arange(len(words), dtype="u8")  # frequent words get small ids
         ids = rank * np.uint64(parts) + np.uint64(part)
         if len(ids) and int(ids.max()) >= UNKNOWN:
-            raise OverflowError("ids exceed 32 bits: raise spark.sql.shuffle.partitions less, or split the corpus")
+            raise OverflowError("the vocabulary exceeds 32-bit ids")
         ids = np.where(count > 0, ids, np.uint64(UNKNOWN)).astype("u4")
         count, cuts = count.astype("u8"), np.cumsum([0, *(len(w) for w, _ in held)])
         known = [_pack(ids[place[a:b]], count[place[a:b]]) for a, b in zip(cuts, cuts[1:])]
@@ -234,7 +235,7 @@ def _merge_dictionaries(entries: DataFrame, parts: int) -> DataFrame:
 
 
 def _bigrams(blocks: DataFrame, parts: int, uni: Unigrams, spread: int, kind: str) -> DataFrame:
-    """Blocks (block, ids, train_texts, tokens, known) to rows of two kinds: a block's documents (part -1), and its bigrams of a part."""
+    """Blocks (block, ids, train_texts, tokens, known) to rows of two kinds: a block's documents (part -block), and its bigrams of a part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -255,7 +256,7 @@ def _bigrams(blocks: DataFrame, parts: int, uni: Unigrams, spread: int, kind: st
                 n_known = np.bincount(doc, weights=count > 0, minlength=len(length)).astype("i8")
                 docs = pa.array([length.astype("i8").tolist()], pa.list_(pa.int64())), pa.array([n_known.tolist()], pa.list_(pa.int64())), pa.array([base.tolist()], pa.list_(pa.float64())), pa.array([score.tolist()], pa.list_(pa.float64()))
                 ids_of = pa.array([b.column(1)[row].as_py()], b.schema.field(1).type)
-                yield batch([block], [-1], [train_texts], [None], ids_of, *docs)
+                yield batch([block], [-block], [train_texts], [None], ids_of, *docs)
 
                 here = np.flatnonzero(ch > 0)  # after an unknown history the unigram is all
                 h, w, c, ch, doc = h[here], ids[here], count[here], ch[here], doc[here]
@@ -273,9 +274,9 @@ def _bigrams(blocks: DataFrame, parts: int, uni: Unigrams, spread: int, kind: st
     names = ["block", "part", "train_texts", "bigrams", "ids", "n_tokens", "n_known", "base", "score"]
 
     def batch(block, part, train_texts, bigrams, *rest) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(part, pa.int32()), pa.array(train_texts, pa.int64()), pa.array(bigrams, pa.binary()), *rest], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(part, pa.int64()), pa.array(train_texts, pa.int64()), pa.array(bigrams, pa.binary()), *rest], names=names)
 
-    return blocks.select("block", "ids", "train_texts", "tokens", "known").mapInArrow(run, f"block long, part int, train_texts long, bigrams binary, ids array<{kind}>, n_tokens array<long>, n_known array<long>, base array<double>, score array<double>")
+    return blocks.select("block", "ids", "train_texts", "tokens", "known").mapInArrow(run, f"block long, part long, train_texts long, bigrams binary, ids array<{kind}>, n_tokens array<long>, n_known array<long>, base array<double>, score array<double>")
 
 
 def _pack_bigrams(key, doc, c, ch) -> bytes:
@@ -289,39 +290,93 @@ def _pack_bigrams(key, doc, c, ch) -> bytes:
     return _pack(np.diff(h[first], prepend=h.dtype.type(0)), np.diff(np.r_[first, len(h)]).astype("u4"), ch[new][first], w, c[new], times, doc)
 
 
+def _runs(sorted_) -> tuple:
+    """Where runs of equal values start, and how long they are."""
+    import numpy as np
+
+    first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(sorted_) else np.empty(0, "i8")
+    return first, np.diff(np.r_[first, len(sorted_)]).astype("u4")
+
+
 class _Part:
-    """The bigrams of one part, of all blocks: distinct ones with training counts, and where each occurs."""
+    """The bigrams of one part, of all blocks: distinct ones with training counts, and where each occurs.
+
+    ``key``, ``count``, ``word_count``, ``history_count`` describe distinct bigrams; each block has ``sizes`` of them,
+    at ``place``, ``times`` each, in the documents ``docs``.
+    """
 
-    def __init__(self, table: pa.Table):
+    @classmethod
+    def merged(cls, train_texts: list[int], bigrams: list[bytes]) -> _Part:
         import numpy as np
 
-        self.blocks, train_texts = table.column("block").to_pylist(), table.column("train_texts").to_pylist()
-        keys, counts, histories, times, self.docs, trained = [], [], [], [], [], []
-        for t, data in zip(train_texts, table.column("bigrams").to_pylist()):
+        self = cls()
+        keys, counts, histories, times, docs, trained = [], [], [], [], [], []
+        for t, data in zip(train_texts, bigrams):
             dh, runs, ch, w, c, n, doc = _unpack(data)
             h = np.repeat(np.cumsum(dh, dtype="u4"), runs)
             keys.append(h.astype("u8") << np.uint64(32) | w)
             counts.append(c)
             histories.append(np.repeat(ch, runs))
             times.append(n)
-            self.docs.append(doc)
+            docs.append(doc)
             trained.append(np.add.reduceat((doc < t).astype("i8"), np.cumsum(n, dtype="i8") - n.astype("i8")))
-        self.times, self.sizes = times, [len(k) for k in keys]
-        key = np.concatenate(keys)
-        self.key, first, self.place = np.unique(key, return_index=True, return_inverse=True)
+        self.sizes = np.array([len(k) for k in keys], "u4")
+        self.key, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        self.place, self.times, self.docs = place.astype("u4"), np.concatenate(times), np.concatenate(docs)
         self.word_count, self.history_count = np.concatenate(counts)[first], np.concatenate(histories)[first]
-        self.count = np.bincount(self.place, weights=np.concatenate(trained), minlength=len(self.key)).astype("i8")
+        self.count = np.bincount(place, weights=np.concatenate(trained), minlength=len(self.key)).astype("u8")
+        return self._grouped()
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> _Part:
+        import numpy as np
+
+        self = cls()
+        dh, runs, ch, w, self.word_count, self.count, self.sizes, step, self.times, self.docs = _unpack(data)
+        self.key = np.repeat(np.cumsum(dh, dtype="u4"), runs).astype("u8") << np.uint64(32) | w
+        self.history_count = np.repeat(ch, runs)
+        ends = np.cumsum(self.sizes, dtype="i8")
+        total = np.cumsum(step, dtype="i8")
+        self.place = total - np.repeat(np.r_[0, total[ends[:-1] - 1]], self.sizes)  # steps start anew in each block
+        return self._grouped()
+
+    def packed(self) -> bytes:
+        import numpy as np
+
+        h, w = (self.key >> np.uint64(32)).astype("u4"), (self.key & np.uint64(0xFFFFFFFF)).astype("u4")
+        first, runs = _runs(h)
+        step = np.diff(self.place.astype("i8"), prepend=0)
+        starts = np.cumsum(self.sizes, dtype="i8") - self.sizes
+        step[starts] = self.place[starts]
+        return _pack(np.diff(h[first], prepend=h.dtype.type(0)), runs, self.history_count[first], w, self.word_count, self.count, self.sizes, step.astype("u4"), self.times, self.docs)
+
+    def _grouped(self) -> _Part:
+        import numpy as np
+
         h = self.key >> np.uint64(32)
-        self.first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        self.h = h[self.first]
-        self.group = np.cumsum(np.r_[False, h[1:] != h[:-1]])
+        self.first, runs = _runs(h)
+        self.h, self.group = h[self.first], np.repeat(np.arange(len(self.first)), runs)
+        return self
+
+    def by_block(self, log):
+        """For each block: the documents that occur here, and their sums of ``log`` (a value per distinct bigram)."""
+        import numpy as np
+
+        at = done = 0
+        for n in self.sizes.tolist():
+            times = self.times[at : at + n]
+            doc = self.docs[done : done + int(times.sum())]
+            total = np.bincount(doc, weights=np.repeat(log[self.place[at : at + n]], times))
+            there = np.flatnonzero(np.bincount(doc))
+            yield there, total[there]
+            at, done = at + n, done + len(doc)
 
     def sums(self, uni: Unigrams):
         """For each history: counts held by bigrams of each count 1 to KATZ and above, and P(w) of all words seen after it."""
         import numpy as np
 
         level = np.minimum(self.count, KATZ + 1)
-        held = np.stack([np.bincount(self.group, weights=np.where(level == r, self.count, 0), minlength=len(self.h)) for r in range(1, KATZ + 2)], axis=1)
+        held = np.stack([np.bincount(self.group, weights=np.where(level == r, self.count, 0).astype(float), minlength=len(self.h)) for r in range(1, KATZ + 2)], axis=1)
         seen = np.bincount(self.group, weights=np.where(self.count > 0, 10 ** uni.log(self.word_count), 0.0), minlength=len(self.h))
         return held, seen
 
@@ -343,47 +398,54 @@ def backoff(held, seen, total, d: list[float]):
 # -- 4: counts of counts, then scores ----------------------------------------
 
 
-def _count(parts: DataFrame, uni: Unigrams, spread: int) -> DataFrame:
-    """Per part: counts of counts (h null), and the sums of spread histories."""
+def _counted(rows: DataFrame, uni: Unigrams, spread: int, kind: str) -> DataFrame:
+    """One row per part: its bigrams merged, the blocks they are of, counts of counts, and the sums of spread histories. Rows of documents pass."""
+    hot = pa.list_(pa.struct([("h", pa.int64()), ("total", pa.int64()), ("held", pa.list_(pa.float64())), ("seen", pa.float64())]))
+    names = ["part", "blocks", "bigrams", "low", "hot", "train_texts", "ids", "n_tokens", "n_known", "base", "score"]
 
     def run(table: pa.Table) -> pa.Table:
-        part = _Part(table)
+        blocks, train_texts = table.column("block").to_pylist(), table.column("train_texts").to_pylist()
+        documents = [table.column(c) for c in names[6:]]
+        if table.column("part")[0].as_py() < 0:
+            return pa.table([table.column("part"), pa.array([[x] for x in blocks], pa.list_(pa.int64())), table.column("bigrams"), pa.array([None], pa.list_(pa.float64())), pa.array([None], hot), table.column("train_texts"), *documents], names=names)
+        part = _Part.merged(train_texts, table.column("bigrams").to_pylist())
         low = [float((part.count == r).sum()) for r in range(1, KATZ + 2)]
-        rows = [(None, 0, low, 0.0)]
-        hot = part.history_count[part.first] >= spread
-        if hot.any():
+        sums = []
+        large = part.history_count[part.first] >= spread
+        if large.any():
             held, seen = part.sums(uni)
-            rows += [(int(part.h[i]), int(part.history_count[part.first[i]]), held[i].tolist(), float(seen[i])) for i in hot.nonzero()[0]]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.float64()))], names=["h", "total", "held", "seen"])
+            sums = [{"h": int(part.h[i]), "total": int(part.history_count[part.first[i]]), "held": held[i].tolist(), "seen": float(seen[i])} for i in large.nonzero()[0]]
+        cols = [table.column("part")[:1], pa.array([blocks], pa.list_(pa.int64())), pa.array([part.packed()], pa.binary()), pa.array([low], pa.list_(pa.float64())), pa.array([sums], hot), pa.array([None], pa.int64()), *(pa.array([None], c.type) for c in documents)]
+        return pa.table(cols, names=names)
 
-    return parts.groupBy("part").applyInArrow(run, "h long, total long, held array<double>, seen double")
+    return rows.groupBy("part").applyInArrow(
+        run,
+        "part long, blocks array<long>, bigrams binary, low array<double>, hot array<struct<h long, total long, held array<double>, seen double>>, "
+        f"train_texts long, ids array<{kind}>, n_tokens array<long>, n_known array<long>, base array<double>, score array<double>",
+    )
 
 
 def _scores(parts: DataFrame, uni: Unigrams, d: list[float], hot: dict[int, tuple[float, float]]) -> DataFrame:
-    """Per part and block: the documents' sums of log10 P(w | h) over the part's tokens."""
+    """Per part and block: the documents' sums of log10 P(w | h) over the part's tokens. The parts are read where they lie."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        part = _Part(table)
-        held, seen = part.sums(uni)
-        alpha, factor = backoff(held, seen, part.history_count[part.first], d)
-        for i, h in enumerate(part.h.tolist()):
-            if h in hot:
-                alpha[i], factor[i] = hot[h]
-        with np.errstate(divide="ignore"):
-            direct = np.log10(_discounted(part.count, d) * factor[part.group] / part.history_count)
-        log = np.where(part.count > 0, direct, alpha[part.group] + uni.log(part.word_count))
-        out, at = [], 0
-        for n, times, doc in zip(part.sizes, part.times, part.docs):
-            each = np.repeat(log[part.place[at : at + n]], times)
-            total = np.bincount(doc, weights=each)
-            there = np.flatnonzero(np.bincount(doc))
-            out.append(_pack(there.astype("u2"), total[there].view("u8")))
-            at += n
-        return pa.table([pa.array(part.blocks, pa.int64()), pa.array(out, pa.binary())], names=["block", "sums"])
+        for b in batches:
+            for row in range(b.num_rows):
+                part = _Part.unpacked(b.column(1)[row].as_py())
+                held, seen = part.sums(uni)
+                alpha, factor = backoff(held, seen, part.history_count[part.first], d)
+                for i, h in enumerate(part.h.tolist()):
+                    if h in hot:
+                        alpha[i], factor[i] = hot[h]
+                with np.errstate(divide="ignore"):
+                    direct = np.log10(_discounted(part.count, d) * factor[part.group] / part.history_count)
+                log = np.where(part.count > 0, direct, alpha[part.group] + uni.log(part.word_count))
+                out = [_pack(there.astype("u2"), sums.view("u8")) for there, sums in part.by_block(log)]
+                yield pa.RecordBatch.from_arrays([pa.array(b.column(0)[row].as_py(), pa.int64()), pa.array(out, pa.binary())], names=["block", "sums"])
 
-    return parts.groupBy("part").applyInArrow(run, "block long, sums binary")
+    return parts.select("blocks", "bigrams").mapInArrow(run, "block long, sums binary")
 
 
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", spread: int = SPREAD) -> DataFrame:
@@ -406,15 +468,14 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", spread:
     spread = max(spread, uni.tokens // (4 * parts))
 
     of_block = known.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("part", "known")).alias("known"))  # a block's own dictionary
-    table = staged(_bigrams(blocks.join(of_block, "block"), parts, uni, spread, kind), "bigrams", "part")
-    by_part = table.where("part >= 0").select("part", "block", "train_texts", "bigrams")
+    table = staged(_counted(_bigrams(blocks.join(of_block, "block"), parts, uni, spread, kind), uni, spread, kind), "bigrams")
+    by_part = table.where("part >= 0")
     low, hot = [0.0] * (KATZ + 1), {}
-    for r in _count(by_part, uni, spread).collect():  # a row per part and per share of a spread history
-        if r.h is None:
-            low = [a + b for a, b in zip(low, r.held)]
-        else:
-            was = hot.get(r.h, (r.total, [0.0] * (KATZ + 1), 0.0))
-            hot[r.h] = (r.total, [a + b for a, b in zip(was[1], r.held)], was[2] + r.seen)
+    for r in by_part.select("low", "hot").collect():  # a row per part, with its shares of spread histories
+        low = [a + b for a, b in zip(low, r.low)]
+        for x in r.hot:
+            was = hot.get(x.h, (x.total, [0.0] * (KATZ + 1), 0.0))
+            hot[x.h] = (x.total, [a + b for a, b in zip(was[1], x.held)], was[2] + x.seen)
     d = discounts([0, *map(int, low)])
     spread_out = {h: tuple(float(x[0]) for x in backoff([held], [seen], [n], d)) for h, (n, held, seen) in hot.items()}
 
@@ -433,7 +494,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", spread:
         cols = [ids, pa.array([i >= train for i in range(n)]), pa.array(docs["n_tokens"], pa.int64()), pa.array(docs["n_known"], pa.int64()), pa.array([uni.tokens] * n, pa.int64()), pa.array(docs["base"], pa.float64()), pa.array(out)]
         return pa.table(cols, names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    docs = table.where("part = -1").select("block", "train_texts", "ids", "n_tokens", "n_known", "base", "score", F.lit(None).cast("binary").alias("sums"))
+    docs = table.where("part < 0").select(F.col("blocks")[0].alias("block"), "train_texts", "ids", "n_tokens", "n_known", "base", "score", F.lit(None).cast("binary").alias("sums"))
     none = [F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in ("train_texts", "ids", "n_tokens", "n_known", "base", "score")]
     sums = _scores(by_part, uni, d, spread_out).select("block", *none, "sums")
     return docs.unionAll(sums).groupBy("block").applyInArrow(add, f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
