@@ -131,9 +131,11 @@ def _reply_order(turns: DataFrame, most_rounds: int = 64) -> DataFrame:
     )
     walk = tree.select("conv_id", F.explode(steps).alias("s")).select("conv_id", "s.*").checkpoint()
     for _ in range(most_rounds):
-        if walk.where("next is not null").isEmpty():
+        open_ = walk.where("next is not null")  # what has reached its end is looked up, but looks no further
+        if open_.isEmpty():
             break
         then = walk.select("conv_id", F.col("e").alias("next"), F.col("next").alias("after"), F.col("entered").alias("more"), F.col("deep").alias("further"))
-        walk = walk.join(then, ["conv_id", "next"], "left").select("conv_id", "e", F.col("after").alias("next"), (F.col("entered") + F.coalesce("more", F.lit(0))).alias("entered"), (F.col("deep") + F.coalesce("further", F.lit(0))).alias("deep")).checkpoint()
+        moved = open_.join(then, ["conv_id", "next"]).select("conv_id", "e", F.col("after").alias("next"), (F.col("entered") + F.col("more")).alias("entered"), (F.col("deep") + F.col("further")).alias("deep"))
+        walk = walk.where("next is null").select(moved.columns).unionAll(moved).checkpoint()
     total = turns.groupBy("conv_id").agg(F.count("*").alias("n"))
     return walk.where("pmod(e, 2) = 0").join(total, "conv_id").select("conv_id", F.floor(F.col("e") / 2).alias("turn"), (F.col("n") - F.col("entered")).alias("position"), (-F.col("deep")).alias("depth"))
