@@ -6,10 +6,14 @@
    token; below, a node splits its members by ``BRANCHES`` tokens that the node's own path chooses. A pair of
    likeness J follows a branch together with probability J, so at 0.8 it misses all roots with 0.2^8 < 3e-6.
 3. A node of up to ``SMALL`` members is compared exhaustively, by sketches. A larger one is first compared with a few
-   pivots: members much like a pivot are paired with it and go no further (in a group of many near copies that is
-   nearly all), members unlike all go down the tree. Members in between also meet those that went no further, since
-   by the triangle inequality only they can be linked to them. At ``DEPTH`` the rest meets its whole node, in blocks.
-4. Candidate pairs are confirmed on their full sets; confirmed links give connected components.
+   pivots. Members much like a pivot are settled: they are paired with it (in a group of many near copies that is nearly
+   all). Members unlike all pivots go down the tree; by the triangle inequality no settled one can be linked to them.
+   Members in between, and at ``DEPTH`` all that are left, will meet their whole node.
+4. Pairs are confirmed on their full sets, and links give components, in two rounds. The first takes the ``NEIGHBOURS``
+   most alike candidates of each member. The second takes the other candidates that the first has not brought into one
+   component (links inside one would change nothing), and lets members meet their node, a block with a block at a time:
+   first by sketches, to find who has a candidate in another component, then these by full sets. Only links leave.
+   Members whose pivot the first round did not confirm meet their node as well.
 
 Nothing here emits all pairs of a large group, and no node, hub or class is gathered in one task or on the driver.
 """
@@ -20,21 +24,21 @@ import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomnote.llm.common import shared_dir, staged
 from loomnote.llm.components import connected
 
-HASHES, ROOTS, BRANCHES, DEPTH = 64, 8, 2, 5
+HASHES, ROOTS, BRANCHES, DEPTH = 128, 8, 2, 4
 #: Members of a node that is compared exhaustively, pivots of a larger one, members of a block.
-SMALL, PIVOTS, BLOCK = 32, 8, 64
+SMALL, PIVOTS, BLOCK = 64, 8, 128
 #: Classes whose texts are looked for by broadcasting their ids (40 bytes each); more are joined by shuffle.
-BROADCAST_CLASSES = 400_000
+BROADCAST_CLASSES = 200_000
 #: Words whose hash a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
-# Of HASHES equal bytes: a pair is a candidate from ``_candidate`` on (5 standard deviations below the threshold), a
+# Of HASHES equal tokens: a pair is a candidate from ``_candidate`` on (4.6 standard deviations below the threshold), a
 # member is settled by a pivot from ``_settled`` on, and near it from ``_near`` on (a linked settled member away, less 3).
 
 
@@ -42,7 +46,7 @@ def _cuts(least: int) -> tuple[int, int, int]:
     j = least / 100
     sd = (HASHES * j * (1 - j)) ** 0.5
     near = max(0.0, 2 * j - 1)
-    return max(1, int(HASHES * j - 5.3 * sd)), min(HASHES, int(HASHES * j + 1.25 * sd)), max(1, int(HASHES * near - 3 * (HASHES * near * (1 - near)) ** 0.5))
+    return max(1, int(HASHES * j - 4.6 * sd)), min(HASHES, int(HASHES * j + 1.25 * sd)), max(1, int(HASHES * near - 3 * (HASHES * near * (1 - near)) ** 0.5))
 
 
 class _Words(dict):
@@ -98,7 +102,7 @@ def _multipliers():
 
 
 def signature(hashes):
-    """``HASHES`` minwise tokens of a set, as 32-bit integers."""
+    """``HASHES`` minwise tokens of a set, as 64-bit integers."""
     import numpy as np
 
     a, b = _multipliers()
@@ -106,35 +110,50 @@ def signature(hashes):
     with np.errstate(over="ignore"):
         for at in range(0, len(hashes), 4096):  # bounded memory for any length
             least = np.minimum(least, (hashes[at : at + 4096] * a + b).min(axis=1))
-    return (least >> np.uint64(32)).astype("u4")
+    return least
+
+
+def _roots(tokens):
+    """The nodes of a set below the roots: a hash of the tree and its whole token."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        return _mixed(tokens[:ROOTS] + np.arange(1, ROOTS + 1, dtype="u8") * np.uint64(0x9E3779B97F4A7C15)).view("i8")
+
+
+def _sketch(tokens) -> bytes:
+    """16 bits of each token: enough to compare, and to branch on below the roots."""
+    return _mixed(tokens).astype("u2").tobytes()
 
 
 def _hashed(df: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, text_key, n, key, tokens``: set size, class key and minwise tokens (null for empty sets) of each row."""
+    """``id, text_key, n, key, roots, tokens``: set size, class key, first nodes and sketch (null for empty sets) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for b in batches:
-            n, keys, tokens = [], [], []
+            n, keys, roots, tokens = [], [], [], []
             for t in b.column(2).to_pylist():
                 s = shingles(t, k)
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                tokens.append(signature(s).view("i4") if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(tokens, pa.list_(pa.int32()))], names=["id", "text_key", "n", "key", "tokens"])
+                least = signature(s) if len(s) else None
+                roots.append(None if least is None else _roots(least))
+                tokens.append(None if least is None else _sketch(least))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(roots, pa.list_(pa.int64())), pa.array(tokens, pa.binary())], names=["id", "text_key", "n", "key", "roots", "tokens"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    return rows.mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, text_key long, n long, key binary, tokens array<int>")
+    return rows.mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, text_key long, n long, key binary, roots array<long>, tokens binary")
 
 
 def _sketches(column):
-    """The low bytes of each row's tokens, as a matrix."""
+    """Each row's sketch, as a matrix."""
     import numpy as np
 
-    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), HASHES).astype("u1") if len(flat) else np.empty((0, HASHES), "u1")
+    held = b"".join(column.to_pylist())
+    return np.frombuffer(held, "u2").reshape(len(column), HASHES)
 
 
 def _alike_sizes(n, m, least: int):
@@ -144,9 +163,14 @@ def _alike_sizes(n, m, least: int):
     return 100 * np.minimum(n, m) >= least * np.maximum(n, m)
 
 
-def _pairs(a: list, b: list) -> pa.RecordBatch:
-    ordered = [(x, y) if x > y else (y, x) for x, y in zip(a, b)]
-    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in ordered], pa.binary()), pa.array([y for _, y in ordered], pa.binary())], names=["a", "b"])
+PAIRS = "a long, b long, equal int"
+
+
+def _pairs(a, b, equal) -> pa.RecordBatch:
+    import numpy as np
+
+    a, b = np.asarray(a, "i8"), np.asarray(b, "i8")
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(np.asarray(equal, "i4"))], names=["a", "b", "equal"])
 
 
 def _compare_small(rows: DataFrame, least: int) -> DataFrame:
@@ -170,20 +194,20 @@ def _compare_small(rows: DataFrame, least: int) -> DataFrame:
     def compare(batch: pa.RecordBatch, node) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        n, sketch, keys = batch.column(2).to_numpy(), _sketches(batch.column(3)), None
+        keys, n, sketch = batch.column(1).to_numpy(), batch.column(2).to_numpy(), _sketches(batch.column(3))
         step = 1
         while step < len(node):
             same = np.flatnonzero(node[step:] == node[:-step])
             if not len(same):
                 break
             same = same[_alike_sizes(n[same], n[same + step], least)]
-            same = same[(sketch[same] == sketch[same + step]).sum(axis=1) >= candidate]
+            equal = (sketch[same] == sketch[same + step]).sum(axis=1)
+            same, equal = same[equal >= candidate], equal[equal >= candidate]
             if len(same):
-                keys = keys or batch.column(1).to_pylist()
-                yield _pairs([keys[i] for i in same], [keys[i + step] for i in same])
+                yield _pairs(keys[same], keys[same + step], equal)
             step += 1
 
-    return rows.select("node", "key", "n", "tokens").repartition("node").sortWithinPartitions("node").mapInArrow(run, "a binary, b binary")
+    return rows.select("node", "key", "n", "tokens").repartition("node").sortWithinPartitions("node").mapInArrow(run, PAIRS)
 
 
 def _compare_lists(rows: DataFrame, least: int) -> DataFrame:
@@ -213,72 +237,142 @@ def _compare_lists(rows: DataFrame, least: int) -> DataFrame:
                 i = owner[j]
                 if not settled[i]:
                     settled[i] = True
-                    mates[i] = [names[j]]
+                    mates[i] = [{"mate": names[j], "equal": int(equal[j])}]
             for j in np.flatnonzero(fit & (equal >= candidate)):
                 if not settled[owner[j]]:
-                    mates[owner[j]].append(names[j])
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(settled), pa.array(near), pa.array(mates, pa.list_(pa.binary()))], names=["node", "key", "n", "tokens", "settled", "near", "mates"])
+                    mates[owner[j]].append({"mate": names[j], "equal": int(equal[j])})
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], b.column("tree"), pa.array(settled), pa.array(near), pa.array(mates, pa.list_(pa.struct([("mate", pa.int64()), ("equal", pa.int32())])))], names=["node", "key", "n", "tokens", "tree", "settled", "near", "mates"])
 
-    return rows.select("node", "key", "n", "tokens", "pivots").mapInArrow(run, "node long, key binary, n long, tokens array<int>, settled boolean, near boolean, mates array<binary>")
+    return rows.select("node", "key", "n", "tokens", "pivots", "tree").mapInArrow(run, "node long, key long, n long, tokens binary, tree int, settled boolean, near boolean, mates array<struct<mate long, equal int>>")
 
 
-def _compare_blocks(left: DataFrame, right: DataFrame, sizes: DataFrame, least: int) -> DataFrame:
-    """Candidate pairs of every row of ``left`` with every row of ``right`` of its node: ``left`` in blocks of about ``BLOCK``."""
-    candidate = _cuts(least)[0]
+#: Candidates of each member that the first round confirms.
+NEIGHBOURS = 4
+
+
+def _blocks(left: DataFrame, right: DataFrame, sizes: DataFrame, *cols: str) -> DataFrame:
+    """``node, x, y``: each block of about ``BLOCK`` rows of ``left`` with each of ``right`` of the same node."""
+
+    def cut(df: DataFrame, name: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("key"), F.ceil(F.col("members") / BLOCK))
+        return df.join(sizes, "node").groupBy("node", block.alias("block")).agg(F.collect_list(F.struct(*cols)).alias(name)).drop("block")
+
+    return cut(left, "x").join(cut(right, "y"), "node").select("node", "x", "y")
+
+
+def _met(x, y, least: int):
+    """Of two blocks: keys and components, and which rows (y, x) are candidates in different components."""
+    import numpy as np
+
+    (kx, nx, cx, sx), (ky, ny, cy, sy) = ((v.field("key").to_numpy(), v.field("n").to_numpy(), v.field("component").to_numpy(), _sketches(v.field("tokens"))) for v in (x, y))
+    equal = np.stack([(sx == s).sum(axis=1) for s in sy])
+    return kx, ky, cx, cy, (equal >= _cuts(least)[0]) & _alike_sizes(nx[None, :], ny[:, None], least) & (cx[None, :] != cy[:, None])
+
+
+def _with_candidates(blocks: DataFrame, least: int) -> DataFrame:
+    """``node, key`` of the rows that have a candidate in another component; perhaps repeated, once for each Arrow batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for b in batches:
+            found: dict[int, list] = {}
+            for row in range(b.num_rows):
+                kx, ky, _, _, hit = _met(b.column(1)[row].values, b.column(2)[row].values, least)
+                found.setdefault(b.column(0)[row].as_py(), []).extend([kx[hit.any(axis=0)], ky[hit.any(axis=1)]])
+            for node, keys in found.items():
+                keys = np.unique(np.concatenate(keys))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), node)), pa.array(keys)], names=["node", "key"])
+
+    return blocks.mapInArrow(run, "node long, key long")
+
+
+def _shared(x, y, least: int) -> bool:
+    """Whether two sorted sets pass the threshold."""
+    import numpy as np
+
+    place = np.searchsorted(y, x)
+    both = int((y[np.minimum(place, len(y) - 1)] == x).sum())
+    return 100 * both >= least * (len(x) + len(y) - both)
+
+
+def _links_of_blocks(blocks: DataFrame, least: int) -> DataFrame:
+    """Links (a, b) between different components; of two components that a pair of blocks has joined, no more are looked for there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for b in batches:
-            keys, n, sketch, lists = b.column(0).to_pylist(), b.column(1).to_numpy(), _sketches(b.column(2)), b.column(3)
-            for i in range(b.num_rows):
-                block = lists[i].values
-                like = (_sketches(block.field("tokens")) == sketch[i]).sum(axis=1) >= candidate
-                names = block.field("key")
-                hit = [names[int(j)].as_py() for j in np.flatnonzero(like & _alike_sizes(block.field("n").to_numpy(), n[i], least))]
-                hit = [x for x in hit if x != keys[i]]
-                if hit:
-                    yield _pairs([keys[i]] * len(hit), hit)
-
-    block = F.pmod(F.xxhash64("key"), F.ceil(F.col("members") / BLOCK))
-    blocks = left.join(sizes, "node").groupBy("node", block.alias("block")).agg(F.collect_list(F.struct("key", "n", "tokens")).alias("block_rows"))
-    return right.select("node", "key", "n", "tokens").join(blocks, "node").select("key", "n", "tokens", "block_rows").mapInArrow(run, "a binary, b binary")
-
-
-def candidates(classes: DataFrame, least: int) -> DataFrame:
-    """Candidate pairs (a > b) of ``classes`` (key, n, tokens), by the chosen-path trees; perhaps repeated."""
-    roots = F.array(*(F.xxhash64(F.lit(i), F.col("tokens")[i]) for i in range(ROOTS)))
-    rows = classes.select("key", "n", "tokens", F.explode(roots).alias("node"))
-    found = []
+            for row in range(b.num_rows):
+                x, y = b.column(1)[row].values, b.column(2)[row].values
+                kx, ky, cx, cy, hit = _met(x, y, least)
+                (tx, rx, mx), (ty, ry, my) = ((v.field("tree").to_numpy(), np.stack(v.field("roots").to_numpy(zero_copy_only=False)), v.field("set")) for v in (x, y))
+                tree = int(tx[0])
+                if tree > 0:  # a pair that shares an earlier root has met there
+                    hit &= ~(ry[:, None, :tree] == rx[None, :, :tree]).any(axis=2)
+                sets: dict[tuple[int, int], object] = {}
+
+                def members(side: int, i: int):
+                    if (side, i) not in sets:
+                        sets[side, i] = np.frombuffer((my if side else mx)[i].as_buffer(), "u8")
+                    return sets[side, i]
+
+                joined: dict[int, int] = {}
+
+                def find(c: int) -> int:
+                    while c in joined:
+                        c = joined[c]
+                    return c
+
+                found = []
+                for j, i in zip(*np.nonzero(hit)):
+                    one, two = find(int(cx[i])), find(int(cy[j]))
+                    if one != two and _shared(members(0, i), members(1, j), least):
+                        joined[one] = two
+                        found.append((int(kx[i]), int(ky[j])))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], names=["a", "b"])
+
+    return blocks.mapInArrow(run, "a long, b long")
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionAll, parts)
+
+
+def candidates(classes: DataFrame, least: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Candidate pairs (a > b, equal) of ``classes`` (key, n, roots, tokens) by the chosen-path trees.
+
+    Also the members of large nodes, with what their pivots said, and these nodes' sizes (None if there are none).
+    """
+    rows = classes.select("key", "n", "tokens", F.posexplode("roots").alias("tree", "node"))
+    small, members, sizes = [], [], []
     for depth in range(1, DEPTH + 1):
-        large = rows.groupBy("node").agg(F.count("*").alias("members")).where(F.col("members") > SMALL)
-        large = staged(large, f"large{depth}")
-        found.append(staged(_compare_small(rows.join(large, "node", "left_anti"), least), f"small{depth}"))
+        large = staged(rows.groupBy("node").agg(F.count("*").alias("members")).where(F.col("members") > SMALL), f"large{depth}")
+        small.append(rows.join(large, "node", "left_anti").select("node", "key", "n", "tokens"))
         if large.isEmpty():
             break
-        inside = rows.join(large, "node").select("node", "key", "n", "tokens", "members")
+        inside = rows.join(large, "node").select("node", "key", "n", "tokens", "tree", "members")
         # Pivots are the members with the least hashes (the same in every tree, so pairs repeat): a bounded list, kept
-        # small before the shuffle by sampling hashes below a bound that holds 4 * PIVOTS members on average.
+        # small before the shuffle by taking hashes below a bound that 4 * PIVOTS members pass on average.
         order = F.pmod(F.xxhash64("key", F.lit(7)), F.lit(1 << 40))
         low = inside.withColumn("order", order).where(F.col("order") < 4.0 * PIVOTS * (1 << 40) / F.col("members"))
         pivots = low.groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct("order", "key", "n", "tokens"))), 1, PIVOTS).alias("pivots"))
-        seen = staged(_compare_lists(inside.join(pivots, "node", "left").withColumn("pivots", F.coalesce("pivots", F.array().cast(pivots.schema["pivots"].dataType))), least), f"seen{depth}")
-        mates = seen.select("key", F.explode("mates").alias("mate"))
-        found.append(mates.select(F.greatest("key", "mate").alias("a"), F.least("key", "mate").alias("b")))
-        open_ = seen.where(~F.col("settled"))
-        if depth == DEPTH:
-            found.append(staged(_compare_blocks(open_, seen, large, least), "rest"))
-            break
-        between = open_.where("near")
-        if not between.isEmpty():
-            found.append(staged(_compare_blocks(between, seen.where("settled"), large, least), f"between{depth}"))
+        none = F.array().cast(pivots.schema["pivots"].dataType)
+        seen = _compare_lists(inside.join(pivots, "node", "left").withColumn("pivots", F.coalesce("pivots", none)), least)
+        # What no pivot settles and what was near one, or is left at the end, will meet the node's members.
+        meets = ~F.col("settled") & (F.col("near") | F.lit(depth == DEPTH))
+        members.append(staged(seen.withColumn("meets", meets), f"members{depth}"))
+        sizes.append(large)
         chosen = F.array(*(F.pmod(F.xxhash64(F.col("node"), F.lit(j)), F.lit(HASHES)).cast("int") for j in range(BRANCHES)))
-        branch = F.transform(chosen, lambda i: F.xxhash64(F.col("node"), i, F.get("tokens", i)))
-        rows = open_.select("key", "n", "tokens", F.explode(branch).alias("node"))
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionAll(x)
-    return out
+        branch = F.transform(chosen, lambda i: F.xxhash64(F.col("node"), i, F.substring("tokens", 2 * i + 1, F.lit(2))))
+        rows = members[-1].where("not settled and not meets").select("key", "n", "tokens", F.lit(-1).alias("tree"), F.explode(branch).alias("node"))
+    found = _compare_small(_all(small), least)
+    if not members:
+        return found, None, None
+    every, size = _all(members), _all(sizes)
+    mates = every.select("key", F.explode("mates").alias("x")).select("key", "x.*")
+    return found.unionAll(mates.select(F.greatest("key", "mate").alias("a"), F.least("key", "mate").alias("b"), "equal")), every, size
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
@@ -290,36 +384,42 @@ def _confirm(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
         for b in batches:
             passed = []
             for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), "u8"), np.frombuffer(y.as_buffer(), "u8")
-                place = np.searchsorted(y, x)
-                both = int((y[np.minimum(place, len(y) - 1)] == x).sum())
-                passed.append(100 * both >= least * (len(x) + len(y) - both))
+                passed.append(_shared(np.frombuffer(x.as_buffer(), "u8"), np.frombuffer(y.as_buffer(), "u8"), least))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(passed, pa.bool_()))
 
-    one = pairs.join(sets.select(F.col("key").alias("a"), F.col("members").alias("x")), "a")
+    one = pairs.select("a", "b").join(sets.select(F.col("key").alias("a"), F.col("members").alias("x")), "a")
     both = one.join(sets.select(F.col("key").alias("b"), F.col("members").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, k: int = 5, least: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, text_key, n_shingles, component_id, kept`` for each row.
+#: Rows of an Arrow batch with a text in each row, two full sets (a few kilobytes each, most often), two blocks, or two blocks with sets.
+TEXTS, SETS, BLOCK_ROWS, SET_BLOCK_ROWS = 1000, 1000, 100, 8
+
+
+def _in_small_batches(df: DataFrame, rows: int, name: str) -> DataFrame:
+    """Stage ``df``, whose rows are large, with that many in an Arrow batch."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    try:
+        conf.set(key, str(rows))
+        return staged(df, name)
+    finally:
+        conf.set(key, before)
 
-    Two rows are linked if 100 * intersection >= ``least`` * union of their sets of k-word shingles; ``component_id`` is
-    the least id that a row reaches by links, itself included. A text without words, or null, has an empty set and is
-    linked with nothing. A null id has no say in ``component_id`` and is kept only if nothing with an id is in its
-    component. Rows of one id with different texts are rows of their own. Repeated rows are alike. Columns other than
-    these two are left out. ``text_key`` is a hash of the text.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    hashed = staged(_hashed(df, k, id_col, text_col), "hashed")
-    filled = hashed.where("key is not null")
-    first = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key")
-    classes = staged(filled.groupBy("key").agg(F.min(first).alias("first"), F.first("n").alias("n"), F.first("tokens").alias("tokens")), "classes")
-    pairs = staged(candidates(classes.select("key", "n", "tokens"), least).distinct(), "pairs")
 
-    wanted = staged(classes.join(pairs.select("a").union(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "key"), "key").select("key", "first.id", "first.text_key"), "wanted")
+def _links(pairs: DataFrame, sets: DataFrame, least: int, name: str) -> DataFrame:
+    return _in_small_batches(_confirm(pairs, sets, least), SETS, name)
+
+
+def _labels(classes: DataFrame, joined: DataFrame) -> DataFrame:
+    """``key, component`` of every class; one without links is its own."""
+    return classes.select("key").join(joined.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("component", "key").alias("component"))
+
+
+def _full_sets(df: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """``key, members`` of the classes that are in ``pairs``, from the text of one row each."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    wanted = staged(classes.join(ends, "key").select("key", "first.id", "first.text_key"), "wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_CLASSES else wanted
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = df.select(F.col(id_col).alias("id_"), F.xxhash64(text).alias("text_key_"), text.alias("text"))
@@ -332,13 +432,67 @@ def near_duplicates(df: DataFrame, k: int = 5, least: int = 80, id_col: str = "d
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t, k).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["key", "members"])
 
     # A row that is repeated exactly gives its class's set more than once; one is enough.
-    sets = staged(involved.mapInArrow(full, "key binary, members binary"), "sets").dropDuplicates(["key"])
-    links = staged(_confirm(pairs, sets, least), "links")
+    return staged(involved.mapInArrow(full, "key long, members binary").dropDuplicates(["key"]), "sets")
+
+
+def _links_in_nodes(df: DataFrame, classes: DataFrame, members: DataFrame, sizes: DataFrame, part_of: DataFrame, k: int, least: int, id_col: str, text_col: str) -> DataFrame:
+    """Links between components that meet in a large node: of the members that are to meet it, and of those whose pivot was not confirmed."""
+    slim = members.select("node", "key", "tree", "meets", F.when(F.col("settled"), F.col("mates")[0]["mate"]).alias("mate")).join(part_of, "key")
+    apart = slim.join(part_of.select(F.col("key").alias("mate"), F.col("component").alias("of_mate")), "mate", "left").withColumn("meets", F.col("meets") | F.coalesce(F.col("of_mate") != F.col("component"), F.lit(False)))
+    # In the roots' nodes a member meets all its nodes or none, so that a pair can be looked at in the first that it shares.
+    anywhere = apart.where("meets and tree >= 0").select("key", F.lit(True).alias("met")).distinct()
+    apart = staged(apart.join(anywhere, "key", "left").select("node", "key", "tree", "component", (F.col("meets") | (F.coalesce("met", F.lit(False)) & (F.col("tree") >= 0))).alias("meets")), "apart")
+    # Only nodes where somebody meets others, of several components, matter; only there sketches are needed.
+    split = apart.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("meets").alias("any")).where("any and lo <> hi").select("node")
+    mixed = staged(apart.join(split, "node", "left_semi").join(classes.select("key", "n", "tokens"), "key"), "mixed")
+    flagged = staged(_in_small_batches(_with_candidates(_blocks(mixed.where("meets"), mixed, sizes, "key", "n", "tokens", "component"), least), BLOCK_ROWS, "flagged").distinct(), "candidates")
+    sets = _full_sets(df, classes, flagged.select(F.col("key").alias("a"), F.col("key").alias("b")), k, id_col, text_col)
+    whole = mixed.join(flagged, ["node", "key"]).join(classes.select("key", "roots"), "key").join(sets.withColumnRenamed("members", "set"), "key")
+    size = flagged.groupBy("node").agg(F.count("*").alias("members"))
+    blocks = _blocks(whole.where("meets"), whole, size, "key", "n", "tokens", "component", "tree", "roots", "set")
+    return _in_small_batches(_links_of_blocks(blocks, least), SET_BLOCK_ROWS, "links3")
+
+
+def near_duplicates(df: DataFrame, k: int = 5, least: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, text_key, n_shingles, component_id, kept`` for each row.
+
+    Two rows are linked if 100 * intersection >= ``least`` * union of their sets of k-word shingles; ``component_id`` is
+    the least id that a row reaches by links, itself included. A text without words, or null, has an empty set and is
+    linked with nothing. A null id has no say in ``component_id`` and is kept only if nothing with an id is in its
+    component. Rows of one id with different texts are rows of their own. Repeated rows are alike. Columns other than
+    these two are left out. ``text_key`` is a hash of the text.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    hashed = _in_small_batches(_hashed(df, k, id_col, text_col), TEXTS, "hashed")
+    filled = hashed.where("key is not null")
+    first = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key")
+    classes = filled.groupBy("key").agg(F.min(first).alias("first"), F.first("n").alias("n"), F.first("roots").alias("roots"), F.first("tokens").alias("tokens"))
+    # From here on a class is known by a number; its row is written, so the number stays.
+    classes = staged(classes.withColumnRenamed("key", "digest").withColumn("key", F.monotonically_increasing_id()), "classes")
+    found, members, sizes = candidates(classes.select("key", "n", "roots", "tokens"), least)
+    pairs = staged(found.groupBy("a", "b").agg(F.first("equal").alias("equal")), "pairs")
+    sets = _full_sets(df, classes, pairs, k, id_col, text_col)
+
+    # Round 1: each member's most alike candidates (ranks are cut before the shuffle).
+    ways = pairs.select("a", "b", "equal", F.explode(F.array("a", "b")).alias("me"))
+    order = Window.partitionBy("me").orderBy(F.col("equal").desc(), "a", "b")
+    first_pairs = staged(ways.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= NEIGHBOURS).select("a", "b").distinct(), "first")
+    links = _links(first_pairs, sets, least, "links1")
+    # Round 2: what is still in different components.
+    part_of = staged(_labels(classes, connected(links)), "parts")
+    of = lambda name: part_of.select(F.col("key").alias(name), F.col("component").alias(f"of_{name}"))
+    more = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").where("of_a <> of_b").select("a", "b")
+    second_pairs = staged(more.distinct().join(first_pairs, ["a", "b"], "left_anti"), "second")
+    links = links.unionAll(_links(second_pairs, sets, least, "links2"))
+    if members is not None:
+        links = links.unionAll(_links_in_nodes(df, classes, members, sizes, part_of, k, least, id_col, text_col))
     joined = connected(links)
     # Back to rows: class, component of classes, then the least id of the component.
-    of_class = classes.join(joined, classes["key"] == joined["node"], "left").select("key", F.coalesce("component", "key").alias("component"), F.col("first.id").alias("least_id"))
+    of_class = _labels(classes, joined).join(classes.select("key", F.col("first.id").alias("least_id")), "key")
     least_ids = of_class.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    of_class = of_class.join(least_ids, "component").select("key", "component_id")
-    out = hashed.select("id", "text_key", "n", F.col("key").alias("row_key")).join(of_class, F.col("row_key") == F.col("key"), "left")
+    of_class = of_class.join(least_ids, "component").join(classes.select("key", "digest"), "key").select("digest", "component_id")
+    out = hashed.select("id", "text_key", "n", F.col("key").alias("row_key")).join(of_class, F.col("row_key") == F.col("digest"), "left")
     component = F.when(F.col("row_key").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), "text_key", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
