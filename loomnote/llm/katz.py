@@ -36,11 +36,11 @@ from loomnote.llm.common import staged
 #: Counts up to this are discounted.
 KATZ = 5
 #: Tokens and documents of a block (a longer document is a block of its own); least count of a history that is spread.
-BLOCK_TOKENS, BLOCK_DOCS, SPREAD = 2_000_000, 60_000, 200_000
+BLOCK_TOKENS, BLOCK_DOCS, SPREAD = 1_250_000, 60_000, 200_000
 #: Ids of the unknown word and of the start of a text.
 UNKNOWN, START = 0xFFFFFFFE, 0xFFFFFFFF
 #: Words whose hash a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 
 def _pack(*arrays) -> bytes:
