@@ -25,7 +25,7 @@ from loomnote.llm.bpe import fast_encoding
 from loomnote.llm.common import staged
 
 #: Pieces that a salted bucket of the ranking holds on average.
-BUCKET = 20_000
+BUCKET = 2_000
 
 
 class RoomTree:
