@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Most labelled rows that training takes, features of a fit, folds, and words whose features a worker remembers.
-SAMPLE, FEATURES, FOLDS, REMEMBERED = 8_000, 3_000, 5, 400_000
+SAMPLE, FEATURES, FOLDS, REMEMBERED = 4_000, 3_000, 5, 200_000
 #: The penalty on squared weights, and steps of a fit.
 L2, STEPS = 0.1, 150
 
@@ -59,10 +59,18 @@ class Sample:
         import numpy as np
 
         every = np.concatenate(rows) if len(rows) else np.empty(0, "u4")
-        owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        names, inverse, n = np.unique(every, return_inverse=True, return_counts=True)
-        often = n[inverse] >= 3
-        self.names, self.n, self.owner, self.col = names, len(rows), owner[often], inverse[often]
+        every.sort()
+        first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.empty(0, "i8")
+        names = every[first][np.diff(np.r_[first, len(every)]) >= 3]
+        del every, first
+        owner, col = [], []
+        for i, row in enumerate(rows):
+            place = np.searchsorted(names, row)
+            place = place[(place < len(names)) & (names[np.minimum(place, len(names) - 1)] == row)] if len(names) else place[:0]
+            owner.append(np.full(len(place), i, "i4"))
+            col.append(place.astype("i4"))
+        self.names, self.n = names, len(rows)
+        self.owner, self.col = (np.concatenate(x) if x else np.empty(0, "i4") for x in (owner, col))
 
     def without(self, out):
         """This sample with the rows in the mask ``out`` emptied."""
