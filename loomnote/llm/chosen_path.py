@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from loomnote.llm.common import shared_dir, staged
 from loomnote.llm.components import connected
 
-HASHES, ROOTS, BRANCHES, DEPTH = 128, 8, 2, 4
+HASHES, ROOTS, BRANCHES, DEPTH = 128, 8, 2, 3
 #: Members of a node that is compared exhaustively, pivots of a larger one, members of a block.
 SMALL, PIVOTS, BLOCK = 64, 8, 128
 #: Classes whose texts are looked for by broadcasting their ids (40 bytes each); more are joined by shuffle.
@@ -251,13 +251,13 @@ NEIGHBOURS = 4
 
 
 def _blocks(left: DataFrame, right: DataFrame, sizes: DataFrame, *cols: str) -> DataFrame:
-    """``node, x, y``: each block of about ``BLOCK`` rows of ``left`` with each of ``right`` of the same node."""
+    """``node, x, y, at_x, at_y``: each block of about ``BLOCK`` rows of ``left`` with each of ``right`` of the same node, and which blocks they are."""
 
     def cut(df: DataFrame, name: str) -> DataFrame:
         block = F.pmod(F.xxhash64("key"), F.ceil(F.col("members") / BLOCK))
-        return df.join(sizes, "node").groupBy("node", block.alias("block")).agg(F.collect_list(F.struct(*cols)).alias(name)).drop("block")
+        return df.join(sizes, "node").groupBy("node", block.alias("block")).agg(F.collect_list(F.struct(*cols)).alias(name)).withColumnRenamed("block", f"at_{name}")
 
-    return cut(left, "x").join(cut(right, "y"), "node").select("node", "x", "y")
+    return cut(left, "x").join(cut(right, "y"), "node").select("node", "x", "y", "at_x", "at_y")
 
 
 def _met(x, y, least: int):
@@ -269,22 +269,26 @@ def _met(x, y, least: int):
     return kx, ky, cx, cy, (equal >= _cuts(least)[0]) & _alike_sizes(nx[None, :], ny[:, None], least) & (cx[None, :] != cy[:, None])
 
 
-def _with_candidates(blocks: DataFrame, least: int) -> DataFrame:
-    """``node, key`` of the rows that have a candidate in another component; perhaps repeated, once for each Arrow batch."""
+def _with_candidates(blocks: DataFrame, least: int, name: str) -> DataFrame:
+    """``node, key`` of the rows that have a candidate in another component. A pair of blocks gives one row, with the keys of either side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         for b in batches:
-            found: dict[int, list] = {}
+            rows, xs, ys = [], [], []
             for row in range(b.num_rows):
                 kx, ky, _, _, hit = _met(b.column(1)[row].values, b.column(2)[row].values, least)
-                found.setdefault(b.column(0)[row].as_py(), []).extend([kx[hit.any(axis=0)], ky[hit.any(axis=1)]])
-            for node, keys in found.items():
-                keys = np.unique(np.concatenate(keys))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), node)), pa.array(keys)], names=["node", "key"])
+                if hit.any():
+                    rows.append(row)
+                    xs.append(kx[hit.any(axis=0)].tolist())
+                    ys.append(ky[hit.any(axis=1)].tolist())
+            at = pa.array(rows, pa.int64())
+            lists = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in (0, 3, 4)), pa.array(xs, lists), pa.array(ys, lists)], names=["node", "at_x", "at_y", "x", "y"])
 
-    return blocks.mapInArrow(run, "node long, key long")
+    met = _in_small_batches(blocks.mapInArrow(run, "node long, at_x long, at_y long, x array<long>, y array<long>"), BLOCK_ROWS, name)
+    # A block's keys come once for each block that it met; they are few, and made distinct before they become rows.
+    of = lambda side: met.groupBy("node", f"at_{side}").agg(F.array_distinct(F.flatten(F.collect_list(side))).alias("keys")).select("node", F.explode("keys").alias("key"))
+    return of("x").union(of("y")).distinct()
 
 
 def _shared(x, y, least: int) -> bool:
@@ -366,7 +370,7 @@ def candidates(classes: DataFrame, least: int) -> tuple[DataFrame, DataFrame | N
         sizes.append(large)
         chosen = F.array(*(F.pmod(F.xxhash64(F.col("node"), F.lit(j)), F.lit(HASHES)).cast("int") for j in range(BRANCHES)))
         branch = F.transform(chosen, lambda i: F.xxhash64(F.col("node"), i, F.substring("tokens", 2 * i + 1, F.lit(2))))
-        rows = members[-1].where("not settled and not meets").select("key", "n", "tokens", F.lit(-1).alias("tree"), F.explode(branch).alias("node"))
+        rows = staged(members[-1].where("not settled and not meets").select("key", "n", "tokens", F.lit(-1).alias("tree"), F.explode(branch).alias("node")), f"branch{depth}")
     found = _compare_small(_all(small), least)
     if not members:
         return found, None, None
@@ -445,7 +449,7 @@ def _links_in_nodes(df: DataFrame, classes: DataFrame, members: DataFrame, sizes
     # Only nodes where somebody meets others, of several components, matter; only there sketches are needed.
     split = apart.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("meets").alias("any")).where("any and lo <> hi").select("node")
     mixed = staged(apart.join(split, "node", "left_semi").join(classes.select("key", "n", "tokens"), "key"), "mixed")
-    flagged = staged(_in_small_batches(_with_candidates(_blocks(mixed.where("meets"), mixed, sizes, "key", "n", "tokens", "component"), least), BLOCK_ROWS, "flagged").distinct(), "candidates")
+    flagged = staged(_with_candidates(_blocks(mixed.where("meets"), mixed, sizes, "key", "n", "tokens", "component"), least, "flagged"), "candidates")
     sets = _full_sets(df, classes, flagged.select(F.col("key").alias("a"), F.col("key").alias("b")), k, id_col, text_col)
     whole = mixed.join(flagged, ["node", "key"]).join(classes.select("key", "roots"), "key").join(sets.withColumnRenamed("members", "set"), "key")
     size = flagged.groupBy("node").agg(F.count("*").alias("members"))
