@@ -14,6 +14,8 @@
    component (links inside one would change nothing), and lets members meet their node, a block with a block at a time:
    first by sketches, to find who has a candidate in another component, then these by full sets. Only links leave.
    Members whose pivot the first round did not confirm meet their node as well.
+5. Members settled by pivots of components that are different after that meet each other: those near the other's pivot,
+   a block with a block at a time, first by sketches and then by full sets.
 
 Nothing here emits all pairs of a large group, and no node, hub or class is gathered in one task or on the driver.
 """
@@ -250,6 +252,12 @@ def _compare_lists(rows: DataFrame, least: int) -> DataFrame:
 NEIGHBOURS = 4
 
 
+def _bridge_cuts(least: int) -> tuple[int, int]:
+    """Of HASHES equal tokens: what two pivots have whose settled members can be linked, and what such a member has with the other pivot (4.6 standard deviations below)."""
+    shares = (max(0.0, 1 - steps * (1 - least / 100)) for steps in (3, 2))
+    return tuple(int(HASHES * j - 4.6 * (HASHES * j * (1 - j)) ** 0.5) for j in shares)
+
+
 def _blocks(left: DataFrame, right: DataFrame, sizes: DataFrame, *cols: str) -> DataFrame:
     """``node, x, y, at_x, at_y``: each block of about ``BLOCK`` rows of ``left`` with each of ``right`` of the same node, and which blocks they are."""
 
@@ -300,8 +308,11 @@ def _shared(x, y, least: int) -> bool:
     return 100 * both >= least * (len(x) + len(y) - both)
 
 
-def _links_of_blocks(blocks: DataFrame, least: int) -> DataFrame:
-    """Links (a, b) between different components; of two components that a pair of blocks has joined, no more are looked for there."""
+def _links_of_blocks(blocks: DataFrame, least: int, once: bool = True) -> DataFrame:
+    """Links (a, b) between different components; of two components that a pair of blocks has joined, no more are looked for there.
+
+    ``once``: pairs that share an earlier root are left to that one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -312,7 +323,7 @@ def _links_of_blocks(blocks: DataFrame, least: int) -> DataFrame:
                 kx, ky, cx, cy, hit = _met(x, y, least)
                 (tx, rx, mx), (ty, ry, my) = ((v.field("tree").to_numpy(), np.stack(v.field("roots").to_numpy(zero_copy_only=False)), v.field("set")) for v in (x, y))
                 tree = int(tx[0])
-                if tree > 0:  # a pair that shares an earlier root has met there
+                if once and tree > 0:  # a pair that shares an earlier root has met there
                     hit &= ~(ry[:, None, :tree] == rx[None, :, :tree]).any(axis=2)
                 sets: dict[tuple[int, int], object] = {}
 
@@ -457,6 +468,50 @@ def _links_in_nodes(df: DataFrame, classes: DataFrame, members: DataFrame, sizes
     return _in_small_batches(_links_of_blocks(blocks, least), SET_BLOCK_ROWS, "links3")
 
 
+def _near_other(rows: DataFrame, least: int) -> DataFrame:
+    """``rows`` whose tokens and other_tokens (the last two columns) have at least ``least`` equal; other_tokens is dropped."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            equal = (_sketches(b.column("tokens")) == _sketches(b.column("other_tokens"))).sum(axis=1)
+            yield b.filter(pa.array(equal >= least, pa.bool_())).drop_columns(["other_tokens"])
+
+    out = rows.drop("other_tokens")
+    return rows.mapInArrow(run, out.schema)
+
+
+def _bridges(df: DataFrame, classes: DataFrame, members: DataFrame, part_of: DataFrame, k: int, least: int, id_col: str, text_col: str) -> DataFrame | None:
+    """Links between members of a large node that pivots of different components have settled (None if there are no such pivots).
+
+    A settled member outside its pivot's component has met its node before.
+    """
+    of_pivots, of_members = _bridge_cuts(least)
+    settled = members.where("settled").select("node", "key", "tree", F.col("mates")[0]["mate"].alias("mate")).join(part_of, "key")
+    settled = settled.join(part_of.select(F.col("key").alias("mate"), F.col("component").alias("of_mate")), "mate").where("component = of_mate").drop("of_mate")
+    split = settled.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("node")
+    settled = staged(settled.join(split, "node", "left_semi"), "settled")
+    if settled.isEmpty():
+        return None
+    sketches = classes.select("key", "tokens")
+    pivots = settled.select("node", "mate", "component").distinct().join(sketches.withColumnRenamed("key", "mate"), "mate")
+    others = pivots.select("node", F.col("mate").alias("other"), F.col("component").alias("of_other"), F.col("tokens").alias("other_tokens"))
+    ways = pivots.join(others, "node").where("component <> of_other").select("node", "mate", "other", "tokens", "other_tokens")
+    ways = staged(_near_other(ways, of_pivots).drop("tokens").join(others.select("node", "other", "other_tokens"), ["node", "other"]), "ways")
+    # A row for each of at most PIVOTS others.
+    near = settled.join(ways, ["node", "mate"]).join(classes.select("key", "n", "tokens"), "key").select("node", "key", "tree", "component", "n", "mate", "other", "tokens", "other_tokens")
+    near = _near_other(near, of_members)
+    # A pair of pivots in a node is known by a number of its own; the side of the lesser pivot meets the other.
+    near = near.withColumn("left", F.col("mate") < F.col("other")).withColumn("node", F.xxhash64("node", F.least("mate", "other"), F.greatest("mate", "other"))).drop("mate", "other")
+    near = staged(near, "near")
+    sizes = near.groupBy("node").agg(F.count("*").alias("members"))
+    flagged = staged(_with_candidates(_blocks(near.where("left"), near.where("not left"), sizes, "key", "n", "tokens", "component"), least, "flagged"), "candidates")
+    sets = _full_sets(df, classes, flagged.select(F.col("key").alias("a"), F.col("key").alias("b")), k, id_col, text_col)
+    whole = near.join(flagged, ["node", "key"]).join(classes.select("key", "roots"), "key").join(sets.withColumnRenamed("members", "set"), "key")
+    size = flagged.groupBy("node").agg(F.count("*").alias("members"))
+    blocks = _blocks(whole.where("left"), whole.where("not left"), size, "key", "n", "tokens", "component", "tree", "roots", "set")
+    return _in_small_batches(_links_of_blocks(blocks, least, once=False), SET_BLOCK_ROWS, "links4")
+
+
 def near_duplicates(df: DataFrame, k: int = 5, least: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, text_key, n_shingles, component_id, kept`` for each row.
 
@@ -493,6 +548,10 @@ def near_duplicates(df: DataFrame, k: int = 5, least: int = 80, id_col: str = "d
     if members is not None:
         links = links.unionAll(_links_in_nodes(df, classes, members, sizes, part_of, k, least, id_col, text_col))
     joined = connected(links)
+    if members is not None:
+        bridges = _bridges(df, classes, members, _labels(classes, joined), k, least, id_col, text_col)
+        if bridges is not None and not bridges.isEmpty():
+            joined = connected(links.unionAll(bridges))
     # Back to rows: class, component of classes, then the least id of the component.
     of_class = _labels(classes, joined).join(classes.select("key", F.col("first.id").alias("least_id")), "key")
     least_ids = of_class.groupBy("component").agg(F.min("least_id").alias("component_id"))

@@ -79,6 +79,23 @@ def test_large_nodes(spark, monkeypatch):
     check(spark, corpus(7), 2)
 
 
+def bridged(seed, size=70):
+    """Two families at a likeness of 0.68, and for each a document that lacks half of what is its family's alone: these two are linked, and nothing else is across."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    shared, texts = [word() for _ in range(200)], []
+    for _ in range(2):
+        first, second = ([word() for _ in range(23)] for _ in range(2))
+        texts.append(" ".join(shared + first))
+        texts += [" ".join(shared + first + second + [word() for _ in range(3)]) for _ in range(size)]
+    return texts
+
+
+def test_settled_members_of_two_components_meet(spark):
+    """In these seeds the two that are linked share large nodes only, in which pivots of their own families settle them."""
+    check(spark, list(enumerate(t for seed in (2, 27, 41) for t in bridged(seed))), 2)
+
+
 def test_edges_of_tables(spark):
     rows = [(None, "a b c d"), (5, "a b c d"), (None, "x y"), (None, "x y"), (9, "q"), (9, "r s t"), (9, "q"), (7, None)]
     check(spark, rows, 2)
