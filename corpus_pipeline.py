@@ -25,9 +25,12 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity of 0.8 or more): that with the least id.
 
-    Rows of one id stay apart by their text; of rows that are alike in both, the least by the other columns stays.
+    Of rows of one id, or of none, the least by the hash of the text stays; of rows that are alike in both, the least by the other columns.
     """
-    found = near_duplicates(docs, k=5, least=80).where("kept").groupBy(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_")).agg(F.count("*").alias("times_"))
+    kept = near_duplicates(docs, k=5, least=80).where("kept").groupBy("component", F.col("doc_id").alias("id_"), F.col("text_key").alias("key_")).agg(F.count("*").alias("times_"))
+    first = F.min(F.struct(F.col("id_").isNull().alias("no_id_"), "id_", "key_", "times_")).alias("first_")
+    found = kept.where("component is not null").groupBy("component").agg(first).select("first_.id_", "first_.key_", "first_.times_")
+    found = found.unionAll(kept.where("component is null").select("id_", "key_", "times_"))
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     kept = docs.join(found, docs["doc_id"].eqNullSafe(found["id_"]) & (key == found["key_"]))
     once = kept.where("times_ = 1").select(docs.columns)

@@ -513,12 +513,12 @@ def _bridges(df: DataFrame, classes: DataFrame, members: DataFrame, part_of: Dat
 
 
 def near_duplicates(df: DataFrame, k: int = 5, least: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, text_key, n_shingles, component_id, kept`` for each row.
+    """``id_col, text_key, n_shingles, component_id, kept, component`` for each row.
 
     Two rows are linked if 100 * intersection >= ``least`` * union of their sets of k-word shingles; ``component_id`` is
     the least id that a row reaches by links, itself included. A text without words, or null, has an empty set and is
     linked with nothing. A null id has no say in ``component_id`` and is kept only if nothing with an id is in its
-    component. Rows of one id with different texts are rows of their own. Repeated rows are alike. Columns other than
+    component, whose number is ``component`` (null for an empty set). Rows of one id with different texts are rows of their own. Repeated rows are alike. Columns other than
     these two are left out. ``text_key`` is a hash of the text.
     """
     spark = df.sparkSession
@@ -555,7 +555,7 @@ def near_duplicates(df: DataFrame, k: int = 5, least: int = 80, id_col: str = "d
     # Back to rows: class, component of classes, then the least id of the component.
     of_class = _labels(classes, joined).join(classes.select("key", F.col("first.id").alias("least_id")), "key")
     least_ids = of_class.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    of_class = of_class.join(least_ids, "component").join(classes.select("key", "digest"), "key").select("digest", "component_id")
+    of_class = of_class.join(least_ids, "component").join(classes.select("key", "digest"), "key").select("digest", "component_id", "component")
     out = hashed.select("id", "text_key", "n", F.col("key").alias("row_key")).join(of_class, F.col("row_key") == F.col("digest"), "left")
-    component = F.when(F.col("row_key").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), "text_key", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    least_id = F.when(F.col("row_key").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    return out.select(F.col("id").alias(id_col), "text_key", F.col("n").alias("n_shingles"), least_id.alias("component_id"), F.col("id").eqNullSafe(least_id).alias("kept"), "component")

@@ -76,3 +76,12 @@ def test_run_is_the_stages(spark, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/{name}")
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(str, got.select("doc_id", "start", "length", "ids_crc32").collect())) == sorted(map(str, docs.select("doc_id", "start", "length", "ids_crc32").collect()))
+
+
+def test_one_of_each_without_ids(spark, tmp_path):
+    """Near copies without ids, or of one id, are one document."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text + " x"), (None, text + " y"), (None, "apart"), (4, "of " + text.upper()), (4, text.upper() + " end"), (4, ""), (None, None)]
+    rows = [(d, t and (t if d is None else t.replace("W", "V"))) for d, t in rows]
+    one = corpus_pipeline.keep_one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), len(r.text or "") > 60) for r in one) == [("4", False), ("4", True), ("None", False), ("None", False), ("None", True)]
