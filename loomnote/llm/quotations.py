@@ -8,7 +8,7 @@ a quote joins to that one row, so a line that very many messages say, or a conve
 a row for each quote and no more.
 
 A message replies to the origin of its level-1 lines: the one that most of them come from, the latest if several do.
-Without a quote that is found, it follows the message before it (``linked_by`` says which). The conversation without
+If none of these is found, the origin of its level-2 lines takes their place, and so on. Without a quote that is found, it follows the message before it (``linked_by`` says which). The conversation without
 quotes is ``clean`` by ``position``: a walk through the tree of replies, each message followed by its replies.
 """
 
@@ -55,10 +55,12 @@ def passages(messages: DataFrame) -> DataFrame:
 
 
 def link(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row per message: ``conv_id, turn, role, part, clean, n_quoted, n_found, max_level, parent_turn, linked_by, position, depth``.
+    """One row per message: ``conv_id, turn, role, part, clean, n_quoted, n_found, n_deeper, n_deeper_found, max_level, origins, parent_turn, linked_by, link_level, position, depth``.
 
     ``clean`` is the text without quotes; ``n_quoted`` counts level-1 lines with words, ``n_found`` those whose origin, an
-    earlier turn of the conversation, was found. ``linked_by`` is "quote", "order" or "start". ``position`` counts turns of
+    earlier turn of the conversation, was found; ``n_deeper`` and ``n_deeper_found`` count those of level 2 and more.
+    ``origins`` (``level, turn, n``) has the turn that most lines of each level come from. ``linked_by`` is "quote",
+    "order" or "start", ``link_level`` the level of the quote that it is by, or null. ``position`` counts turns of
     the conversation from 0 in reply order, ``depth`` the replies above.
 
     A null text is empty. A message with a null conversation or turn is a conversation of its own (linked_by "start",
@@ -70,28 +72,37 @@ def link(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     rows = df.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     parsed = passages(rows).withColumn("part", F.monotonically_increasing_id())
-    parsed = staged(parsed.select("conv_id", "turn", "role", "part", "clean", "max_level", F.filter("lines", lambda x: (x["level"] <= 1) & (x["line"] != "")).alias("lines")), "messages")
+    parsed = staged(parsed.select("conv_id", "turn", "role", "part", "clean", "max_level", F.filter("lines", lambda x: x["line"] != "").alias("lines")), "messages")
     known = parsed.where("conv_id is not null and turn is not null")
     lines = known.select("conv_id", "turn", "part", F.explode("lines").alias("x")).select("conv_id", "turn", "part", "x.level", F.xxhash64("x.line").alias("h"), F.sha1("x.line").alias("check"))
     # One origin per line and conversation, so the join cannot grow beyond the quotes; the digest confirms the hash.
     origins = lines.where("level = 0").groupBy("conv_id", "h", "check").agg(F.min("turn").alias("origin"))
-    quotes = lines.where("level = 1").join(origins, ["conv_id", "h", "check"], "left").withColumn("origin", F.when(F.col("origin") < F.col("turn"), F.col("origin")))
-    votes = quotes.groupBy("conv_id", "turn", "part", "origin").agg(F.count("*").alias("n"))
-    voted = votes.groupBy("conv_id", "turn", "part").agg(
-        F.sum("n").alias("n_quoted"), F.coalesce(F.sum(F.when(F.col("origin").isNotNull(), F.col("n"))), F.lit(0)).alias("n_found"),
-        F.max(F.when(F.col("origin").isNotNull(), F.struct("n", "origin")))["origin"].alias("quoted_turn"),
+    quotes = lines.where("level >= 1").join(origins, ["conv_id", "h", "check"], "left").withColumn("origin", F.when(F.col("origin") < F.col("turn"), F.col("origin")))
+    votes = quotes.groupBy("part", "level", "origin").agg(F.count("*").alias("n"))
+    found = F.col("origin").isNotNull()
+    by_level = votes.groupBy("part", "level").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(found, F.col("n"))), F.lit(0)).alias("found"), F.max(F.when(found, F.struct("n", "origin"))).alias("best"))
+    count = lambda name, which: F.coalesce(F.sum(F.when(which, F.col(name))), F.lit(0))
+    first, deeper = F.col("level") == 1, F.col("level") > 1
+    origin = F.when(F.col("best").isNotNull(), F.struct("level", F.col("best.origin").alias("turn"), F.col("best.n").alias("n")))
+    voted = by_level.groupBy("part").agg(
+        count("n", first).alias("n_quoted"), count("found", first).alias("n_found"), count("n", deeper).alias("n_deeper"), count("found", deeper).alias("n_deeper_found"),
+        F.array_sort(F.collect_list(origin)).alias("origins"),
     )
-    # A turn's link: by quote if one of its messages has one (the latest origin), else the turn before.
-    turns = known.join(voted.select("part", "quoted_turn"), "part", "left").groupBy("conv_id", "turn").agg(F.max("quoted_turn").alias("quoted_turn"))
+    # A turn's link: by quote if one of its messages has one (the least level, then the latest origin), else the turn before.
+    least = F.get("origins", F.lit(0))
+    linking = voted.select("part", F.when(least.isNotNull(), F.struct((-least["level"]).alias("above"), least["turn"].alias("turn"))).alias("quoted"))
+    turns = known.join(linking, "part", "left").groupBy("conv_id", "turn").agg(F.max("quoted").alias("quoted"))
+    turns = turns.select("conv_id", "turn", F.col("quoted.turn").alias("quoted_turn"), (-F.col("quoted.above")).alias("link_level"))
     turns = staged(_before(turns, ["conv_id"], "previous"), "turns")
     parent = F.coalesce("quoted_turn", "previous")
     linked = F.when(F.col("quoted_turn").isNotNull(), "quote").when(F.col("previous").isNotNull(), "order").otherwise("start")
-    turns = turns.select("conv_id", "turn", parent.alias("parent_turn"), linked.alias("linked_by"))
-    placed = turns.join(_reply_order(turns.drop("linked_by")), ["conv_id", "turn"])
-    out = parsed.join(voted.drop("conv_id", "turn", "quoted_turn"), "part", "left").join(placed, ["conv_id", "turn"], "left")
+    turns = turns.select("conv_id", "turn", parent.alias("parent_turn"), linked.alias("linked_by"), "link_level")
+    placed = turns.join(_reply_order(turns.drop("linked_by", "link_level")), ["conv_id", "turn"])
+    out = parsed.join(voted, "part", "left").join(placed, ["conv_id", "turn"], "left")
+    none = F.array().cast(voted.schema["origins"].dataType)
     return out.select(
-        "conv_id", "turn", "role", "part", "clean", F.coalesce("n_quoted", F.lit(0)).alias("n_quoted"), F.coalesce("n_found", F.lit(0)).alias("n_found"),
-        F.col("max_level").cast("long").alias("max_level"), "parent_turn", F.coalesce("linked_by", F.lit("start")).alias("linked_by"),
+        "conv_id", "turn", "role", "part", "clean", *(F.coalesce(n, F.lit(0)).alias(n) for n in ("n_quoted", "n_found", "n_deeper", "n_deeper_found")),
+        F.col("max_level").cast("long").alias("max_level"), F.coalesce("origins", none).alias("origins"), "parent_turn", F.coalesce("linked_by", F.lit("start")).alias("linked_by"), "link_level",
         F.coalesce("position", F.lit(0)).alias("position"), F.coalesce("depth", F.lit(0)).alias("depth"),
     )
 

@@ -98,3 +98,18 @@ def test_edges(spark):
 
 def test_long_conversation(spark):
     check(spark, [(1, t, "user", f"line {t}" + (f"\n> line {t - 7}" if t % 5 == 0 else "")) for t in range(2500)])
+
+
+def test_deeper_levels_find_their_origins(spark):
+    rows = [
+        (1, 0, "user", "Where is the key?"),
+        (1, 1, "assistant", "Under the mat."),
+        (1, 2, "user", "aside"),
+        (1, 3, "user", ">> Where is the key?\nlevel 1 is cut away"),
+        (1, 4, "user", "> never said\n>> Under the mat.\n>>> Where is the key?"),
+        (1, 5, "user", "> aside\n>> Under the mat."),
+    ]
+    got = {r.turn: r for r in link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [(got[t].parent_turn, got[t].linked_by, got[t].link_level) for t in (2, 3, 4, 5)] == [(1, "order", None), (0, "quote", 2), (1, "quote", 2), (2, "quote", 1)]
+    assert [(got[t].n_quoted, got[t].n_found, got[t].n_deeper, got[t].n_deeper_found) for t in (3, 4, 5)] == [(0, 0, 1, 1), (1, 0, 2, 2), (1, 1, 1, 1)]
+    assert [tuple(x) for x in got[4].origins] == [(2, 1, 1), (3, 0, 1)] and got[2].origins == []
