@@ -69,7 +69,7 @@ def op4_winnowing(spark, sf_dir):
 def op5_quotation_linking(spark, sf_dir):
     from loomnote.llm.quotations import link
 
-    return link(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return link(spark.read.parquet(f"{sf_dir}/conversations.parquet"), whole=True)
 
 
 def toxicity_chain(spark, docs, sf_dir):

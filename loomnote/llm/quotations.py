@@ -3,7 +3,8 @@
 A message's lines are parsed into levels: the number of quote marks (">") that a line starts with. Runs of lines of
 one level are passages. What a message says itself is its level 0; what it quotes at level 1 is what its parent said,
 at level 2 what the parent quoted, and so on. Lines are normalised (marks, case, runs of white space, an "On ... wrote:"
-line before a quote) and hashed. For every (conversation, hash) the first message that says the line is its origin;
+line before a quote) and hashed, and passages as well where they are linked whole. A quote has one origin: the latest
+message before it that says its passage or else its line (``whole``), or the first of the conversation that says the line;
 a quote joins to that one row, so a line that very many messages say, or a conversation with very many messages, costs
 a row for each quote and no more.
 
@@ -54,7 +55,34 @@ def passages(messages: DataFrame) -> DataFrame:
     return parsed.withColumn("clean", clean).withColumn("max_level", F.coalesce(F.array_max(F.transform("lines", lambda x: x["level"])), F.lit(0)))
 
 
-def link(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def runs_of_a_level(lines: Column) -> Column:
+    """``array<struct<level, words, lines>>`` of the passages, runs of one level, of ``lines`` (as of ``levels``, without empty ones)."""
+    start = F.transform(lines, lambda x, i: F.when((i == 0) | ~F.get(lines, i - 1)["level"].eqNullSafe(x["level"]), i))
+    starts = F.filter(start, lambda i: i.isNotNull())
+
+    def run(at: Column, j: Column) -> Column:
+        part = F.slice(lines, at + 1, F.coalesce(F.get(starts, j + 1), F.size(lines)) - at)
+        return F.struct(part[0]["level"].alias("level"), F.array_join(F.transform(part, lambda x: x["line"]), "\n").alias("words"), F.transform(part, lambda x: x["line"]).alias("lines"))
+
+    return F.transform(starts, run)
+
+
+def _latest(quotes: DataFrame, said: DataFrame, name: str) -> DataFrame:
+    """``conv_id, turn, h, check, name``: for each of ``quotes`` the latest turn before it in which ``said`` has the same; both have ``conv_id, turn, h, check``."""
+    keys = ["conv_id", "h", "check"]
+    quotes = quotes.select(*keys, "turn").distinct()
+    said = said.select(*keys, "turn").join(quotes.select(*keys).distinct(), keys, "left_semi")
+    both = quotes.withColumn("quoted", F.lit(True)).unionAll(said.withColumn("quoted", F.lit(False))).groupBy(*keys, "turn")
+    # A row a turn; turns are ranged as in _before, so that a frequent line of a long conversation is many groups.
+    rows = both.agg(F.max("quoted").alias("quoted"), F.max(~F.col("quoted")).alias("says")).withColumn("range", F.floor(F.col("turn") / TURNS))
+    rows = rows.withColumn("said", F.when(F.col("says"), F.col("turn")))
+    so_far = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.withColumn("inside", F.max("said").over(so_far(*keys, "range").orderBy("turn"))).where("quoted")
+    ranges = rows.groupBy(*keys, "range").agg(F.max("said").alias("last")).select(*keys, "range", F.max("last").over(so_far(*keys).orderBy("range")).alias("earlier"))
+    return inside.join(ranges, [*keys, "range"]).select(*keys, "turn", F.coalesce("inside", "earlier").alias(name))
+
+
+def link(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", whole: bool = False) -> DataFrame:
     """One row per message: ``conv_id, turn, role, part, clean, n_quoted, n_found, n_deeper, n_deeper_found, max_level, origins, parent_turn, linked_by, link_level, position, depth``.
 
     ``clean`` is the text without quotes; ``n_quoted`` counts level-1 lines with words, ``n_found`` those whose origin, an
@@ -63,6 +91,10 @@ def link(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_
     "order" or "start", ``link_level`` the level of the quote that it is by, or null. ``position`` counts turns of
     the conversation from 0 in reply order, ``depth`` the replies above.
 
+    ``whole``: lines come from the latest earlier turn that says the whole passage that they are quoted in, and those of
+    a passage that no turn says as a whole from the latest that says the line. Otherwise each line stands alone and
+    comes from the first turn that says it.
+
     A null text is empty. A message with a null conversation or turn is a conversation of its own (linked_by "start",
     position 0). Several messages of one turn, or repeated rows, share a turn's links and differ in ``part``.
     Other columns are left out. Column names are the parameters' on input and fixed on output.
@@ -74,10 +106,21 @@ def link(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_
     parsed = passages(rows).withColumn("part", F.monotonically_increasing_id())
     parsed = staged(parsed.select("conv_id", "turn", "role", "part", "clean", "max_level", F.filter("lines", lambda x: x["line"] != "").alias("lines")), "messages")
     known = parsed.where("conv_id is not null and turn is not null")
-    lines = known.select("conv_id", "turn", "part", F.explode("lines").alias("x")).select("conv_id", "turn", "part", "x.level", F.xxhash64("x.line").alias("h"), F.sha1("x.line").alias("check"))
-    # One origin per line and conversation, so the join cannot grow beyond the quotes; the digest confirms the hash.
-    origins = lines.where("level = 0").groupBy("conv_id", "h", "check").agg(F.min("turn").alias("origin"))
-    quotes = lines.where("level >= 1").join(origins, ["conv_id", "h", "check"], "left").withColumn("origin", F.when(F.col("origin") < F.col("turn"), F.col("origin")))
+    hashed = lambda col: (F.xxhash64(col).alias("h"), F.sha1(col).alias("check"))
+    if whole:
+        runs = known.select("conv_id", "turn", "part", F.explode(runs_of_a_level(F.col("lines"))).alias("x"))
+        runs = staged(runs.select("conv_id", "turn", "part", "x.level", *hashed("x.words"), "x.lines"), "runs")
+        lines = runs.select("conv_id", "turn", "part", "level", F.col("h").alias("run_h"), F.col("check").alias("run_check"), F.explode("lines").alias("line"))
+        lines = lines.select("conv_id", "turn", "part", "level", "run_h", "run_check", *hashed("line"))
+        of_run = _latest(runs.where("level >= 1"), runs.where("level = 0"), "of_run").withColumnsRenamed({"h": "run_h", "check": "run_check"})
+        of_line = _latest(lines.where("level >= 1"), lines.where("level = 0"), "of_line")
+        quotes = lines.where("level >= 1").join(of_run, ["conv_id", "turn", "run_h", "run_check"], "left").join(of_line, ["conv_id", "turn", "h", "check"], "left")
+        quotes = quotes.withColumn("origin", F.coalesce("of_run", "of_line"))
+    else:
+        lines = known.select("conv_id", "turn", "part", F.explode("lines").alias("x")).select("conv_id", "turn", "part", "x.level", *hashed("x.line"))
+        # One origin per line and conversation, so the join cannot grow beyond the quotes; the digest confirms the hash.
+        origins = lines.where("level = 0").groupBy("conv_id", "h", "check").agg(F.min("turn").alias("origin"))
+        quotes = lines.where("level >= 1").join(origins, ["conv_id", "h", "check"], "left").withColumn("origin", F.when(F.col("origin") < F.col("turn"), F.col("origin")))
     votes = quotes.groupBy("part", "level", "origin").agg(F.count("*").alias("n"))
     found = F.col("origin").isNotNull()
     by_level = votes.groupBy("part", "level").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(found, F.col("n"))), F.lit(0)).alias("found"), F.max(F.when(found, F.struct("n", "origin"))).alias("best"))

@@ -113,3 +113,14 @@ def test_deeper_levels_find_their_origins(spark):
     assert [(got[t].parent_turn, got[t].linked_by, got[t].link_level) for t in (2, 3, 4, 5)] == [(1, "order", None), (0, "quote", 2), (1, "quote", 2), (2, "quote", 1)]
     assert [(got[t].n_quoted, got[t].n_found, got[t].n_deeper, got[t].n_deeper_found) for t in (3, 4, 5)] == [(0, 0, 1, 1), (1, 0, 2, 2), (1, 1, 1, 1)]
     assert [tuple(x) for x in got[4].origins] == [(2, 1, 1), (3, 0, 1)] and got[2].origins == []
+
+
+def test_whole_passages_come_from_the_latest_turn(spark):
+    """Also over ranges of turns: 3 and 1500 say "Thanks!", 1501 and 1502 quote it."""
+    said = {1: "A", 2: "B", 3: "Thanks!", 5: "A\n\nB", 6: "> a\n> B\nC", 7: "> Thanks!\nwelcome", 1500: "Thanks!", 1501: "> thanks!", 1502: ">> Thanks!", 1503: "Thanks!\nBye\nSee you", 1504: "> Thanks!\n> Bye", 1505: "> A\n>> C\n> B"}
+    rows = [(c, t, "user", x) for c in (1, 2) for t, x in said.items()] + [(2, 1499, "user", "A\nB")]
+    got = {(r.conv_id, r.turn): r for r in link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), whole=True).collect()}
+    want = {6: 5, 7: 3, 1501: 1500, 1502: 1500, 1504: 1503}
+    assert {(c, t): got[c, t].parent_turn for c in (1, 2) for t in want} == {(c, t): o for c in (1, 2) for t, o in want.items()}
+    assert [tuple(x) for x in got[1, 1505].origins] == [(1, 2, 1), (2, 6, 1)]
+    assert got[1, 6].n_found == 2 and got[1, 3].linked_by == "order"
