@@ -30,6 +30,11 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 @functools.lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
+    """The file's vocabulary, kept for the next batch."""
+    return _read(path)
+
+
+def _read(path: str) -> Vocabulary:
     with open(path, encoding="utf-8") as f:
         held: dict[str, Any] = json.load(f)
     letters = _byte_letters()
@@ -56,7 +61,7 @@ def fast_encoding(path: str):
     """
     import tiktoken
 
-    v = vocabulary(path)
+    v = _read(path)  # its tables are dropped when the encoding has its own
     made = [new for _, new in sorted(v.merges.values())]
     if any(a >= b for a, b in zip(made, made[1:])) or made and min(made) <= max(v.byte_ids):
         raise ValueError(f"{path}: merge order differs from id order; this vocabulary needs the tokenizers library")

@@ -8,8 +8,9 @@ Pieces of one length are interchangeable, so the packer needs only how many ther
 ``size`` counts, whatever the corpus. It places a whole run of equal pieces at once, in the windows where one
 after the other would have gone, and returns a plan of intervals: pieces ranked r0 to r1 of a length go to windows
 from s on, k in each, from an offset on. The plan's size depends on ``size`` alone (each length touches a group of
-windows once and splits two at most). A piece's rank within its length is its row number in a salted bucket plus
-the bucket's base, so a length that a third of all pieces share is no hot key.
+windows once and splits two at most). A piece's rank is its number among the pieces of its length in the task that
+cut it, counted there and written with it, plus how many the tasks before it have. So nothing is sorted to rank
+pieces, repeated or null ids are no hot key, and neither is a length that a third of all pieces share.
 """
 
 from __future__ import annotations
@@ -24,10 +25,6 @@ from pyspark.sql import functions as F
 from loomnote.llm.bpe import fast_encoding
 from loomnote.llm.common import staged
 
-#: Pieces that a salted bucket of the ranking holds on average.
-BUCKET = 2_000
-
-
 class RoomTree:
     """A segment tree over remaining capacities 0 to ``size``: how many groups of windows have each."""
 
@@ -101,15 +98,20 @@ def best_fit_plan(counts: dict[int, int], size: int) -> tuple[list[tuple[int, in
 
 
 def pieces(df: DataFrame, path: str, size: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, start, length, ids_crc32, doc_tokens``: each document's ids cut into full windows and a rest."""
+    """``id_col, start, length, ids_crc32, doc_tokens, task, rank``: each document's ids cut into full windows and a rest.
+
+    ``rank`` numbers the pieces of a length in one task. Both depend on how the rows lie, so the table is to be written before it is used twice.
+    """
     kind = df.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
+        from pyspark import TaskContext
 
-        encoding = fast_encoding(path)
+        encoding, task, ranks = fast_encoding(path), TaskContext.get().partitionId(), [0] * (size + 1)
+        names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "task", "rank"]
         for batch in batches:
-            rows, start, length, crc, total = [], [], [], [], []
+            rows, start, length, crc, total, rank = [], [], [], [], [], []
             for row, text in enumerate(batch.column(1)):
                 ids = np.append(encoding.encode_to_numpy(text.as_py(), allowed_special="all"), end_id).astype("<u4")
                 for at in range(0, len(ids), size):
@@ -119,10 +121,13 @@ def pieces(df: DataFrame, path: str, size: int = 1024, end_id: int = 0, id_col:
                     length.append(len(part))
                     crc.append(zlib.crc32(part.tobytes()))
                     total.append(len(ids))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], names=[id_col, "start", "length", "ids_crc32", "doc_tokens"])
+                    rank.append(ranks[len(part)])
+                    ranks[len(part)] += 1
+            numbers = (start, length, crc, total, [task] * len(rows), rank)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in numbers)], names=names)
 
     rows = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(cut, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    return rows.mapInArrow(cut, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, task long, rank long")
 
 
 def pack(df: DataFrame, path: str, size: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,14 +142,11 @@ def pack(df: DataFrame, path: str, size: int = 1024, end_id: int = 0, id_col: st
     plan, windows = best_fit_plan({k: n for k, n in counts.items() if k < size}, size)
     if counts.get(size):
         plan.append((size, 0, counts[size], 1, windows, 0))
-    buckets = max(1, sum(counts.values()) // BUCKET)
-
-    order = [F.col(id_col), F.col("start"), F.col("ids_crc32"), F.col("doc_tokens")]
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64(id_col, "start"), F.lit(buckets)).cast("int"))
-    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy(*order)) - 1)
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    bases = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    placed = ranked.join(bases, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("base"))
+
+    # How many pieces of a length the tasks before have: a row per length and task, not per piece.
+    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    bases = cut.groupBy("length", "task").agg(F.count("*").alias("n")).select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    placed = cut.join(bases, ["length", "task"]).withColumn("rank", F.col("rank") + F.col("base"))
 
     intervals = spark.createDataFrame(plan, "length long, rank_from long, rank_to long, each long, first_window long, at long")
     i = F.col("rank") - F.col("rank_from")
