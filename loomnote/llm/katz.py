@@ -18,7 +18,7 @@ Tokens are moved as packed arrays, not as rows:
 4. A pass over that table, where it lies, evaluates every token, bigram first and unigram where it backs off, and sums
    by document.
 
-Only counts of counts and the sums of spread histories (at most ``4 * parts``) reach the driver.
+Only sums reach the driver: N, V, the number of training texts and counts of counts.
 """
 
 from __future__ import annotations
@@ -31,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomnote.llm.common import staged
+from loomnote.llm.common import discard, staged
 
 #: Counts up to this are discounted.
 KATZ = 5
 #: Tokens and documents of a block (a longer document is a block of its own); least count of a history that is spread.
 BLOCK_TOKENS, BLOCK_DOCS, SPREAD = 1_250_000, 60_000, 200_000
+#: Tokens of a part: their number grows with the data, and what a task holds does not.
+PART_TOKENS = 2_500_000
 #: Ids of the unknown word and of the start of a text.
 UNKNOWN, START = 0xFFFFFFFE, 0xFFFFFFFF
 #: Words whose hash a worker remembers.
@@ -49,7 +51,7 @@ def _pack(*arrays) -> bytes:
     import zstandard
 
     out = []
-    squeeze = zstandard.ZstdCompressor(level=1).compress
+    squeeze = zstandard.ZstdCompressor(level=3).compress
     for a in arrays:
         a = np.ascontiguousarray(a)
         most = int(a.max()) if len(a) else 0
@@ -144,7 +146,7 @@ def _discounted(c, d: list[float]):
 # -- 1: blocks ---------------------------------------------------------------
 
 
-def _blocks(df: DataFrame, parts: int, id_col: str, text_col: str) -> DataFrame:
+def _blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,16 +174,13 @@ def _blocks(df: DataFrame, parts: int, id_col: str, text_col: str) -> DataFrame:
             train_texts = sum(not x[1] for x in texts)
             words, local = np.unique(stream, return_inverse=True)
             train = np.bincount(local[: int(length[:train_texts].sum())], minlength=len(words)).astype("u4")
-            part = ((words >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            cuts = np.searchsorted(part, np.arange(parts + 1))
-            held = [{"part": p, "words": _pack(words[a:b], train[a:b])} for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
             made += 1
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([first + made], pa.int64()), pa.array([[x[0].as_py() for x in texts]], pa.list_(texts[0][0].type)), pa.array([train_texts], pa.int64()),
-                    pa.array([_pack(local.astype("u4"), length)], pa.binary()), pa.array([held], pa.list_(pa.struct([("part", pa.int32()), ("words", pa.binary())]))),
+                    pa.array([len(stream)], pa.int64()), pa.array([_pack(local.astype("u4"), length)], pa.binary()), pa.array([_pack(words, train)], pa.binary()),
                 ],
-                names=["block", "ids", "train_texts", "tokens", "dictionary"],
+                names=["block", "ids", "train_texts", "n_tokens", "tokens", "dictionary"],
             )
 
         texts, n = [], 0
@@ -199,12 +198,30 @@ def _blocks(df: DataFrame, parts: int, id_col: str, text_col: str) -> DataFrame:
 
     held_out = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(10)) == 0
     rows = df.select(F.col(id_col), held_out.alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"block long, ids array<{kind}>, train_texts long, tokens binary, dictionary array<struct<part int, words binary>>")
+    return rows.mapInArrow(run, f"block long, ids array<{kind}>, train_texts long, n_tokens long, tokens binary, dictionary binary")
 
 
 # -- 2: dictionaries ---------------------------------------------------------
 
 
+def _dealt(blocks: DataFrame, parts: int) -> DataFrame:
+    """``block, part, words``: the dictionaries of ``blocks``, cut into parts by the hash of the word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for b in batches:
+            for block, held in zip(b.column(0).to_pylist(), b.column(1)):
+                words, train = _unpack(held.as_py())
+                part = ((words >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # ascending, as the words are
+                first, _ = _runs(part)
+                cuts = [*first.tolist(), len(words)]
+                out = [_pack(words[x:y], train[x:y]) for x, y in zip(cuts, cuts[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(out), pa.int64()), pa.array(part[first].astype("i4")), pa.array(out, pa.binary())], names=["block", "part", "words"])
+
+    return blocks.select("block", "dictionary").mapInArrow(run, "block long, part int, words binary")
+
+
 def _merge_dictionaries(entries: DataFrame, parts: int) -> DataFrame:
     """``entries`` (part, block, words) to rows (block, part, known: ids and counts of the block's words); block -1 has counts of counts."""
 
@@ -231,6 +248,19 @@ def _merge_dictionaries(entries: DataFrame, parts: int) -> DataFrame:
     return entries.groupBy("part").applyInArrow(run, "block long, part int, known binary")
 
 
+def _totals(packed: DataFrame) -> list[int]:
+    """N, V and counts of counts: the sums of the packed ones of all parts."""
+    names = [f"x{i}" for i in range(KATZ + 3)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = [_unpack(x.as_py())[0].tolist() for x in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(x)], pa.int64()) for x in zip(*held)] if held else [pa.array([], pa.int64())] * len(names), names=names)
+
+    sums = packed.select("known").mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    return list(sums.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in names)).first())
+
+
 # -- 3: bigrams by history ---------------------------------------------------
 
 
@@ -425,7 +455,26 @@ def _counted(rows: DataFrame, uni: Unigrams, spread: int, kind: str) -> DataFram
     )
 
 
-def _scores(parts: DataFrame, uni: Unigrams, d: list[float], hot: dict[int, tuple[float, float]]) -> DataFrame:
+#: Parts with spread histories up to this number get these by broadcast (a few kilobytes each); more are joined by shuffle.
+BROADCAST_PARTS = 2_000
+
+
+def _with_spread(parts: DataFrame, d: list[float]) -> DataFrame:
+    """``blocks, bigrams, spread`` of ``parts``: the spread histories of each part (h, alpha, factor), from the sums of all parts that have a share."""
+    shares = staged(parts.select("part", F.explode("hot").alias("x")).select("part", "x.*"), "spread")
+    held = [F.sum(F.col("held")[r]).alias(f"held{r}") for r in range(KATZ + 1)]
+    whole = shares.groupBy("h").agg(F.first("total").alias("total"), F.sum("seen").alias("seen"), *held)
+    spared = sum((F.col(f"held{r}") * (1 - d[r]) for r in range(KATZ)), F.lit(0.0))
+    whole = whole.withColumn("spared", spared)
+    free = F.when(F.col("spared") > 0, F.col("spared") / F.col("total")).otherwise(1 / (F.col("total") + 1))
+    factor = F.when(F.col("spared") > 0, 1.0).otherwise(F.col("total") / (F.col("total") + 1))
+    rates = whole.select("h", F.log10(free / F.greatest(1 - F.col("seen"), F.lit(1e-300))).alias("alpha"), factor.alias("factor"))
+    lists = shares.select("part", "h").join(rates, "h").groupBy("part").agg(F.collect_list(F.struct("h", "alpha", "factor")).alias("spread"))
+    few = shares.select("part").distinct().count() <= BROADCAST_PARTS
+    return parts.join(F.broadcast(lists) if few else lists, "part", "left").select("blocks", "bigrams", "spread")
+
+
+def _scores(parts: DataFrame, uni: Unigrams, d: list[float]) -> DataFrame:
     """Per part and block: the documents' sums of log10 P(w | h) over the part's tokens. The parts are read where they lie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -436,16 +485,16 @@ def _scores(parts: DataFrame, uni: Unigrams, d: list[float], hot: dict[int, tupl
                 part = _Part.unpacked(b.column(1)[row].as_py())
                 held, seen = part.sums(uni)
                 alpha, factor = backoff(held, seen, part.history_count[part.first], d)
-                for i, h in enumerate(part.h.tolist()):
-                    if h in hot:
-                        alpha[i], factor[i] = hot[h]
+                for x in b.column(2)[row].as_py() or ():
+                    i = np.searchsorted(part.h, x["h"])
+                    alpha[i], factor[i] = x["alpha"], x["factor"]
                 with np.errstate(divide="ignore"):
                     direct = np.log10(_discounted(part.count, d) * factor[part.group] / part.history_count)
                 log = np.where(part.count > 0, direct, alpha[part.group] + uni.log(part.word_count))
                 out = [_pack(there.astype("u2"), sums.view("u8")) for there, sums in part.by_block(log)]
                 yield pa.RecordBatch.from_arrays([pa.array(b.column(0)[row].as_py(), pa.int64()), pa.array(out, pa.binary())], names=["block", "sums"])
 
-    return parts.select("blocks", "bigrams").mapInArrow(run, "block long, sums binary")
+    return parts.mapInArrow(run, "block long, sums binary")
 
 
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", spread: int = SPREAD) -> DataFrame:
@@ -457,27 +506,21 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", spread:
     each time. Without training rows every token is the unknown word, with probability 1. Other columns are left out.
     """
     spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = df.schema[id_col].dataType.simpleString()
-    blocks = staged(_blocks(df, parts, id_col, text_col), "blocks")
-    known = staged(_merge_dictionaries(blocks.select("block", F.explode("dictionary").alias("x")).select("block", "x.*"), parts), "dictionary")
-    stats = [_unpack(r.known)[0].tolist() for r in known.where("block = -1").collect()]  # one short row per part
-    texts = blocks.agg(F.sum("train_texts")).first()[0] or 0
-    total = [sum(x) for x in zip(*stats)] or [0] * (KATZ + 3)
+    blocks = staged(_blocks(df, id_col, text_col), "blocks")
+    texts, n_tokens = blocks.agg(F.coalesce(F.sum("train_texts"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    parts = max(1, -(-n_tokens // PART_TOKENS))
+    known = staged(_merge_dictionaries(_dealt(blocks, parts), parts), "dictionary")
+    total = _totals(known.where("block = -1"))
     uni = Unigrams(total[0], total[1], texts, [0, *total[2:]])
     spread = max(spread, uni.tokens // (4 * parts))
 
     of_block = known.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("part", "known")).alias("known"))  # a block's own dictionary
     table = staged(_counted(_bigrams(blocks.join(of_block, "block"), parts, uni, spread, kind), uni, spread, kind), "bigrams")
+    discard(blocks, known)
     by_part = table.where("part >= 0")
-    low, hot = [0.0] * (KATZ + 1), {}
-    for r in by_part.select("low", "hot").collect():  # a row per part, with its shares of spread histories
-        low = [a + b for a, b in zip(low, r.low)]
-        for x in r.hot:
-            was = hot.get(x.h, (x.total, [0.0] * (KATZ + 1), 0.0))
-            hot[x.h] = (x.total, [a + b for a, b in zip(was[1], x.held)], was[2] + x.seen)
-    d = discounts([0, *map(int, low)])
-    spread_out = {h: tuple(float(x[0]) for x in backoff([held], [seen], [n], d)) for h, (n, held, seen) in hot.items()}
+    low = by_part.agg(*(F.coalesce(F.sum(F.col("low")[r]), F.lit(0)).cast("long") for r in range(KATZ + 1))).first()
+    d = discounts([0, *low])
 
     def add(table: pa.Table) -> pa.Table:
         import numpy as np
@@ -496,5 +539,5 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", spread:
 
     docs = table.where("part < 0").select(F.col("blocks")[0].alias("block"), "train_texts", "ids", "n_tokens", "n_known", "base", "score", F.lit(None).cast("binary").alias("sums"))
     none = [F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in ("train_texts", "ids", "n_tokens", "n_known", "base", "score")]
-    sums = _scores(by_part, uni, d, spread_out).select("block", *none, "sums")
+    sums = _scores(_with_spread(by_part, d), uni, d).select("block", *none, "sums")
     return docs.unionAll(sums).groupBy("block").applyInArrow(add, f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
