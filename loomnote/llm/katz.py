@@ -38,7 +38,7 @@ KATZ = 5
 #: Tokens and documents of a block (a longer document is a block of its own); least count of a history that is spread.
 BLOCK_TOKENS, BLOCK_DOCS, SPREAD = 1_250_000, 60_000, 200_000
 #: Tokens of a part: their number grows with the data, and what a task holds does not.
-PART_TOKENS = 2_500_000
+PART_TOKENS = 1_500_000
 #: Ids of the unknown word and of the start of a text.
 UNKNOWN, START = 0xFFFFFFFE, 0xFFFFFFFF
 #: Words whose hash a worker remembers.
@@ -275,27 +275,33 @@ def _bigrams(blocks: DataFrame, parts: int, uni: Unigrams, spread: int, kind: st
                 block, train_texts = b.column(0)[row].as_py(), b.column(2)[row].as_py()
                 local, length = _unpack(b.column(3)[row].as_py())
                 known = [_unpack(x["known"]) for x in sorted(b.column(4)[row].as_py(), key=lambda x: x["part"])]
-                ids, count = (np.concatenate(x)[local] for x in zip(*known))
+                id_of, count_of = (np.concatenate(x) for x in zip(*known))  # of the block's words
+                del known
+                ids, count = id_of[local], count_of[local]
                 doc = np.repeat(np.arange(len(length), dtype="u2"), length)
                 starts = np.cumsum(length) - length
                 h, ch = np.empty_like(ids), np.empty_like(count)
                 h[1:], ch[1:] = ids[:-1], count[:-1]
                 h[starts], ch[starts] = START, uni.texts
-                base = np.bincount(doc, weights=uni.base(count), minlength=len(length))
-                score = np.bincount(doc, weights=np.where(ch > 0, 0.0, uni.log(count)), minlength=len(length))
-                n_known = np.bincount(doc, weights=count > 0, minlength=len(length)).astype("i8")
+                base = np.bincount(doc, weights=uni.base(count_of)[local], minlength=len(length))
+                alone = ch == 0  # after an unknown history the unigram is all
+                score = np.bincount(doc[alone], weights=uni.log(count_of)[local[alone]], minlength=len(length))
+                n_known = np.bincount(doc[count > 0], minlength=len(length)).astype("i8")
+                del local, id_of, count_of
                 docs = pa.array([length.astype("i8").tolist()], pa.list_(pa.int64())), pa.array([n_known.tolist()], pa.list_(pa.int64())), pa.array([base.tolist()], pa.list_(pa.float64())), pa.array([score.tolist()], pa.list_(pa.float64()))
                 ids_of = pa.array([b.column(1)[row].as_py()], b.schema.field(1).type)
                 yield batch([block], [-block], [train_texts], [None], ids_of, *docs)
 
-                here = np.flatnonzero(ch > 0)  # after an unknown history the unigram is all
-                h, w, c, ch, doc = h[here], ids[here], count[here], ch[here], doc[here]
-                salt = np.where(ch >= spread, _mix(w) % (ch // np.uint64(spread) + np.uint64(1)), np.uint64(0))
-                part = (_mix(h.astype("u8") + (salt << np.uint64(32))) % np.uint64(parts)).astype("u4")
+                seen = ~alone
+                h, w, c, ch, doc = h[seen], ids[seen], count[seen], ch[seen], doc[seen]
+                del ids, count, alone, seen
+                part = _part_of(h, w, ch, spread, parts)
                 key = h.astype("u8") << np.uint64(32) | w
+                del h, w
                 order = np.argsort(key, kind="stable")
                 order = order[np.argsort(part[order], kind="stable")]
                 key, doc, c, ch, part = key[order], doc[order], c[order], ch[order], part[order]
+                del order
                 cuts = np.searchsorted(part, np.arange(parts + 1))
                 for p, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
                     if lo < hi:
@@ -309,6 +315,18 @@ def _bigrams(blocks: DataFrame, parts: int, uni: Unigrams, spread: int, kind: st
     return blocks.select("block", "ids", "train_texts", "tokens", "known").mapInArrow(run, f"block long, part long, train_texts long, bigrams binary, ids array<{kind}>, n_tokens array<long>, n_known array<long>, base array<double>, score array<double>")
 
 
+def _part_of(h, w, ch, spread: int, parts: int):
+    """The part of each bigram: that of its history, or one of several by its word where the history is spread."""
+    import numpy as np
+
+    salt = np.zeros(len(h), "u8")
+    large = np.flatnonzero(ch >= spread)
+    salt[large] = _mix(w[large]) % (ch[large] // np.uint64(spread) + np.uint64(1))
+    salt <<= np.uint64(32)
+    salt += h
+    return (_mix(salt) % np.uint64(parts)).astype("u4")
+
+
 def _pack_bigrams(key, doc, c, ch) -> bytes:
     """Sorted bigrams with their documents: each history and each bigram is written once."""
     import numpy as np
@@ -497,19 +515,26 @@ def _scores(parts: DataFrame, uni: Unigrams, d: list[float]) -> DataFrame:
     return parts.mapInArrow(run, "block long, sums binary")
 
 
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", spread: int = SPREAD) -> DataFrame:
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", spread: int = SPREAD, order: int = 2) -> DataFrame:
     """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score`` for each row.
 
     Training takes rows whose crc32 of the id as text, mod 10, is not 0; ``held_out`` are the others. Tokens are runs
     without ASCII white space, A-Z in lower case, then one end. ``base_score`` sums log10((c + 0.1) / (N + 0.1 * (V + 1))).
     A null text is empty and has the end alone. A null id counts as the text '' (so it is held out). Repeated rows count
     each time. Without training rows every token is the unknown word, with probability 1. Other columns are left out.
+
+    ``order`` is the length of the longest n-grams. Bigrams are counted in packed arrays, as above; longer ones take the
+    plain form in ``katz_order``, which gives the same model and backs off as often as it has to.
     """
+    if order != 2:
+        from loomnote.llm import katz_order
+
+        return katz_order.score(df, order, id_col, text_col)
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
     blocks = staged(_blocks(df, id_col, text_col), "blocks")
     texts, n_tokens = blocks.agg(F.coalesce(F.sum("train_texts"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
-    parts = max(1, -(-n_tokens // PART_TOKENS))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_tokens // PART_TOKENS))
     known = staged(_merge_dictionaries(_dealt(blocks, parts), parts), "dictionary")
     total = _totals(known.where("block = -1"))
     uni = Unigrams(total[0], total[1], texts, [0, *total[2:]])

@@ -1,3 +1,4 @@
+import functools
 import math
 import random
 import zlib
@@ -6,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from loomnote.llm import katz
+from loomnote.llm import katz, katz_order
 from loomnote.llm.katz import KATZ, discounts, score
 
 SCHEMA = "doc_id long, text string, score string, block int, part int"
@@ -103,3 +104,51 @@ def test_packing_round_trip():
     rng = np.random.default_rng(1)
     for a in ([np.array([], "u4"), np.array([0], "u2")], [rng.integers(0, 2**63, 1000, dtype="u8"), rng.integers(0, 70000, 5, dtype="u4")]):
         assert all((x == y).all() and x.dtype == y.dtype for x, y in zip(a, katz._unpack(katz._pack(*a))))
+
+
+class PlainOrder(Plain):
+    """The model of any order, by recursion over dictionaries."""
+
+    def __init__(self, texts, order):
+        super().__init__(texts)
+        self.order, self.next, self.d = order, {}, {}
+        for k in range(2, order + 1):
+            counts = Counter()
+            for t in texts:
+                seq = ["<s>"] * (k - 1) + t
+                counts.update(tuple(seq[i : i + k]) for i in range(len(t)))
+            self.d[k] = discounts([0, *(sum(c == r for c in counts.values()) for r in range(1, KATZ + 2))])
+            for g, c in counts.items():
+                self.next.setdefault(g[:-1], {})[g[-1]] = c
+
+    def p(self, w, h):
+        if not h:
+            return self.p1(w)
+        seen = self.next.get(h)
+        if not seen:
+            return self.p(w, h[1:])
+        d, total = self.d[len(h) + 1], sum(seen.values())
+        spared = sum(c - self.cut(c, d) for c in seen.values())
+        factor, free = (1.0, spared / total) if spared > 0 else (total / (total + 1), 1 / (total + 1))
+        return self.cut(seen[w], d) * factor / total if w in seen else free / (1 - sum(self.p(x, h[1:]) for x in seen)) * self.p(w, h[1:])
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_any_order_equals_recursion(spark, order):
+    rows = corpus(70)
+    tokens = lambda t: [x.decode() for x in lower(t or "").encode().split()] + ["</s>"]
+    held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 10 == 0
+    m, want = PlainOrder([tokens(t) for d, t in rows if not held(d)], order), []
+    m.p1 = functools.cache(m.p1)
+    m.p = functools.cache(m.p)
+    for d, t in rows:
+        seq = tokens(t)
+        padded = ["<s>"] * (order - 1) + seq
+        want.append((str(d), held(d), len(seq), sum(m.uni[w] > 0 for w in seq), m.n, sum(math.log10(m.p(w, tuple(padded[i : i + order - 1]))) for i, w in enumerate(seq))))
+    df = spark.createDataFrame([(*r, "", 1, 2) for r in rows], SCHEMA)
+    for found in (katz_order.score(df, order), score(df, order=order)):
+        got = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.score) for r in found.collect())
+        assert [x[:5] for x in got] == [x[:5] for x in sorted(want)]
+        assert [x[5] for x in got] == pytest.approx([x[5] for x in sorted(want)], rel=1e-9)
+    for h in [("<s>",) * (order - 1), *list(m.next)[:40]]:
+        assert sum(m.p(w, h) for w in [*m.uni, "<unk>"]) == pytest.approx(1)
