@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,6 +14,11 @@ WORD = rf"[{WORD_CLASS}]"
 NOT_WORD = rf"[^{WORD_CLASS}]"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is worked out once however often ``body`` (or a lambda in it) refers to it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def tokens(text: Column) -> Column:
     """All words of a text, in lower case and in order."""
     return F.regexp_extract_all(F.lower(text), F.lit(rf"{WORD}+"), F.lit(0))
@@ -172,51 +177,55 @@ def hover_preview(content: Column, length: int = 400) -> Column:
 
 def mask_code(content: Column) -> Column:
     """Blank fenced blocks, then inline code, keeping every offset and line end. An unclosed fence stays."""
-    return _blanked(_blanked(content, r"(?s)```.*?```"), r"`[^`\n]*`")
+    masked = bound(_blanked(content, r"(?s)```.*?```"), lambda text: _blanked(text, r"`[^`\n]*`"))
+    return F.when(F.contains(content, F.lit("`")), masked).otherwise(content)
 
 
 def _blanked(text: Column, pattern: str) -> Column:
     """The text between matches woven with the matches as spaces."""
-    code = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    plain = F.split(text, pattern, -1)
-    blank = F.transform(code, lambda x: F.regexp_replace(x, r"[^\n]", " "))
-    woven = F.flatten(F.zip_with(plain, blank, lambda a, b: F.array(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))))
-    return F.when(F.size(code) == 0, text).otherwise(F.array_join(woven, ""))
+
+    def woven(code: Column) -> Column:
+        blank = F.transform(code, lambda x: F.regexp_replace(x, r"[^\n]", " "))
+        both = F.zip_with(F.split(text, pattern, -1), blank, lambda a, b: F.array(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))
+        return F.when(F.size(code) == 0, text).otherwise(F.array_join(F.flatten(both), ""))
+
+    return bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), woven)
 
 
 LINK = r"\[\[([^\]\[]+)\]\]"
+LINK_TYPE = "array<struct<ordinal:int,target:string,display_text:string,start:int,end:int>>"
 
 
 def wikilinks(content: Column) -> Column:
     """``array<struct<ordinal, target, display_text, start, end>>`` of ``[[target|display]]`` outside code; blank targets are skipped.
 
     Offsets come from splitting the masked text at the links: a link starts where the pieces and links before it end.
+    Every intermediate value is bound, so a text is masked and split once however many links it has.
     """
-    masked = mask_code(content)
-    links = F.regexp_extract_all(masked, F.lit(LINK), F.lit(0))
-    plain = F.transform(F.split(masked, LINK, -1), lambda x: F.length(x))
-    found = F.transform(links, _parsed_link)
-    placed = F.aggregate(
-        F.sequence(F.lit(0), F.size(links) - 1),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<target:string,display_text:string,start:int,end:int>>").alias("out")),
-        lambda s, i: _placed_link(s, F.get(plain, i), F.get(links, i), F.get(found, i)),
-    )["out"]
-    kept = F.filter(placed, lambda x: x["target"] != "")
-    numbered = F.transform(kept, lambda x, i: F.struct(i.alias("ordinal"), x["target"].alias("target"), x["display_text"].alias("display_text"), x["start"].alias("start"), x["end"].alias("end")))
-    none = F.array().cast("array<struct<ordinal:int,target:string,display_text:string,start:int,end:int>>")
-    return F.when(F.size(links) <= 0, none).otherwise(numbered)
-
-
-def _parsed_link(link: Column) -> Column:
-    inner = F.substring(link, F.lit(3), F.length(link) - 4)
-    target = F.trim(F.regexp_replace(F.substring_index(inner, "|", 1), r"^\s+|\s+$", ""))
-    bar = F.instr(inner, "|")
-    display = F.when(bar > 0, F.regexp_replace(F.substring(inner, bar + 1, F.length(inner)), r"^\s+|\s+$", ""))
-    return F.struct(target.alias("target"), F.when(display != "", display).alias("display_text"))
-
-
-def _placed_link(state: Column, before: Column, link: Column, parsed: Column) -> Column:
-    start = state["at"] + before
-    end = start + F.length(link)
-    one = F.struct(parsed["target"].alias("target"), parsed["display_text"].alias("display_text"), start.alias("start"), end.alias("end"))
-    return F.struct(end.alias("at"), F.array_append(state["out"], one).alias("out"))
+    none = F.array().cast(LINK_TYPE)
+    found = bound(mask_code(content), lambda masked: bound(F.regexp_extract_all(masked, F.lit(LINK), F.lit(0)), lambda links: F.when(F.size(links) == 0, none).otherwise(_placed_links(masked, links))))
+    return F.when(F.contains(content, F.lit("[[")), found).otherwise(none)
+
+
+def _placed_links(masked: Column, links: Column) -> Column:
+    def starts_of(plain: Column) -> Column:
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda s, i: bound(s["at"] + F.get(plain, i), lambda at: F.struct((at + F.length(F.get(links, i))).alias("at"), F.array_append(s["out"], at).alias("out")))
+        return F.aggregate(F.sequence(F.lit(0), F.size(links) - 1), first, step)["out"]
+
+    def rows(starts: Column) -> Column:
+        placed = F.transform(links, lambda link, i: bound(F.get(starts, i), lambda at: _parsed_link(link, at)))
+        kept = F.filter(placed, lambda x: x["target"] != "")
+        return F.transform(kept, lambda x, i: F.struct(i.alias("ordinal"), *(x[c].alias(c) for c in ("target", "display_text", "start", "end"))))
+
+    return bound(bound(F.transform(F.split(masked, LINK, -1), lambda x: F.length(x)), starts_of), rows)
+
+
+def _parsed_link(link: Column, at: Column) -> Column:
+    def parts(inner: Column) -> Column:
+        target = F.trim(F.regexp_replace(F.substring_index(inner, "|", 1), r"^\s+|\s+$", ""))
+        bar = F.instr(inner, "|")
+        display = F.when(bar > 0, F.regexp_replace(F.substring(inner, bar + 1, F.length(inner)), r"^\s+|\s+$", ""))
+        return F.struct(target.alias("target"), F.nullif(display, F.lit("")).alias("display_text"), at.alias("start"), (at + F.length(link)).alias("end"))
+
+    return bound(F.substring(link, F.lit(3), F.length(link) - 4), parts)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomnote.config import EngineConfig
-from loomnote.operators import graph, mentions, similarity, terms, wikilinks
+from loomnote.operators import graph, mentions, search, similarity, terms, wikilinks
 from loomnote.sources.files import as_notes
 from loomnote.sources.staging import cut
 
@@ -48,13 +48,26 @@ class Tables:
     note_term: DataFrame
     wikilink: DataFrame
     edge: DataFrame
+    term_df: DataFrame
+    note_token: DataFrame
 
+    def only(self, keep: Column) -> Tables:
+        """The rows of some notebooks."""
+        return Tables(*(getattr(self, f.name).where(keep) for f in fields(Tables)))
 
-def similar_layer(note_term: DataFrame, note: DataFrame, config: EngineConfig, plan: str = "blocked") -> DataFrame:
+    def cut(self) -> Tables:
+        """The tables computed: what follows starts from them, not from all that led to them."""
+        return Tables(*(cut(getattr(self, f.name)) for f in fields(Tables)))
+
+    def with_edges(self, edge: DataFrame) -> Tables:
+        return replace(self, edge=edge)
+
+
+def similar_layer(note_term: DataFrame, note: DataFrame, config: EngineConfig, plan: str = "blocked", df: DataFrame | None = None) -> DataFrame:
     """All similar edges. A notebook of fewer than two notes has none; neither has any if similarity is off."""
     if not config.similarity_enabled:
         return note.sparkSession.createDataFrame([], graph.EDGE_SCHEMA)
-    pairs = similarity.similar_pairs(note_term, note, config.similarity_threshold, plan)
+    pairs = similarity.similar_pairs(note_term, note, config.similarity_threshold, plan, df)
     return similarity.similar_edges(pairs, config.max_similar_per_note)
 
 
@@ -62,20 +75,26 @@ def build(note: DataFrame, config: EngineConfig = EngineConfig(), extractor=None
     """Everything from the notes: the three kinds of edges are independent branches."""
     note_term = cut(terms.note_terms(note, extractor, config.unicode_terms))  # three branches start here
     links = wikilinks.parsed_links(note)
+    term_df = similarity.document_frequency(note_term)
     edge = graph.union_edges(wikilinks.explicit_edges(links, note), mentions.mention_edges(note_term, note), similar_layer(note_term, note, config))
-    return Tables(note, note_term, links, edge)
+    return Tables(note, note_term, links, edge, term_df, search.note_tokens(search.search_documents(note)))
 
 
 def apply_batch(state: Tables, batch: DataFrame, config: EngineConfig = EngineConfig(), extractor=None) -> Tables:
-    """The state after a batch (notebook_id, relative_path, type, content, seq; type create, change or delete).
+    """The state after a batch (notebook_id, relative_path, type, content, seq; type create, change or delete; mtime_ms if known).
 
     The last event of a path counts; an upsert without content is skipped. A note that is deleted while a new one has
     the same hash is a rename: its terms are kept under the new path. Terms and links are made for changed notes only;
     explicit links and mentions are worked out again for what changed, and for what refers to names that appeared or
-    went; similar edges depend on every note and are made anew, so that the result is that of a build from scratch.
+    went. Document frequencies change by a signed sum, the search index by the rows of changed notes. Similar edges
+    depend on every note of their notebook: they are made anew for the notebooks that the batch touches, and stay as
+    they are in all others, so that the result is that of a build from scratch. ``mtime_ms`` is when a file was
+    changed; a batch that doesn't tell has the time at which it is applied.
     """
     last = cut(latest_events(batch))
-    upserts = as_notes(last.where("type <> 'delete' and content is not null").withColumn("mtime_ms", F.col("seq").cast("double")))
+    now = F.unix_millis(F.current_timestamp()).cast("double")
+    mtime = F.coalesce(F.col("mtime_ms").cast("double"), now) if "mtime_ms" in last.columns else now
+    upserts = cut(as_notes(last.where("type <> 'delete' and content is not null").withColumn("mtime_ms", mtime)))
     gone = last.where("type = 'delete'").select(KEYS)
     deleted = state.note.join(gone, KEYS, "left_semi").select(*KEYS, "hash")
     created = upserts.join(state.note.select(KEYS), KEYS, "left_anti").select(*KEYS, "hash")
@@ -86,7 +105,10 @@ def apply_batch(state: Tables, batch: DataFrame, config: EngineConfig = EngineCo
     kept_terms = state.note_term.join(touched, KEYS, "left_anti")
     carried = state.note_term.join(moved.withColumnRenamed("old_path", "relative_path"), KEYS).select("notebook_id", F.col("new_path").alias("relative_path"), "term", "tf")
     fresh = upserts.join(moved.select("notebook_id", F.col("new_path").alias("relative_path")), KEYS, "left_anti")
-    note_term = cut(kept_terms.unionByName(carried).unionByName(terms.note_terms(fresh, extractor, config.unicode_terms)))
+    come = cut(carried.unionByName(terms.note_terms(fresh, extractor, config.unicode_terms)))
+    note_term = cut(kept_terms.unionByName(come))
+    term_df = similarity.frequency_change(state.term_df, state.note_term.join(touched, KEYS, "left_semi"), come)
+    note_token = state.note_token.join(touched, KEYS, "left_anti").unionByName(search.note_tokens(search.search_documents(upserts)))
     as_source = touched.withColumnRenamed("relative_path", "source")
     links = cut(state.wikilink.join(as_source, ["notebook_id", "source"], "left_anti").unionByName(wikilinks.parsed_links(upserts)))
 
@@ -100,17 +122,21 @@ def apply_batch(state: Tables, batch: DataFrame, config: EngineConfig = EngineCo
     mention = mentions.mention_edges(note_term.join(speakers, KEYS, "left_semi"), note)
     speaking = speakers.withColumnRenamed("relative_path", "source")
 
+    in_touched = touched.select("notebook_id").distinct()
+    of_touched = lambda df: df.join(in_touched, "notebook_id", "left_semi")
+    similar = similar_layer(of_touched(note_term), of_touched(note), config, df=of_touched(term_df))
+    still = state.edge.where("type = 'similar'").join(in_touched, "notebook_id", "left_anti")
     old = graph.remove_notes(state.edge.where("type <> 'similar'"), gone)
     kept = old.where("type = 'explicit'").join(sources, ["notebook_id", "source"], "left_anti").unionByName(old.where("type = 'mention'").join(speaking, ["notebook_id", "source"], "left_anti"))
-    edge = graph.union_edges(kept, explicit, mention, similar_layer(note_term, note, config))
-    return Tables(note, note_term, links, cut(edge))
+    edge = graph.union_edges(kept, explicit, mention, similar, still)
+    return Tables(note, note_term, links, edge, term_df, note_token)
 
 
 def reconcile_batch(stored: DataFrame, found: DataFrame) -> DataFrame:
     """The batch that turns ``stored`` notes into ``found`` ones, for ``apply_batch``."""
     diff = snapshot_diff(stored, found)
     kind = F.when(F.col("change") == "deleted", "delete").when(F.col("change") == "created", "create").otherwise("change")
-    return diff.join(found.select(*KEYS, "content", "mtime_ms"), KEYS, "left").select(*KEYS, kind.alias("type"), "content", F.coalesce("mtime_ms", F.lit(0.0)).cast("long").alias("seq"))
+    return diff.join(found.select(*KEYS, "content", "mtime_ms"), KEYS, "left").select(*KEYS, kind.alias("type"), "content", F.coalesce("mtime_ms", F.lit(0.0)).cast("long").alias("seq"), "mtime_ms")
 
 
 def with_progress(rows: DataFrame, done: str, total: str) -> DataFrame:

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomnote.config import EngineConfig
-from loomnote.functions.text import driver_tokens, has_any_word_prefix, has_phrase, has_word_prefix, lead_preview, path_text, search_title, snippets, tokens
+from loomnote.functions.text import bound, driver_tokens, has_any_word_prefix, has_phrase, has_word_prefix, lead_preview, path_text, search_title, snippets, tokens
 from loomnote.operators.graph import inbound_counts, orphans
 from loomnote.operators.wikilinks import resolved_links
 from loomnote.plans.query_language import ParsedQuery, parse_query
+from loomnote.sources.staging import cut
 
 #: Fields and how much each weighs in the score.
 BOOSTS = {"title": 4.0, "path_text": 2.0, "content": 1.0}
@@ -27,18 +28,39 @@ def search_documents(notes: DataFrame) -> DataFrame:
     return notes.select(*KEYS, search_title(path).alias("title"), path_text(path).alias("path_text"), F.coalesce("content", F.lit("")).alias("content"))
 
 
+def _fields(documents: DataFrame, words=lambda ws: ws, names: tuple[str, ...] = tuple(BOOSTS)) -> DataFrame:
+    """``notebook_id, relative_path, field, field_len, words``: a row for each field of each note; ``words`` may narrow the tokens kept."""
+    made = lambda f: bound(tokens(F.col(f)), lambda ws: F.struct(F.lit(f).alias("field"), F.size(ws).alias("field_len"), words(ws).alias("words")))
+    return documents.select(*KEYS, F.explode(F.array(*map(made, names))).alias("x")).select(*KEYS, "x.*")
+
+
+def _counted(fields: DataFrame) -> DataFrame:
+    rows = fields.select(*KEYS, "field", "field_len", F.explode("words").alias("token"))
+    return rows.groupBy(*KEYS, "field", "token").agg(F.count("*").cast("int").alias("tf"), F.first("field_len").alias("field_len"))
+
+
 def note_tokens(documents: DataFrame) -> DataFrame:
     """The index: ``notebook_id, relative_path, field, token, tf, field_len``."""
-    fields = F.array(*(F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("words")) for f in BOOSTS))
-    rows = documents.select(*KEYS, F.explode(fields).alias("x")).select(*KEYS, "x.field", F.size("x.words").alias("field_len"), F.explode("x.words").alias("token"))
-    return rows.groupBy(*KEYS, "field", "token").agg(F.count("*").cast("int").alias("tf"), F.first("field_len").alias("field_len"))
+    return _counted(_fields(documents))
+
+
+def field_stats(index: DataFrame, documents: DataFrame) -> DataFrame:
+    """Per notebook and field: notes and average words, from the index alone but for the number of notes."""
+    n = documents.groupBy("notebook_id").agg(F.count("*").alias("n_docs"))
+    total = index.groupBy("notebook_id", "field").agg(F.sum("tf").alias("total"))
+    return total.join(n, "notebook_id").select("notebook_id", "field", "n_docs", (F.col("total") / F.col("n_docs")).alias("avg_len"))
+
 
+def index_for(documents: DataFrame, raw: str) -> tuple[DataFrame, DataFrame]:
+    """The part of the index that a query can hit, and the statistics, in one pass over notes that have no index yet.
 
-def field_stats(documents: DataFrame) -> DataFrame:
-    """Per notebook and field: notes and average words."""
-    fields = F.array(*(F.struct(F.lit(f).alias("field"), F.size(tokens(F.col(f))).alias("n")) for f in BOOSTS))
-    rows = documents.select("notebook_id", F.explode(fields).alias("x"))
-    return rows.groupBy("notebook_id", F.col("x.field").alias("field")).agg(F.count("*").alias("n_docs"), F.avg("x.n").alias("avg_len"))
+    Tokens that no term matches are dropped inside each note, before anything becomes a row.
+    """
+    terms, searched = retrieval_terms(parse_query(raw))
+    fields = _fields(documents, lambda ws: F.filter(ws, lambda w: matches(w, terms)), searched)
+    fields = cut(fields) if terms else fields  # by filters alone nothing is read
+    stats = fields.groupBy("notebook_id", "field").agg(F.count("*").alias("n_docs"), F.avg("field_len").alias("avg_len"))
+    return _counted(fields), stats
 
 
 def retrieval_terms(q: ParsedQuery) -> tuple[list[str], tuple[str, ...]]:
@@ -52,6 +74,17 @@ def retrieval_terms(q: ParsedQuery) -> tuple[list[str], tuple[str, ...]]:
     return list(dict.fromkeys(split)), fields
 
 
+def _near(token: Column, term: str) -> Column:
+    """Whether one edit at most parts a token and a term."""
+    return (F.abs(F.length(token) - len(term)) <= 1) & (F.levenshtein(token, F.lit(term), 1) >= 0)
+
+
+def matches(token: Column, terms: list[str]) -> Column:
+    """Whether any term is the start of a token or, if long enough, near to it."""
+    tests = [token.startswith(t) for t in terms] + [_near(token, t) for t in terms if len(t) >= FUZZY_LENGTH]
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+
 def retrieve(index: DataFrame, stats: DataFrame, terms: list[str], fields: tuple[str, ...] = tuple(BOOSTS)) -> DataFrame:
     """``notebook_id, relative_path, score, rung, widened``: the matches of the strictest rung that finds anything in a notebook.
 
@@ -61,19 +94,18 @@ def retrieve(index: DataFrame, stats: DataFrame, terms: list[str], fields: tuple
     """
     if not terms:
         return index.sparkSession.createDataFrame([], "notebook_id string, relative_path string, score double, rung int, widened boolean")
-    # Terms come with the query: a handful, so the disjunction is pushed to the scan and the join is a broadcast.
+    # Terms come with the query: a handful, so what they match is one condition on the scan of the index.
     fuzzy = [t for t in terms if len(t) >= FUZZY_LENGTH]
-    near = lambda t: (F.abs(F.length("token") - len(t)) <= 1) & (F.levenshtein("token", F.lit(t), 1) >= 0)
+    near = lambda t: _near(F.col("token"), t)
     exact = [F.when(F.col("token").startswith(t), F.struct(F.lit(i).alias("term"), F.lit(1).alias("rung"))) for i, t in enumerate(terms)]
     loose = [F.when(~F.col("token").startswith(t) & near(t), F.struct(F.lit(terms.index(t)).alias("term"), F.lit(3).alias("rung"))) for t in fuzzy]
-    hit = reduce(lambda a, b: a | b, [F.col("token").startswith(t) for t in terms] + [near(t) for t in fuzzy])
-    matched = index.where(F.col("field").isin(*fields) & hit).select(*KEYS, "field", "tf", "field_len", F.explode(F.array_compact(F.array(*exact, *loose))).alias("m")).select(*KEYS, "field", "tf", "field_len", "m.*")
+    matched = index.where(F.col("field").isin(*fields) & matches(F.col("token"), terms)).select(*KEYS, "field", "tf", "field_len", F.explode(F.array_compact(F.array(*exact, *loose))).alias("m")).select(*KEYS, "field", "tf", "field_len", "m.*")
     by_field = matched.groupBy(*KEYS, "field", "term", "rung").agg(F.sum("tf").alias("tf"), F.first("field_len").alias("field_len"))
     df = by_field.groupBy("notebook_id", "field", "term", "rung").agg(F.count("*").alias("df"))
     boost = F.create_map(*(x for f, b in BOOSTS.items() for x in (F.lit(f), F.lit(b))))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = D + F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("field_len") / F.col("avg_len")))
-    scored = by_field.join(df, ["notebook_id", "field", "term", "rung"]).join(F.broadcast(stats), ["notebook_id", "field"]).withColumn("s", boost[F.col("field")] * idf * gain)
+    scored = by_field.join(df, ["notebook_id", "field", "term", "rung"]).join(stats, ["notebook_id", "field"]).withColumn("s", boost[F.col("field")] * idf * gain)
     exactly = F.col("rung") == 1
     notes = scored.groupBy(*KEYS).agg(
         F.count_distinct(F.when(exactly, F.col("term"))).alias("n_terms"), F.sum(F.when(exactly, F.col("s"))).alias("exact"), F.sum("s").alias("loose"), F.max(F.when(F.col("rung") == 3, F.lit(1)).otherwise(0)).alias("any_loose")
@@ -110,8 +142,8 @@ def _linked_with(hits: DataFrame, notes: DataFrame, edges: DataFrame, target: st
 
 
 def filtered(hits: DataFrame, documents: DataFrame, edges: DataFrame, q: ParsedQuery) -> DataFrame:
-    """Hits joined to their fields and put through every filter of the query."""
-    rows = documents.where(passes(q)).join(hits, KEYS)
+    """The hits that pass every filter of the query. Only keys of notes are joined; their texts stay where they are."""
+    rows = documents.where(passes(q)).select(*KEYS).join(hits, KEYS)
     if q.is_orphan:
         rows = rows.join(orphans(documents, edges), KEYS, "left_semi")
     if q.links:
@@ -149,10 +181,21 @@ def present(rows: DataFrame, q: ParsedQuery, config: EngineConfig = EngineConfig
     shown = rows.withColumn("matched_in", where).withColumn("snippets", snippets(F.col("content"), terms, config.snippet_before, config.snippet_after))
     approximate = F.lit(False) if q.is_filter_only else F.size("matched_in") == 0
     return shown.select(
-        *KEYS, "title", "score", "snippets", "matched_in", F.when(F.size("snippets") == 0, lead_preview(F.col("content"), config.preview_length)).alias("preview"), approximate.alias("approximate"), "widened"
+        *KEYS, "title", "score", "snippets", "matched_in", F.when(F.size("snippets") == 0, lead_preview(F.col("content"), config.preview_length)).alias("preview"), approximate.alias("approximate"), "widened", *(["rank"] if "rank" in rows.columns else [])
     )
 
 
+def hit_label(approximate: Column, matched_in: Column) -> Column:
+    """What a hit list says beside a hit: that it is approximate, or matched by title or path alone; else null."""
+    has = lambda name: F.array_contains(matched_in, name)
+    return F.when(approximate, "approximate").when(has("content"), None).when(has("title"), "title").when(has("path"), "path")
+
+
+def notebooks_named(notebooks: DataFrame, typed: str) -> DataFrame:
+    """``notebooks`` (with a ``name``) whose name contains ``typed``, in any case."""
+    return notebooks.where(F.contains(F.lower("name"), F.lit(typed.strip().lower())))
+
+
 def search(documents: DataFrame, index: DataFrame, stats: DataFrame, edges: DataFrame, raw: str, notebook_id: str | None = None, config: EngineConfig = EngineConfig()) -> DataFrame:
     """Hits of one notebook (or of each, if None), the best ``result_limit``, with their ``rank``."""
     q = parse_query(raw)
@@ -163,7 +206,9 @@ def search(documents: DataFrame, index: DataFrame, stats: DataFrame, edges: Data
     rows = ranked(filtered(candidates(documents, index, stats, q, config), documents, edges, q), edges, q)
     order = Window.partitionBy("notebook_id").orderBy(F.round("score", 9).desc(), "relative_path")
     page = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= config.result_limit)
-    return present(page, q, config).join(page.select(*KEYS, "rank"), KEYS)
+    # A page of one notebook has at most ``result_limit`` rows; of all notebooks, the size is known when it runs.
+    page = F.broadcast(page) if notebook_id is not None else page
+    return present(documents.join(page, KEYS), q, config)
 
 
 def search_all(documents: DataFrame, index: DataFrame, stats: DataFrame, edges: DataFrame, raw: str, config: EngineConfig = EngineConfig()) -> DataFrame:

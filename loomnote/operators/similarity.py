@@ -14,9 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomnote.sources.staging import cut
+
 KEYS = ["notebook_id", "relative_path"]
 #: Notes of a block (bounds memory: a block's entries, and a BLOCK x BLOCK matrix), and entries that a block may hold.
 BLOCK, ENTRIES = 768, 400_000
+#: Most blocks of a tile. A notebook of few blocks has tiles of one, so that its pairs are spread.
+TILE = 16
 #: Terms with at least this share of a block pair's notes are multiplied densely.
 DENSE = 0.02
 #: Digits that scores are rounded to before the threshold, so that the order of sums cannot matter.
@@ -34,10 +38,13 @@ def frequency_change(before: DataFrame, removed: DataFrame, added: DataFrame) ->
     return every.groupBy("notebook_id", "term").agg(F.sum("df").alias("df")).where("df > 0")
 
 
-def weights(note_term: DataFrame, notes: DataFrame) -> DataFrame:
-    """``tf * ln(N / df)`` of each term of each note; N counts notes without terms as well. Terms of all notes weigh nothing and go."""
+def weights(note_term: DataFrame, notes: DataFrame, df: DataFrame | None = None) -> DataFrame:
+    """``tf * ln(N / df)`` of each term of each note; N counts notes without terms as well. Terms of all notes weigh nothing and go.
+
+    ``df`` is the kept table of document frequencies, if there is one.
+    """
     n = notes.groupBy("notebook_id").agg(F.count("*").alias("n_docs"))
-    df = document_frequency(note_term).join(n, "notebook_id").where(F.col("df") < F.col("n_docs"))
+    df = (document_frequency(note_term) if df is None else df).join(n, "notebook_id").where(F.col("df") < F.col("n_docs"))
     idf = df.select("notebook_id", "term", F.log(F.col("n_docs") / F.col("df")).alias("idf"))
     return note_term.join(idf, ["notebook_id", "term"]).select(*KEYS, "term", (F.col("tf") * F.col("idf")).alias("w"))
 
@@ -50,12 +57,12 @@ def unit_vectors(weighted: DataFrame) -> DataFrame:
     return weighted.join(norms(weighted), KEYS).select(*KEYS, "term", (F.col("w") / F.col("mag")).alias("u"))
 
 
-def similar_pairs(note_term: DataFrame, notes: DataFrame, threshold: float = 0.15, plan: str = "blocked") -> DataFrame:
+def similar_pairs(note_term: DataFrame, notes: DataFrame, threshold: float = 0.15, plan: str = "blocked", df: DataFrame | None = None) -> DataFrame:
     """``notebook_id, a, b, sim, top_term`` for pairs a < b with cosine >= threshold.
 
     ``top_term`` is the term with the largest share of the product, the least term where several have it.
     """
-    vectors = unit_vectors(weights(note_term, notes))
+    vectors = cut(unit_vectors(weights(note_term, notes, df)))  # packed below, and asked again for the top terms
     pairs = _plain_pairs(vectors) if plan == "plain" else _blocked_pairs(vectors, threshold)
     pairs = pairs.where(F.round("sim", DIGITS) >= threshold)
     if plan == "plain":
@@ -97,14 +104,17 @@ def _blocked_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
         return pa.table(cols, names=["notebook_id", "block", "blocks", "paths", "terms", "notes", "us"])
 
     blocks = placed.groupBy("notebook_id", "block").applyInArrow(pack, "notebook_id string, block long, blocks long, paths array<string>, terms binary, notes binary, us binary")
-    # Each block meets itself and those after it: it is sent to the pairs it is in.
-    others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    pair = F.transform(others, lambda o: F.struct(F.least("block", o).alias("lo"), F.greatest("block", o).alias("hi")))
-    sent = blocks.select("*", F.explode(pair).alias("pair")).withColumn("first", F.col("block") == F.col("pair.lo"))
-    names = ["paths", "terms", "notes", "us"]
-    left = sent.where("first").select("notebook_id", "pair", *(F.col(c).alias(f"a_{c}") for c in names))
-    right = sent.where("block = pair.hi").select("notebook_id", "pair", *(F.col(c).alias(f"b_{c}") for c in names))
-    return left.join(right, ["notebook_id", "pair"]).mapInArrow(_compare(threshold), "notebook_id string, a string, b string, sim double")
+    # Blocks meet by tiles: a block is sent once for each tile, not for each block, and a pair of tiles is one group.
+    width = F.least(F.lit(TILE), F.greatest(F.lit(1), F.floor(F.sqrt("blocks") / 4)))
+    own = F.floor(F.col("block") / width)
+    others = F.sequence(F.lit(0).cast("long"), F.floor((F.col("blocks") - 1) / width))
+    pair = F.transform(others, lambda o: F.struct(F.least(own, o).alias("lo"), F.greatest(own, o).alias("hi")))
+    sent = blocks.select("*", own.alias("tile"), F.explode(pair).alias("pair"))
+    names = ["block", "paths", "terms", "notes", "us"]
+    left = sent.where("tile = pair.lo").select("notebook_id", "pair", *(F.col(c).alias(f"a_{c}") for c in names))
+    right = sent.where("tile = pair.hi").select("notebook_id", "pair", *(F.col(c).alias(f"b_{c}") for c in names))
+    met = left.join(right, ["notebook_id", "pair"]).where("a_block <= b_block").withColumn("itself", F.expr("a_block = b_block")).drop("pair", "a_block", "b_block")
+    return met.mapInArrow(_compare(threshold), "notebook_id string, a string, b string, sim double")
 
 
 def _compare(threshold: float):
@@ -119,7 +129,6 @@ def _compare(threshold: float):
         import numpy as np
 
         get = lambda name, kind: np.frombuffer(batch.column(name)[row].as_py(), kind)
-        pair = batch.column("pair")[row].as_py()
         paths = [batch.column(f"{s}_paths")[row].as_py() for s in "ab"]
         (ta, na, ua), (tb, nb, ub) = ((get(f"{s}_terms", "i8"), get(f"{s}_notes", "i4"), get(f"{s}_us", "f8")) for s in "ab")
         sims = np.zeros((len(paths[0]), len(paths[1])))
@@ -147,7 +156,7 @@ def _compare(threshold: float):
                 x, y = np.repeat(ia[part], n) + k // width, np.repeat(lo[part], n) + k % width
                 sims += np.bincount(na[x].astype("i8") * sims.shape[1] + nb[y], weights=ua[x] * ub[y], minlength=sims.size).reshape(sims.shape)
         i, j = np.nonzero(sims >= least)
-        if pair["lo"] == pair["hi"]:
+        if batch.column("itself")[row].as_py():
             i, j = i[i < j], j[i < j]
         found = [(min(p, q), max(p, q)) for p, q in ((paths[0][x], paths[1][y]) for x, y in zip(i, j))]
         nb_id = batch.column("notebook_id")[row].as_py()

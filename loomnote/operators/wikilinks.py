@@ -33,6 +33,11 @@ def resolved_links(links: DataFrame, notes: DataFrame) -> DataFrame:
     return found.select(*links.columns, F.when(F.col("key") == "", F.lit(None)).otherwise(F.col("resolved")).alias("resolved"))
 
 
+def resolved_spans(links: DataFrame, notes: DataFrame) -> DataFrame:
+    """``source, ordinal, start, end, target, display_text, resolved`` of every link: what an editor underlines, opens or offers to create."""
+    return resolved_links(links, notes).select("source", "ordinal", "start", "end", "target", "display_text", "resolved")
+
+
 def explicit_edges(links: DataFrame, notes: DataFrame, target: str | None = None) -> DataFrame:
     """One edge per (source, note linked to), from the first such link; links to itself and unresolved ones give none."""
     hits = resolved_links(links, notes).where("resolved is not null and resolved <> source")

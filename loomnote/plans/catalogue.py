@@ -18,6 +18,7 @@ from loomnote.plans.query_language import parse_query
 from loomnote.sources import files
 from loomnote.sources.adapter import document_notes
 from loomnote.sources.ignore import compile_rules, ignores
+from loomnote.sources.staging import cut
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -44,7 +45,7 @@ def _long(df: DataFrame) -> DataFrame:
 
 NOTES = "notes AS (SELECT lang AS notebook_id, source || '/d' || doc_id || '.md' AS relative_path, text AS content, doc_id FROM documents)"
 LINKED = (
-    "notes AS (SELECT lang AS notebook_id, source || '/d' || doc_id || '.md' AS relative_path, text || ' [[D' || o || ']] [[D' || o || '|again]] [[' || source || '/d' || doc_id || ']] [[d' || doc_id || 'x|gone]]' AS content, doc_id "
+    "notes AS (SELECT lang AS notebook_id, source || '/d' || doc_id || '.md' AS relative_path, text || ' [[D' || o || ']] `[[code]]` [[D' || o || '|again]] [[' || source || '/d' || doc_id || ']]' || chr(10) || '```' || chr(10) || '[[fenced]]' || chr(10) || '```' || chr(10) || '[[d' || doc_id || 'x|gone]]' AS content, doc_id "
     "FROM (SELECT *, (doc_id * 7 + 1) % (SELECT count(*) FROM documents) AS o FROM documents))"
 )
 TITLED = (
@@ -92,10 +93,21 @@ MENTIONS = (
     "mentions AS (SELECT t.notebook_id, t.relative_path AS source, v.relative_path AS target, 'mention' AS type, arg_min(t.term, {'v': -t.tf, 't': t.term}) AS noun, NULL::VARCHAR AS display_text, CAST(sum(t.tf) AS BIGINT) AS count "
     "FROM note_term t JOIN titles v ON t.notebook_id = v.notebook_id AND t.term = v.variant AND t.relative_path <> v.relative_path GROUP BY 1, 2, 3)"
 )
+
+
+def _masked_sql(name: str, table: str, column: str, pattern: str) -> str:
+    """CTE ``name``: ``table`` with what matches ``pattern`` in ``column`` as spaces, line ends kept."""
+    pieces = f"SELECT *, regexp_split_to_array({column}, '{pattern}') AS ps, regexp_extract_all({column}, '{pattern}') AS cs FROM {table}"
+    woven = "array_to_string(list_transform(range(1, len(ps) + 1), lambda i: ps[i] || coalesce(regexp_replace(cs[i], '[^\\n]', ' ', 'g'), '')), '')"
+    return f"{name} AS (SELECT * EXCLUDE (ps, cs) REPLACE ({woven} AS {column}) FROM ({pieces}))"
+
+
+MASKED = ", ".join((_masked_sql("unfenced", "notes", "content", "(?s)```.*?```"), _masked_sql("masked", "unfenced", "content", "`[^`\\n]*`")))
 LINKS = (
-    r"found AS (SELECT notebook_id, relative_path AS source, regexp_extract_all(content, '\[\[([^\]\[]+)\]\]', 1) AS ls FROM notes), "
-    "links AS (SELECT notebook_id, source, i - 1 AS ordinal, trim(string_split(ls[i], '|')[1]) AS target, CASE WHEN contains(ls[i], '|') THEN nullif(trim(ls[i][strpos(ls[i], '|') + 1:]), '') END AS display_text "
-    "FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM found))"
+    MASKED + r", found AS (SELECT notebook_id, relative_path AS source, regexp_extract_all(content, '\[\[([^\]\[]+)\]\]', 1) AS ls, regexp_extract_all(content, '\[\[[^\]\[]+\]\]') AS whole, regexp_split_to_array(content, '\[\[[^\]\[]+\]\]') AS plain FROM masked), "
+    "placed AS (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM found), "
+    "begun AS (SELECT *, CAST(length(array_to_string(plain[1:i], '')) + length(array_to_string(whole[1:i - 1], '')) AS BIGINT) AS begins FROM placed), "
+    'links AS (SELECT notebook_id, source, i - 1 AS ordinal, trim(string_split(ls[i], \'|\')[1]) AS target, CASE WHEN contains(ls[i], \'|\') THEN nullif(trim(ls[i][strpos(ls[i], \'|\') + 1:]), \'\') END AS display_text, begins AS "start", begins + length(whole[i]) AS "end" FROM begun)'
 )
 RESOLVED = (
     f"by_path AS (SELECT notebook_id, lower(regexp_replace(relative_path, '\\.md$', '')) AS key, arg_min(relative_path, {{'n': length(relative_path), 'p': relative_path}}) AS hit FROM notes GROUP BY 1, 2), "
@@ -128,6 +140,12 @@ def _terms(spark, sf_dir, **made):
     return terms.note_terms(notes), notes
 
 
+def _kept_terms(spark, sf_dir):
+    """Terms that are read more than once, as they are in the engine: a table."""
+    note_term, notes = _terms(spark, sf_dir)
+    return cut(note_term), notes
+
+
 @_query(_with(NOTES, TERMS) + "SELECT notebook_id, relative_path, term, tf FROM note_term")
 def term_frequency(spark, sf_dir):
     return _long(_terms(spark, sf_dir)[0])
@@ -176,26 +194,54 @@ def phrase_filter(spark, sf_dir):
     return document_notes(spark, sf_dir).where(T.has_phrase(F.col("content"), "all right reserved")).select("doc_id")
 
 
-@_query(r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])idiot') AND NOT regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])clown')")
+@_query(r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])licens') AND NOT regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])apache')")
 def exclude_filter(spark, sf_dir):
-    docs = search.search_documents(document_notes(spark, sf_dir)).where(search.passes(parse_query("-clown")) & T.has_word_prefix(F.col("content"), "idiot"))
+    docs = search.search_documents(document_notes(spark, sf_dir)).where(search.passes(parse_query("-apache")) & T.has_word_prefix(F.col("content"), "licens"))
     return docs.select(F.regexp_extract("relative_path", r"d(\d+)\.md$", 1).cast("long").alias("doc_id"))
 
 
-@_query()
+#: Offsets of the words that start with one of two terms: the lengths of what stands before each.
+_STARTS = r"(?i)(^|[^\p{L}\p{N}_])(licens|idiot)"
+POSITIONS = (
+    f"cut AS (SELECT doc_id, text, regexp_split_to_array(text, '{_STARTS}') AS ps, regexp_extract_all(text, '{_STARTS}') AS ms, regexp_extract_all(text, '{_STARTS}', 2) AS ts FROM documents), "
+    "numbered AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM cut), "
+    "positions AS (SELECT doc_id, text, i, length(array_to_string(ps[1:i], '')) + length(array_to_string(ms[1:i], '')) - length(ts[i]) AS p FROM numbered)"
+)
+
+
+@_query(_with(POSITIONS) + "SELECT doc_id, i - 1 AS place, CAST(p AS BIGINT) AS position FROM positions")
 def match_positions(spark, sf_dir):
-    return document_notes(spark, sf_dir).select("doc_id", T.match_positions(F.col("content"), ["idiot", "licens"]).alias("positions"))
+    rows = document_notes(spark, sf_dir).select("doc_id", F.posexplode(T.match_positions(F.col("content"), ["idiot", "licens"])).alias("place", "position"))
+    return _long(rows)
 
 
-@_query()
+@_query(
+    _with(
+        POSITIONS,
+        "windows AS (SELECT doc_id, text, i, greatest(0, p - 40) AS a, least(length(text), p + 80) AS b FROM positions)",
+        "starts AS (SELECT *, CASE WHEN a <= lag(b) OVER (PARTITION BY doc_id ORDER BY i) THEN 0 ELSE 1 END AS s FROM windows)",
+        "spans AS (SELECT doc_id, any_value(text) AS text, min(a) AS a, max(b) AS b, g FROM (SELECT *, sum(s) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM starts) GROUP BY doc_id, g)",
+    )
+    + r"SELECT doc_id, CAST(g - 1 AS BIGINT) AS place, CASE WHEN a > 0 THEN '...' ELSE '' END || trim(regexp_replace(text[a + 1:b], '[\x09-\x0D\x1C-\x20\x{85}\p{Z}]+', ' ', 'g')) || CASE WHEN b < length(text) THEN '...' ELSE '' END AS snippet FROM spans"
+)
 def snippets(spark, sf_dir):
-    return document_notes(spark, sf_dir).select("doc_id", T.snippets(F.col("content"), ["idiot", "licens"]).alias("snippets"))
+    rows = document_notes(spark, sf_dir).select("doc_id", F.posexplode(T.snippets(F.col("content"), ["idiot", "licens"])).alias("place", "snippet"))
+    return _long(rows)
 
 
-@_query("SELECT doc_id, regexp_replace(text, '(?i)\\b(licens)', '<mark>\\1</mark>', 'g') AS marked FROM documents WHERE regexp_matches(text, '(?i)\\blicens') AND NOT regexp_matches(text, '(?i)[^\\x00-\\x7F_]licens|_licens')")
+@_query(r"SELECT doc_id, regexp_replace(text, '(?i)(^|[^\p{L}\p{N}_])(licens)', '\1<mark>\2</mark>', 'g') AS marked FROM documents")
 def highlighted(spark, sf_dir):
-    notes = document_notes(spark, sf_dir).where(T.has_word_prefix(F.col("content"), "licens") & ~F.col("content").rlike("(?i)[^\\x00-\\x7F_]licens|_licens"))
-    return notes.select("doc_id", T.highlight(F.col("content"), ["licens"]).alias("marked"))
+    return document_notes(spark, sf_dir).select("doc_id", T.highlight(F.col("content"), ["licens"]).alias("marked"))
+
+
+@_query("SELECT doc_id, CASE WHEN flat = '' THEN '_Empty note._' WHEN length(flat) > 400 THEN flat[:400] || '…' ELSE flat END AS preview FROM (SELECT doc_id, trim(text) AS flat FROM documents)")
+def hover_preview(spark, sf_dir):
+    return document_notes(spark, sf_dir).select("doc_id", T.hover_preview(F.col("content")).alias("preview"))
+
+
+@_query(_with(LINKED, MASKED) + "SELECT relative_path, content AS masked FROM masked")
+def code_masked(spark, sf_dir):
+    return document_notes(spark, sf_dir, linked=True).select("relative_path", T.mask_code(F.col("content")).alias("masked"))
 
 
 # -- wikilinks ---------------------------------------------------------------
@@ -206,9 +252,14 @@ def _linked(spark, sf_dir):
     return wikilinks.parsed_links(notes), notes
 
 
-@_query(_with(LINKED, LINKS) + "SELECT notebook_id, source, ordinal, target, display_text FROM links")
+@_query(_with(LINKED, LINKS) + 'SELECT notebook_id, source, ordinal, target, display_text, "start", "end" FROM links')
 def wikilink_parse(spark, sf_dir):
-    return _long(_linked(spark, sf_dir)[0]).drop("start", "end")
+    return _long(_linked(spark, sf_dir)[0])
+
+
+@_query(_with(LINKED, LINKS, RESOLVED) + 'SELECT source, ordinal, "start", "end", target, display_text, resolved FROM resolved')
+def wikilink_spans(spark, sf_dir):
+    return _long(wikilinks.resolved_spans(*_linked(spark, sf_dir)))
 
 
 @_query(_with(LINKED, LINKS, RESOLVED) + "SELECT notebook_id, source, ordinal, target, resolved FROM resolved")
@@ -221,6 +272,17 @@ def explicit_edges(spark, sf_dir):
     return _long(wikilinks.explicit_edges(*_linked(spark, sf_dir)))
 
 
+_LINKED_TO = "(SELECT min(target) FROM explicit)"
+
+
+@_query(_with(LINKED, LINKS, RESOLVED, EXPLICIT) + f"SELECT {EDGE_COLUMNS} FROM explicit WHERE target = {_LINKED_TO}")
+def explicit_inbound(spark, sf_dir):
+    """The edges into the first note that has any."""
+    links, notes = _linked(spark, sf_dir)
+    target = wikilinks.explicit_edges(links, notes).agg(F.min("target")).first()[0]
+    return _long(wikilinks.explicit_edges(links, notes, target))
+
+
 @_query(_with(LINKED, LINKS, RESOLVED) + "SELECT notebook_id, source, ordinal, target FROM resolved WHERE resolved IS NULL")
 def broken_links(spark, sf_dir):
     return _long(wikilinks.broken_links(*_linked(spark, sf_dir))).select("notebook_id", "source", "ordinal", "target")
@@ -254,33 +316,34 @@ def doc_frequency(spark, sf_dir):
 
 @_query(_with(NOTES, TERMS, VECTORS) + "SELECT notebook_id, relative_path, term, round(w, 6) AS w FROM weights")
 def tfidf_weights(spark, sf_dir):
-    return similarity.weights(*_terms(spark, sf_dir)).withColumn("w", F.round("w", 6))
+    return similarity.weights(*_kept_terms(spark, sf_dir)).withColumn("w", F.round("w", 6))
 
 
 @_query(_with(NOTES, TERMS, VECTORS) + "SELECT notebook_id, relative_path, round(mag, 6) AS mag FROM norms")
 def doc_norms(spark, sf_dir):
-    return similarity.norms(similarity.weights(*_terms(spark, sf_dir))).withColumn("mag", F.round("mag", 6))
+    return similarity.norms(similarity.weights(*_kept_terms(spark, sf_dir))).withColumn("mag", F.round("mag", 6))
 
 
 @_query(_with(NOTES, TERMS, VECTORS, PAIRS) + "SELECT notebook_id, a, b, round(sim, 6) AS sim, top_term FROM pairs")
 def similar_pairs(spark, sf_dir):
-    return similarity.similar_pairs(*_terms(spark, sf_dir)).withColumn("sim", F.round("sim", 6))
+    return similarity.similar_pairs(*_kept_terms(spark, sf_dir)).withColumn("sim", F.round("sim", 6))
 
 
 @_query(_with(NOTES, TERMS, VECTORS, PAIRS, SIMILAR) + f"SELECT {EDGE_COLUMNS} FROM sim_edges")
 def similar_edges_topk(spark, sf_dir):
-    return _long(similarity.similar_edges(similarity.similar_pairs(*_terms(spark, sf_dir))))
+    return _long(similarity.similar_edges(similarity.similar_pairs(*_kept_terms(spark, sf_dir))))
 
 
 @_query(
-    _with(NOTES, TERMS, VECTORS).rstrip()
+    _with(NOTES, TERMS, VECTORS, "asked AS (SELECT min(relative_path) AS p FROM notes WHERE notebook_id = 'en')").rstrip()
     + ", sims AS (SELECT b.notebook_id, b.relative_path AS other, sum(a.u * b.u) AS sim, arg_min(a.term, {'v': -round(a.u * b.u, 12), 't': a.term}) AS top_term FROM units a JOIN units b ON a.notebook_id = b.notebook_id AND a.term = b.term "
-    "WHERE a.notebook_id = 'en' AND a.relative_path = 'src5/d5.md' AND b.relative_path <> 'src5/d5.md' GROUP BY 1, 2 HAVING round(sum(a.u * b.u), 9) >= 0.01 ORDER BY round(sum(a.u * b.u), 9) DESC, other LIMIT 10) "
-    "SELECT notebook_id, unnest(['src5/d5.md', other]) AS source, unnest([other, 'src5/d5.md']) AS target, top_term AS noun, CAST(floor(round(sim, 9) * 100 + 0.5) AS BIGINT) AS count FROM sims"
+    "WHERE a.notebook_id = 'en' AND a.relative_path = (SELECT p FROM asked) AND b.relative_path <> a.relative_path GROUP BY 1, 2 HAVING round(sum(a.u * b.u), 9) >= 0 ORDER BY round(sum(a.u * b.u), 9) DESC, other LIMIT 10) "
+    "SELECT notebook_id, unnest([(SELECT p FROM asked), other]) AS source, unnest([other, (SELECT p FROM asked)]) AS target, top_term AS noun, CAST(floor(round(sim, 9) * 100 + 0.5) AS BIGINT) AS count FROM sims"
 )
 def similar_for_doc(spark, sf_dir):
-    note_term, notes = _terms(spark, sf_dir)
-    return _long(similarity.similar_for_note(note_term, notes, "en", "src5/d5.md", threshold=0.01)).drop("type", "display_text")
+    note_term, notes = _kept_terms(spark, sf_dir)
+    asked = notes.where("notebook_id = 'en'").agg(F.min("relative_path")).first()[0]
+    return _long(similarity.similar_for_note(note_term, notes, "en", asked, threshold=0.0)).drop("type", "display_text")
 
 
 # -- mentions ----------------------------------------------------------------
@@ -320,7 +383,7 @@ def _graph(spark, sf_dir, similar=True):
     links, notes = _linked(spark, sf_dir)
     edges = wikilinks.explicit_edges(links, notes)
     if similar:
-        edges = graph.union_edges(edges, changes.similar_layer(terms.note_terms(notes), notes, EngineConfig()))
+        edges = graph.union_edges(edges, changes.similar_layer(cut(terms.note_terms(notes)), notes, EngineConfig()))
     return notes, edges
 
 
@@ -334,38 +397,91 @@ def degree(spark, sf_dir):
     return graph.degrees(*_graph(spark, sf_dir, similar=False))
 
 
+#: The note with links of most kinds, then most links, then the least path: one to ask about that has something to show.
+BUSIEST = (
+    "seen AS (SELECT notebook_id, source AS relative_path, type FROM edges UNION ALL SELECT notebook_id, target, type FROM edges), "
+    "busiest AS (SELECT notebook_id, relative_path FROM seen GROUP BY 1, 2 ORDER BY count(DISTINCT type) DESC, count(*) DESC, relative_path, notebook_id LIMIT 1)"
+)
+
+
+def _busiest(edges: DataFrame) -> tuple[str, str]:
+    ends = edges.select("notebook_id", "type", F.explode(F.array("source", "target")).alias("relative_path"))
+    counted = ends.groupBy("notebook_id", "relative_path").agg(F.count_distinct("type").alias("kinds"), F.count("*").alias("n"))
+    return tuple(counted.orderBy(F.col("kinds").desc(), F.col("n").desc(), "relative_path", "notebook_id").first()[:2])
+
+
 @_query(_with(*GRAPH) + "SELECT notebook_id, target AS relative_path, count(*) AS inbound FROM edges GROUP BY 1, 2")
 def inbound_count(spark, sf_dir):
     return graph.inbound_counts(_graph(spark, sf_dir)[1])
 
 
 @_query(
-    _with(*GRAPH).rstrip()
-    + ", mine AS (SELECT * FROM edges WHERE notebook_id = 'en'), buckets AS ("
-    + " UNION ALL ".join(f"SELECT '{bucket}' AS bucket, {far} AS note_path, type, noun, display_text, count FROM mine WHERE type = '{kind}' AND {near} = 'src8/d8.md'" for kind, bucket, near, far in (("explicit", "explicit_out", "source", "target"), ("explicit", "explicit_in", "target", "source"), ("mention", "mention_out", "source", "target"), ("mention", "mention_in", "target", "source"), ("similar", "similar", "source", "target")))
+    _with(*GRAPH, BUSIEST).rstrip()
+    + ", mine AS (SELECT * FROM edges WHERE notebook_id = (SELECT notebook_id FROM busiest)), buckets AS ("
+    + " UNION ALL ".join(f"SELECT '{bucket}' AS bucket, {far} AS note_path, type, noun, display_text, count FROM mine WHERE type = '{kind}' AND {near} = (SELECT relative_path FROM busiest)" for kind, bucket, near, far in (("explicit", "explicit_out", "source", "target"), ("explicit", "explicit_in", "target", "source"), ("mention", "mention_out", "source", "target"), ("mention", "mention_in", "target", "source"), ("similar", "similar", "source", "target")))
     + "), titled AS (SELECT *, lower(regexp_replace(regexp_extract(note_path, '[^/]*$'), '\\.md$', '')) AS note_title FROM buckets) "
     "SELECT bucket, note_path, note_title, type, noun, display_text, count, row_number() OVER (PARTITION BY bucket ORDER BY CASE WHEN type = 'explicit' THEN 0 ELSE -count END, CASE WHEN type = 'explicit' THEN note_title END, note_path) AS rank FROM titled"
 )
 def links_for_note(spark, sf_dir):
-    return _long(graph.links_of(*_graph(spark, sf_dir), "en", "src8/d8.md"))
+    """The links of the note that has the most of each kind."""
+    notes, edges = _graph(spark, sf_dir)
+    edges = cut(edges)
+    return _long(graph.links_of(notes, edges, *_busiest(edges)))
 
 
 NODES = "nodes AS (SELECT *, row_number() OVER (PARTITION BY notebook_id ORDER BY degree DESC, relative_path) AS r, count(*) OVER (PARTITION BY notebook_id) AS n FROM degree)"
 
 
-@_query(_with(*LINK_GRAPH, DEGREE, NODES) + f"SELECT notebook_id, relative_path, string_split(relative_path, '/')[-2] || ' ' || {NAME} AS title, degree, degree = 0 AS orphan, greatest(n - 100, 0) AS truncated FROM nodes WHERE r <= 100")
+@_query(_with(*LINK_GRAPH, DEGREE, NODES) + f"SELECT notebook_id, relative_path, string_split(relative_path, '/')[-2] || ' ' || {NAME} AS title, degree, degree = 0 AS orphan, greatest(n - 500, 0) AS truncated FROM nodes WHERE r <= 500")
 def graph_nodes_capped(spark, sf_dir):
-    return _long(graph.capped_nodes(*_graph(spark, sf_dir, similar=False), 100))
+    return _long(graph.capped_nodes(*_graph(spark, sf_dir, similar=False), EngineConfig().graph_node_cap))
 
 
 @_query(
     _with(*GRAPH, DEGREE, NODES)
-    + "SELECT notebook_id, source, target, type, count FROM edges e WHERE (type <> 'similar' OR source < target) AND EXISTS (SELECT 1 FROM nodes n WHERE n.r <= 100 AND n.notebook_id = e.notebook_id AND n.relative_path = e.source) AND EXISTS (SELECT 1 FROM nodes n WHERE n.r <= 100 AND n.notebook_id = e.notebook_id AND n.relative_path = e.target)"
+    + "SELECT notebook_id, source, target, type, count FROM edges e WHERE (type <> 'similar' OR source < target) AND EXISTS (SELECT 1 FROM nodes n WHERE n.r <= 500 AND n.notebook_id = e.notebook_id AND n.relative_path = e.source) AND EXISTS (SELECT 1 FROM nodes n WHERE n.r <= 500 AND n.notebook_id = e.notebook_id AND n.relative_path = e.target)"
 )
 def graph_edges_capped(spark, sf_dir):
     notes, edges = _graph(spark, sf_dir)
-    edges = edges.persist()
-    return _long(graph.capped_edges(graph.capped_nodes(notes, edges, 100), edges))
+    edges = cut(edges)
+    return _long(graph.capped_edges(graph.capped_nodes(notes, edges, EngineConfig().graph_node_cap), edges))
+
+
+#: Links, the same ones as if they were similar notes, some notes, and edges that take the place of theirs.
+CHANGED = (
+    f"base AS (SELECT {EDGE_COLUMNS} FROM explicit UNION ALL SELECT {EDGE_COLUMNS.replace('type', chr(39) + 'similar' + chr(39) + ' AS type')} FROM explicit), "
+    "chosen AS (SELECT notebook_id, relative_path FROM notes WHERE doc_id % 3 = 0), "
+    "renewed AS (SELECT e.notebook_id, source, target, type, 'renewed' AS noun, NULL::VARCHAR AS display_text, CAST(7 AS BIGINT) AS count FROM base e JOIN chosen s ON s.notebook_id = e.notebook_id AND s.relative_path = e.source "
+    "UNION ALL SELECT notebook_id, relative_path, 'new.md', 'similar', 'new', NULL, 7 FROM chosen)"
+)
+_IN_SOME = "EXISTS (SELECT 1 FROM chosen s WHERE s.notebook_id = e.notebook_id AND s.relative_path = {})".format
+_IN_NEW = "EXISTS (SELECT 1 FROM renewed n WHERE n.notebook_id = e.notebook_id AND n.type = e.type AND n.source = e.source AND n.target = e.target)"
+
+
+def _changed(spark, sf_dir):
+    notes, edges = _graph(spark, sf_dir, similar=False)
+    base = cut(graph.union_edges(edges, edges.withColumn("type", F.lit("similar"))))
+    some = notes.where("doc_id % 3 = 0").select(*KEYS)
+    theirs = base.join(some.withColumnRenamed("relative_path", "source"), ["notebook_id", "source"], "left_semi")
+    renewed = theirs.withColumns({"noun": F.lit("renewed"), "display_text": F.lit(None).cast("string"), "count": F.lit(7)})
+    added = some.select("notebook_id", F.col("relative_path").alias("source"), F.lit("new.md").alias("target"), F.lit("similar").alias("type"), F.lit("new").alias("noun"), F.lit(None).cast("string").alias("display_text"), F.lit(7).alias("count"))
+    return base, some, graph.union_edges(renewed, added)
+
+
+def _change_query(name: str, change: Callable, gone: str, new: str = "true") -> None:
+    """Register a change of the edge table: those ``gone``, and those whose key is among the ``new``, give way to the new ones."""
+    kept = f"SELECT {EDGE_COLUMNS} FROM base e WHERE NOT ({gone}) AND NOT ({_IN_NEW} AND {new})"
+    QUERIES[name] = lambda spark, sf_dir: _long(change(*_changed(spark, sf_dir)))
+    ORACLES[name] = _with(LINKED, LINKS, RESOLVED, EXPLICIT, CHANGED) + kept + (f" UNION ALL SELECT {EDGE_COLUMNS} FROM renewed" if new == "true" else "")
+
+
+_change_query("edges_upserted", lambda base, some, new: graph.upserted(base, new), "false")
+_change_query("edges_replaced_outbound", lambda base, some, new: graph.replace_outbound(base, some, "explicit", new), f"type = 'explicit' AND {_IN_SOME('e.source')}")
+_change_query("edges_replaced_inbound", lambda base, some, new: graph.replace_inbound(base, some, "explicit", new), f"type = 'explicit' AND {_IN_SOME('e.target')}")
+_change_query("edges_replaced_symmetric", lambda base, some, new: graph.replace_symmetric(base, some, "similar", new), f"type = 'similar' AND ({_IN_SOME('e.source')} OR {_IN_SOME('e.target')})")
+_change_query("edges_replaced_type", lambda base, some, new: graph.replace_type(base, "similar", new.where("type = 'similar'")), "type = 'similar'", "false")
+_change_query("edges_without_notes", lambda base, some, new: graph.remove_notes(base, some), f"{_IN_SOME('e.source')} OR {_IN_SOME('e.target')}", "false")
+ORACLES["edges_replaced_type"] += f" UNION ALL SELECT {EDGE_COLUMNS} FROM renewed WHERE type = 'similar'"
 
 
 # -- search ------------------------------------------------------------------
@@ -408,7 +524,7 @@ def _search(spark, sf_dir, raw: str, edges: DataFrame | None = None, notebook_id
     links, notes = _linked(spark, sf_dir)
     edges = wikilinks.explicit_edges(links, notes) if edges is None else edges
     documents = search.search_documents(notes)
-    hits = search.search(documents, search.note_tokens(documents), search.field_stats(documents), edges, raw, notebook_id)
+    hits = search.search(documents, *search.index_for(documents, raw), edges, raw, notebook_id)
     return _long(hits.select("notebook_id", "relative_path", F.round("score", 6).alias("score"), "widened", "rank"))
 
 
@@ -427,19 +543,34 @@ _search_query("search_title_scoped", "title:d12", f"regexp_matches(title, '{_pre
 _search_query("search_path_scoped", "path:src1", f"regexp_matches(path_text, '{_prefix('src1')}')")
 _search_query("search_in_folder", "in:src1/ the", "starts_with(lower(relative_path), 'src1/')")
 _search_query("search_phrase_excluded", '"all rights reserved" -idiot', r"regexp_matches(content, '(?i)(^|[^\p{L}\p{N}_])all[\p{L}\p{N}_]*[^\p{L}\p{N}_]+rights[\p{L}\p{N}_]*[^\p{L}\p{N}_]+reserved([^\p{L}\p{N}_]|$)')" + f" AND NOT regexp_matches(content, '{_prefix('idiot')}') AND NOT regexp_matches(title, '{_prefix('idiot')}') AND NOT regexp_matches(path_text, '{_prefix('idiot')}')")
-_search_query("search_links", "links:d8", "EXISTS (SELECT 1 FROM edges e JOIN by_name t ON t.notebook_id = e.notebook_id AND t.key = 'd8' AND e.target = t.hit WHERE e.notebook_id = d.notebook_id AND e.source = d.relative_path)")
 _search_query("search_orphan_in_folder", "is:orphan in:src3/", "starts_with(lower(relative_path), 'src3/') AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.notebook_id = d.notebook_id AND d.relative_path IN (e.source, e.target))")
 _search_query("search_boosted_rank", "idiot")
 
 
-@_query(
-    _search_sql(
-        "related:d5", "EXISTS (SELECT 1 FROM edges e JOIN by_name t ON t.notebook_id = e.notebook_id AND t.key = 'd5' AND e.target = t.hit WHERE e.type = 'similar' AND e.notebook_id = d.notebook_id AND e.source = d.relative_path)",
-        edges=tuple(GRAPH[1:]),
-    )
-)
+def _asked_sql(kind: str) -> str:
+    """The notes with an edge of a kind to the note that ``_asked`` names."""
+    name = "lower(regexp_replace(regexp_extract(target, '[^/]*$'), '\\.md$', ''))"
+    asked = f"(SELECT {name} FROM edges WHERE type = '{kind}' GROUP BY target ORDER BY count(*) DESC, target LIMIT 1)"
+    return f"EXISTS (SELECT 1 FROM edges e JOIN by_name t ON t.notebook_id = e.notebook_id AND t.key = {asked} AND e.target = t.hit WHERE e.type = '{kind}' AND e.source <> e.target AND e.notebook_id = d.notebook_id AND e.source = d.relative_path)"
+
+
+def _asked(edges: DataFrame, kind: str) -> str:
+    """The name of the note that most edges of a kind lead to (of several, the least path)."""
+    most = edges.where(F.col("type") == kind).groupBy("target").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "target")
+    return most.select(T.basename(F.col("target"))).first()[0]
+
+
+@_query(_search_sql("links:x", _asked_sql("explicit")))
+def search_links(spark, sf_dir):
+    links, notes = _linked(spark, sf_dir)
+    edges = cut(wikilinks.explicit_edges(links, notes))
+    return _search(spark, sf_dir, f"links:{_asked(edges, 'explicit')}", edges)
+
+
+@_query(_search_sql("related:x", _asked_sql("similar"), edges=tuple(GRAPH[1:])))
 def search_related(spark, sf_dir):
-    return _search(spark, sf_dir, "related:d5", _graph(spark, sf_dir)[1])
+    edges = cut(_graph(spark, sf_dir)[1])
+    return _search(spark, sf_dir, f"related:{_asked(edges, 'similar')}", edges)
 
 
 def _search_all_sql(raw: str, terms_: list[str]) -> str:
@@ -455,7 +586,8 @@ def _search_all_sql(raw: str, terms_: list[str]) -> str:
 def search_all_notebooks(spark, sf_dir):
     links, notes = _linked(spark, sf_dir)
     documents = search.search_documents(notes)
-    return _long(search.search_all(documents, search.note_tokens(documents), search.field_stats(documents), wikilinks.explicit_edges(links, notes), "licensed idiot"))
+    raw = "licensed idiot"
+    return _long(search.search_all(documents, *search.index_for(documents, raw), wikilinks.explicit_edges(links, notes), raw))
 
 
 # -- changes -----------------------------------------------------------------
@@ -503,16 +635,47 @@ def df_delta(spark, sf_dir):
 _FINAL = LINKED.replace("notes AS (", "notes AS (SELECT * FROM (", 1) + f" WHERE {_FOUND})"
 
 
-@_query(_with(_FINAL, LINKS, RESOLVED, EXPLICIT, TERMS, TITLES, MENTIONS) + f"SELECT {EDGE_COLUMNS} FROM explicit UNION ALL SELECT {EDGE_COLUMNS} FROM mentions")
-def apply_events_edges(spark, sf_dir):
-    """Explicit links and mentions after a batch of creations, changes and deletions: those of a build from scratch."""
+def _event_batch(spark, sf_dir):
+    """Stored notes, and a batch of creations, changes and deletions that leads to the found ones."""
     notes = document_notes(spark, sf_dir, linked=True)
     old = files.as_notes(notes.where(_STORED).withColumn("content", F.when(F.col("doc_id") % 11 == 2, F.lit("old text [[d1]]")).otherwise(F.col("content"))))
     kind = F.when(~F.expr(_FOUND), "delete").when(~F.expr(_STORED), "create").when(F.col("doc_id") % 11 == 2, "change")
-    batch = notes.withColumn("type", kind).where("type is not null").select(*KEYS, "type", "content", F.col("doc_id").alias("seq"))
+    return old, notes.withColumn("type", kind).where("type is not null").select(*KEYS, "type", "content", F.col("doc_id").alias("seq"))
+
+
+@_query(_with(_FINAL, LINKS, RESOLVED, EXPLICIT, TERMS, TITLES, MENTIONS) + f"SELECT {EDGE_COLUMNS} FROM explicit UNION ALL SELECT {EDGE_COLUMNS} FROM mentions")
+def apply_events_edges(spark, sf_dir):
+    """Explicit links and mentions after a batch of creations, changes and deletions: those of a build from scratch."""
+    old, batch = _event_batch(spark, sf_dir)
     return _long(changes.apply_batch(changes.build(old, NO_SIMILAR), batch, NO_SIMILAR).edge)
 
 
+@_query(_with(_FINAL, *GRAPH[1:], TITLES, MENTIONS) + f"SELECT {EDGE_COLUMNS} FROM edges UNION ALL SELECT {EDGE_COLUMNS} FROM mentions")
+def apply_events_similar(spark, sf_dir):
+    """All edges, similar ones as well, after a batch that touches every notebook."""
+    old, batch = _event_batch(spark, sf_dir)
+    return _long(changes.apply_batch(changes.build(old), batch).edge)
+
+
+@_query(_with(_FINAL, TERMS) + "SELECT notebook_id, term, count(*) AS df FROM note_term GROUP BY 1, 2")
+def apply_events_frequencies(spark, sf_dir):
+    """The kept document frequencies after a batch: the old ones with the change of each term."""
+    old, batch = _event_batch(spark, sf_dir)
+    return changes.apply_batch(changes.build(old, NO_SIMILAR), batch, NO_SIMILAR).term_df
+
+
+@_query(
+    _with(_FINAL, f"d AS (SELECT notebook_id, relative_path, string_split(relative_path, '/')[-2] || ' ' || {NAME} AS title, replace(regexp_replace(relative_path, '(?i)\\.md$', ''), '/', ' ') AS path_text, content FROM notes)")
+    + "SELECT notebook_id, relative_path, field, token, count(*) AS tf, any_value(n) AS field_len FROM (SELECT *, unnest(ws) AS token, CAST(len(ws) AS BIGINT) AS n FROM ("
+    + " UNION ALL ".join(f"SELECT notebook_id, relative_path, '{f}' AS field, {WORDS.format(f)} AS ws FROM d" for f in search.BOOSTS)
+    + ")) GROUP BY 1, 2, 3, 4"
+)
+def apply_events_index(spark, sf_dir):
+    """The kept search index after a batch."""
+    old, batch = _event_batch(spark, sf_dir)
+    return _long(changes.apply_batch(changes.build(old, NO_SIMILAR), batch, NO_SIMILAR).note_token)
+
+
 # -- notebooks and files -----------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 
 
@@ -28,52 +29,49 @@ class ParsedQuery:
 
     def describe(self) -> str:
         """The query in words; exclusions last."""
-        said = [*self.terms, *(f'"{p}"' for p in self.phrases), *(f"title has {t}" for t in self.title), *(f"path has {p}" for p in self.path)]
-        said += [f"in {self.in_folder}/"] if self.in_folder else []
-        said += [f"links to {self.links}"] if self.links else []
-        said += [f"related to {self.related}"] if self.related else []
-        said += ["unlinked"] if self.is_orphan else []
-        return ", ".join([*said, *(f"not {x}" for x in self.exclude)])
+        held = {"title": self.title, "path": self.path, "in_folder": [self.in_folder], "links": [self.links], "related": [self.related], "exclude": self.exclude}
+        filters = [SAID[name].format(value) for name in SAID if name in held and name != "exclude" for value in held[name] if value]
+        said = [" + ".join(self.terms)] if self.terms else []
+        said += [f'"{p}"' for p in self.phrases] + filters + ([SAID["is_orphan"]] if self.is_orphan else [])
+        return ", ".join(said + [SAID["exclude"].format(x) for x in self.exclude])
+
+
+#: How filters read (fixed values).
+SAID = {
+    "title": "title has {}",
+    "path": "path has {}",
+    "in_folder": "in {}/",
+    "links": "links to {}",
+    "related": "related to {}",
+    "is_orphan": "unlinked",
+    "exclude": "not {}",
+}
+
+#: A token: characters that are no white space, and quoted runs, the last of which may be open.
+_TOKEN = re.compile(r'(?:[^\s"]|"[^"]*(?:"|$))+')
+#: What a token has up to the end of its first quoted run.
+_HEAD = re.compile(r'[^"]*"[^"]*')
 
 
 def split_tokens(raw: str) -> list[tuple[str, bool]]:
-    """Words and whether each was quoted. White space splits; quotes group; after a colon they belong to the token; the last may be open."""
-    out: list[tuple[str, bool]] = []
-    token, inside, quoted = "", False, False
-    for c in raw:
-        if c == '"':
-            if inside:
-                inside = False
-                if quoted:
-                    out.append((token, True))
-                    token = ""
-                quoted = False
-            else:
-                if token and ":" not in token:
-                    out.append((token, False))
-                    token = ""
-                inside, quoted = True, not token
-        elif c.isspace() and not inside:
-            if token:
-                out.append((token, False))
-                token = ""
-        else:
-            token += c
-    if token:
-        out.append((token, quoted))
-    return out
+    """Words and whether each counts as quoted. White space splits; quotes group, and are part of the token they touch.
+
+    A token is quoted if it has a quoted run and no colon up to the end of the first: after a colon, quotes only hold
+    the value together.
+    """
+    found = []
+    for token in _TOKEN.findall(raw):
+        head = _HEAD.match(token)
+        found.append((token.replace('"', ""), head is not None and ":" not in head.group()))
+    return [(text, quoted) for text, quoted in found if text]
 
 
 def parse_query(raw: str) -> ParsedQuery:
+    """Phrases keep their case, for display; they are matched without regard to it."""
     q = ParsedQuery(raw=raw)
-    for token, quoted in split_tokens(raw):
-        text = token.strip()
-        if not text:
-            continue
-        if quoted and ":" not in text:
-            q = replace(q, phrases=(*q.phrases, text.lower()))
-        elif quoted:
-            q = replace(q, terms=(*q.terms, text.lower()))
+    for text, quoted in split_tokens(raw):
+        if quoted:
+            q = replace(q, phrases=(*q.phrases, text))
         elif text[0] == "-" and len(text) > 1:
             q = replace(q, exclude=(*q.exclude, text[1:].lower()))
         elif text.find(":") > 0 and (operated := _operated(q, *text.split(":", 1))):
@@ -85,7 +83,7 @@ def parse_query(raw: str) -> ParsedQuery:
 
 def _operated(q: ParsedQuery, key: str, value: str) -> ParsedQuery | None:
     """``q`` with an operator applied; None if it is none, or lacks its value."""
-    key, value = key.lower(), value.strip()
+    key = key.lower()
     if not value:
         return None
     if key == "is":

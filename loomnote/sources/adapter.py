@@ -13,7 +13,7 @@ def document_notes(spark: SparkSession, sf_dir: str, linked: bool = False, title
     """``documents`` as notes: a notebook per language, a note ``source/d<doc_id>.md`` per document.
 
     ``linked`` appends wikilinks made from the id: one by name, the same with a display text, one by path to the note
-    itself, one that leads nowhere. ``titled`` puts each note in a folder of its own and names it after the first
+    itself, one that leads nowhere; and between them two that code hides. ``titled`` puts each note in a folder of its own and names it after the first
     word of five or more letters a-z of its text, so that mentions have something to hit.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
@@ -28,5 +28,6 @@ def document_notes(spark: SparkSession, sf_dir: str, linked: bool = False, title
         n = docs.agg(F.count("*").alias("n"))  # one row
         docs = docs.crossJoin(F.broadcast(n))
         other = F.concat(F.lit("D"), F.pmod(F.col("doc_id") * 7 + 1, F.col("n")))
-        content = F.concat(content, F.lit(" [["), other, F.lit("]] [["), other, F.lit("|again]] [["), F.col("source"), F.lit("/"), name, F.lit("]] [["), name, F.lit("x|gone]]"))
+        made = [" [[", other, "]] `[[code]]` [[", other, "|again]] [[", F.col("source"), "/", name, "]]\n```\n[[fenced]]\n```\n[[", name, "x|gone]]"]
+        content = F.concat(content, *(F.lit(x) if isinstance(x, str) else x for x in made))
     return docs.select(F.col("lang").alias("notebook_id"), path.alias("relative_path"), content.alias("content"), "doc_id")

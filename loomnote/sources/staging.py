@@ -1,15 +1,37 @@
-"""Cutting long lineages."""
+"""Cutting long lineages, in a folder that driver and executors share."""
 
 from __future__ import annotations
 
+import functools
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="loomnote-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where that is unset and all tasks run in this process, one of our own; on a cluster that is an error."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors reach")
+    return _own_folder()
+
+
+def ready_to_cut(spark: SparkSession) -> None:
+    """See to it that the session has a folder for checkpoints."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the folder in spark.checkpoint.dir, which all executors reach (one of our own where that is unset)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomnote-"))
+    """``df`` computed once and written to the shared folder."""
+    ready_to_cut(df.sparkSession)
     return df.checkpoint()

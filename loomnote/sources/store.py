@@ -21,6 +21,8 @@ from loomnote.operators.graph import known_types
 
 FORMAT_VERSION = 1
 NAMES = tuple(f.name for f in fields(Tables))
+#: Tables that lie sorted by a column, so that a scan for its values skips most row groups (a term asks for a range of tokens).
+SORTED = {"note_token": "token"}
 
 
 class Store:
@@ -41,12 +43,13 @@ class Store:
             return None
 
     def save(self, tables: Tables) -> str:
-        """Write a snapshot and publish it; the one before stays until ``vacuum``, for readers that have it open."""
-        name = f"snapshot-{uuid.uuid4().hex}"
+        """Write a snapshot and publish it. The one before stays, for readers that have it open; older ones go."""
+        before, name = self._manifest(), f"snapshot-{uuid.uuid4().hex}"
         schemas = {}
         for table in NAMES:
             df = getattr(tables, table)
             schemas[table] = df.schema.json()  # an empty table has no file that would tell
+            df = df.sortWithinPartitions("notebook_id", SORTED[table]) if table in SORTED else df
             df.write.partitionBy("notebook_id").parquet(f"{self.path}/{name}/{table}")
         fs, draft = self._fs(f"{self.path}/manifest-{uuid.uuid4().hex}.tmp")
         out = fs.create(draft, True)
@@ -58,6 +61,7 @@ class Store:
         options = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
         options[0] = overwrite
         context.rename(draft, final, options)
+        self._drop_all_but({name, (before or {}).get("snapshot")})
         return name
 
     def load(self) -> Tables | None:
@@ -83,8 +87,11 @@ class Store:
 
     def vacuum(self) -> None:
         """Drop the snapshots that are not published."""
-        manifest, (fs, root) = self._manifest(), self._fs(self.path)
+        self._drop_all_but({(self._manifest() or {}).get("snapshot")})
+
+    def _drop_all_but(self, kept: set[str | None]) -> None:
+        fs, root = self._fs(self.path)
         for status in fs.listStatus(root):
             name = status.getPath().getName()
-            if name.startswith("snapshot-") and (manifest is None or name != manifest["snapshot"]):
+            if name.startswith("snapshot-") and name not in kept:
                 fs.delete(status.getPath(), True)

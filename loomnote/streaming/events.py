@@ -14,14 +14,22 @@ from loomnote.sources.files import as_notes, outside_nested
 from loomnote.sources.ignore import compile_rules, ignores
 from loomnote.sources.store import Store
 
-#: What a stream of events has: type is create, change or delete; seq orders the events of a path.
-EVENT_SCHEMA = "notebook_id string, relative_path string, type string, content string, seq bigint"
+#: What a stream of events has: type is create, change or delete; seq orders the events of a path; mtime_ms is when the file was changed.
+EVENT_SCHEMA = "notebook_id string, relative_path string, type string, content string, seq bigint, mtime_ms double"
+
+
+def not_ignored(batch: DataFrame, ignore_text: str, notebook_id: str | None = None) -> DataFrame:
+    """Without upserts of files that the rules (of one notebook, or of all) ignore; deletions always pass."""
+    rules = compile_rules(ignore_text)
+    if not rules:
+        return batch
+    hidden = ignores(F.col("relative_path"), rules) & (F.col("type") != "delete")
+    return batch.where(~hidden if notebook_id is None else ~(hidden & (F.col("notebook_id") == notebook_id)))
 
 
 def usable_events(batch: DataFrame, roots: DataFrame | None = None, ignore_text: str = "") -> DataFrame:
     """Without upserts of ignored files (deletions always pass), and without events of nested notebooks' files."""
-    rules = compile_rules(ignore_text)
-    kept = batch.where((F.col("type") == "delete") | ~ignores(F.col("relative_path"), rules)) if rules else batch
+    kept = not_ignored(batch, ignore_text)
     return kept if roots is None else outside_nested(kept, roots)
 
 

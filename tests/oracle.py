@@ -16,7 +16,7 @@ def rows(values, names):
 
 
 def compare(spark, duck, name, query, sql, sf_dir):
-    """None if both give the same, else what differs."""
+    """None if both give the same rows, and some; else what differs."""
     df = query(spark, sf_dir)
     got = rows([tuple(r) for r in df.collect()], df.columns)
     rel = duck.sql(sql)
@@ -26,7 +26,7 @@ def compare(spark, duck, name, query, sql, sf_dir):
     if got[1] != want[1]:
         diff = next(((a, b) for a, b in zip(got[1], want[1]) if a != b), "")
         return f"{len(got[1])} and {len(want[1])} rows; first difference: {diff}"
-    return None
+    return None if got[1] else "no rows on either side, which proves nothing"
 
 
 def connect(sf_dir):

@@ -61,9 +61,9 @@ def test_mentions(spark):
     def edges(notes, **kw):
         return sorted((r.source, r.target, r.noun, r["count"]) for r in mentions.mention_edges(*terms(spark, notes), **kw).collect())
 
-    assert edges({"recipes.md": {"hotsauce": 5, "vinegar": 2}, "hotsauce.md": {}}) == [("recipes.md", "hotsauce.md", "hotsauce", 5)]
-    assert edges({"hotsauce.md": {"hotsauce": 9}}) == []
-    assert edges({"notes.md": {"sourdough": 5, "work sourdough": 3}, "work/sourdough.md": {}}) == [("notes.md", "work/sourdough.md", "sourdough", 8)]
+    assert edges({"repairs.md": {"lantern": 5, "solder": 2}, "lantern.md": {}}) == [("repairs.md", "lantern.md", "lantern", 5)]
+    assert edges({"lantern.md": {"lantern": 9}}) == []
+    assert edges({"notes.md": {"ledger": 5, "shop ledger": 3}, "shop/ledger.md": {}}) == [("notes.md", "shop/ledger.md", "ledger", 8)]
     two = {"index.md": {"overview": 2}, "work/overview.md": {}, "personal/overview.md": {}}
     assert [e[1] for e in edges(two)] == ["personal/overview.md", "work/overview.md"]
     assert [e[1] for e in edges(two, target="work/overview.md")] == ["work/overview.md"]
@@ -160,8 +160,24 @@ def test_batch_equals_build(spark):
     batch = [("nb", p, "change", c, 2) for p, c in new.items() if old.get(p) != c] + [("nb", p, "delete", None, 2) for p in old if p not in new] + [("nb", "late.md", "create", "early version", 1), ("nb", "unread.md", "create", None, 3)]
     state = changes.apply_batch(changes.build(frame(old), config), spark.createDataFrame(batch, "notebook_id string, relative_path string, type string, content string, seq long"), config)
     want = changes.build(frame(new), config)
-    for table in ("edge", "note_term", "wikilink"):
+    for table in ("edge", "note_term", "wikilink", "term_df", "note_token"):
         one, two = getattr(state, table), getattr(want, table)
         assert sorted(map(str, one.select(sorted(one.columns)).collect())) == sorted(map(str, two.select(sorted(one.columns)).collect())), table
     assert {r.type for r in state.edge.collect()} == {"explicit", "mention", "similar"}
     assert state.note.where(F.col("relative_path") == "late.md").first().content == "alpha gamma"
+
+
+def test_a_batch_makes_similar_edges_of_its_notebooks_alone(spark, monkeypatch):
+    from loomnote.sources.files import as_notes
+
+    rows = [(nb, f"{i}.md", f"shared words of {'alpha' if i % 2 else 'beta'} {nb}{i}") for nb in ("one", "two") for i in range(6)]
+    state = changes.build(as_notes(spark.createDataFrame(rows, "notebook_id string, relative_path string, content string"))).cut()
+    asked, layer = [], changes.similar_layer
+    monkeypatch.setattr(changes, "similar_layer", lambda note_term, note, *a, **k: asked.append({r.notebook_id for r in note.collect()}) or layer(note_term, note, *a, **k))
+    batch = spark.createDataFrame([("one", "0.md", "change", "shared words of alpha", 1, 77.0)], "notebook_id string, relative_path string, type string, content string, seq long, mtime_ms double")
+    after = changes.apply_batch(state, batch)
+    assert asked == [{"one"}] and after.note.where("relative_path = '0.md' and notebook_id = 'one'").first().mtime_ms == 77
+    monkeypatch.undo()
+    new = [r if r[:2] != ("one", "0.md") else (*r[:2], "shared words of alpha") for r in rows]
+    want = changes.build(as_notes(spark.createDataFrame(new, "notebook_id string, relative_path string, content string")))
+    assert sorted(map(str, after.edge.select(graph.EDGE_COLUMNS).collect())) == sorted(map(str, want.edge.select(graph.EDGE_COLUMNS).collect()))

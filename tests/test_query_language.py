@@ -6,10 +6,17 @@ from loomnote.plans.query_language import ParsedQuery, parse_query
 @pytest.mark.parametrize(
     "raw, want",
     [
-        ('bread "cold proof" -banana title:recipe in:work/ is:orphan', dict(terms=("bread",), phrases=("cold proof",), exclude=("banana",), title=("recipe",), in_folder="work", is_orphan=True)),
-        ('title:"cold proof"', dict(title=("cold proof",))),
-        ('"cold proof', dict(phrases=("cold proof",))),
+        ('tea "wet ink" -coffee title:page in:desk/ is:orphan', dict(terms=("tea",), phrases=("wet ink",), exclude=("coffee",), title=("page",), in_folder="desk", is_orphan=True)),
+        ('title:"wet ink"', dict(title=("wet ink",))),
+        ('"wet ink', dict(phrases=("wet ink",))),
         ('"has: colon"', dict(terms=("has: colon",))),
+        ('"Wet Ink" page', dict(phrases=("Wet Ink",), terms=("page",))),
+        ('"title:wet ink"', dict(title=("wet ink",))),
+        ('loose"leaf tea"', dict(phrases=("looseleaf tea",))),
+        ('"loose l"eaf', dict(phrases=("loose leaf",))),
+        ('"" tea', dict(terms=("tea",))),
+        ('tea "', dict(terms=("tea",))),
+        ('in:"old tea"', dict(in_folder="old tea")),
         ("-title:x", dict(exclude=("title:x",))),
         ("-", dict(terms=("-",))),
         ("foo:bar", dict(terms=("foo:bar",))),
@@ -18,8 +25,9 @@ from loomnote.plans.query_language import ParsedQuery, parse_query
         ("is:lost", dict(terms=("is:lost",))),
         ("in:a\\b/ in:c", dict(in_folder="c")),
         ("links:Note related:Other", dict(links="Note", related="Other")),
-        ("PATH:Work Bread", dict(path=("work",), terms=("bread",))),
-        ('one"two three"four', dict(terms=("one", "four"), phrases=("two three",))),
+        ("PATH:Desk Tea", dict(path=("desk",), terms=("tea",))),
+        ('one"two three"four', dict(phrases=("onetwo threefour",))),
+        ('key:"a b" c', dict(terms=("key:a b", "c"))),
         ("   ", {}),
     ],
 )
@@ -32,3 +40,4 @@ def test_kinds():
     assert parse_query("-x").is_filter_only and not parse_query("-x").is_empty
     assert not parse_query("path:a").is_filter_only
     assert parse_query('b "c d" in:x is:orphan -e').describe() == 'b, "c d", in x/, unlinked, not e'
+    assert parse_query("tea pot title:a path:b links:c related:d").describe() == "tea + pot, title has a, path has b, links to c, related to d"

@@ -33,6 +33,35 @@ def test_scan(spark, tree):
     assert set(got) == {"a.md", "sub/c.md"} and got["a.md"].content == "alpha\n[[c]]" and got["sub/c.md"].title == "sub c" and got["a.md"].mtime_ms > 1e12 and len(got["a.md"].hash) == 40
 
 
+def test_scan_takes_every_name_and_leaves_nested_notebooks(spark, tree):
+    root = str(tree)
+    put(tree, **{"_draft.md": "draft", ".hidden.md": "hid", "_drafts__b.md": "in a folder", ".obs__c.md": "dot", ".obs___deep__.d.md": "deep", "sub___x.md": "é"})
+    put(tree, **{"free__.notebook__config.json": "{}", "free__e.md": "another notebook", "free___f.md": "its own"})
+    (tree / ".notebookignore").write_text("skip/\nsub/c.md\n")
+    got = {r.relative_path: r for r in files.scan(spark, root).collect()}
+    assert set(got) == {"a.md", "_draft.md", ".hidden.md", "_drafts/b.md", ".obs/c.md", ".obs/_deep/.d.md", "sub/_x.md"}
+    assert got["sub/_x.md"].content == "é" and got["_draft.md"].mtime_ms > 1e12 and got[".obs/_deep/.d.md"].content == "deep"
+    assert "sub/c.md" in {r.relative_path for r in files.scan(spark, root, ignore_text="").collect()}
+    assert {r.notebook_id for r in files.notebooks_below(spark, root).collect()} == {root, f"{root}/free", f"{root}/inner"}
+
+
+def test_special_names_and_empty_folders(spark, tmp_path):
+    odd = tmp_path / "a [b]{c}*+%20 d"
+    odd.mkdir()
+    assert files.scan(spark, str(odd)).count() == 0
+    put(odd, **{"x y+z%.md": "one", "_e [f].md": "two"})
+    assert {(r.relative_path, r.content) for r in files.scan(spark, str(odd)).collect()} == {("x y+z%.md", "one"), ("_e [f].md", "two")}
+
+
+def test_marker(spark, tmp_path):
+    root = str(tmp_path / "fresh")
+    assert files.mark(spark, root) and not files.mark(spark, root)
+    assert (tmp_path / "fresh/.notebook/config.json").read_text() == '{"version": 1}'
+    engine = Engine(spark, OFF)
+    assert engine.create(root, "Fresh pages") == root and engine.discover(str(tmp_path)) == [root]
+    assert [r.notebook_id for r in engine.find_notebooks("PAGE").collect()] == [root] and engine.find_notebooks("x").count() == 0
+
+
 def test_roots_and_owners(spark):
     paths = spark.createDataFrame([("/n/a/.notebook/x",), ("/n/a/b/.notebook/y",), ("/n/a/node_modules/.notebook/z",), ("/.notebook/q",), ("/n/plain.md",)], "path string")
     roots = files.discover(paths)
@@ -60,6 +89,9 @@ def test_store(spark, tmp_path):
     assert first.note.where("notebook_id = '007'").count() == 2 and first.edge.count() == 1
     store.save(changes.build(note([("007", "a.md", "one")]), OFF))
     assert store.load().note.count() == 1 and first.note.count() == 2
+    assert {r.token for r in store.load().note_token.where("field = 'content'").collect()} == {"one"} and store.load().term_df.count() == 1
+    store.save(store.load())
+    assert len(list((tmp_path / "store").glob("snapshot-*"))) == 2  # the one before the last is gone
     store.vacuum()
     assert store.load().note.count() == 1
     (tmp_path / "store/.manifest.json.crc").unlink(missing_ok=True)
@@ -87,7 +119,7 @@ def test_stream(spark, tmp_path):
 
 
 def test_usable_events(spark):
-    rows = [("nb", "skip/a.md", "create", "x", 1), ("nb", "skip/b.md", "delete", None, 1), ("nb", "ok.md", "change", "x", 1)]
+    rows = [("nb", "skip/a.md", "create", "x", 1, None), ("nb", "skip/b.md", "delete", None, 1, None), ("nb", "ok.md", "change", "x", 1, 5.0)]
     got = usable_events(spark.createDataFrame(rows, EVENT_SCHEMA), None, "skip/\n").collect()
     assert sorted(r.relative_path for r in got) == ["ok.md", "skip/b.md"]
 
@@ -110,7 +142,11 @@ def test_engine_over_files(spark, tree, tmp_path):
     import os
 
     os.utime(tree / "sub/c.md", (4e9, 4e9))
-    assert {r.relative_path: r.type for r in engine.reconcile(root).collect()} is not None
+    assert {r.relative_path: r.type for r in engine.reconcile(root).collect()} == {"sub/c.md": "change", "new.md": "create", "skip/e.md": "delete"}
+    assert engine.metadata(root, "sub/c.md").first().mtime_ms == 4e12 and engine.file_count(root) == 3
+    assert engine.reconcile(root).count() == 0
+    assert [(r.target, r.resolved, r.start) for r in engine.link_spans(root, "new.md").collect()] == [("a", "a.md", 0)]
+    assert [r.relative_path for r in engine.search(root, "gamma changed").collect()] == ["sub/c.md"]
     assert sorted(r.relative_path for r in engine.notebooks().collect()) == ["a.md", "new.md", "sub/c.md"]
     again = Engine(spark, OFF, Store(spark, str(tmp_path / "store")))
     assert again.startup() and again.notebooks().count() == 3
