@@ -18,7 +18,7 @@ from loomnote.llm.grams import let, rolling
 #: Characters of one word.
 WORD_MOST = 16
 #: Documents that a range of ids holds on average, and the most ranges.
-RANGE, RANGES = 512, 4096
+RANGE, RANGES = 512, 65_536
 
 
 def fingerprint_expr(text: str, k: int = 5, w: int = 8) -> str:
@@ -53,9 +53,14 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(both / F.greatest(F.lit(1), F.size(a) + F.size(b) - both))
 
 
-def digest(packed: str) -> str:
-    """A fingerprint as a string of fixed length: SHA-256 over its hashes and positions."""
-    return f"sha2(concat_ws(',', cast({packed} as array<string>)), 256)"
+def written(packed: str) -> str:
+    """A packed fingerprint as text, hash:position with the hash in hex, by position: all that ``read`` needs."""
+    return f"array_join(transform({packed}, x -> concat(lower(hex(shiftright(x, 32))), ':', cast(x & 4294967295L as string))), ' ')"
+
+
+def read(fingerprint: str) -> list[tuple[int, int]]:
+    """Hashes and positions of a fingerprint as ``written``."""
+    return [(int(h, 16), int(p)) for h, p in (x.split(":") for x in fingerprint.split())]
 
 
 def with_next(df: DataFrame, id_col: str, *cols: str) -> DataFrame:
@@ -93,20 +98,19 @@ def compare_edited(df: DataFrame, k: int = 5, w: int = 8, id_col: str = "doc_id"
     """Fingerprints of every text and of its edited text, and their likeness.
 
     The edited text has the last floor(n_chars / 2) characters replaced by as many of the start of the next row's
-    text (or all). Gives ``id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.
+    text (or all). Gives ``id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``;
+    fingerprints are as ``written``, hashes with positions.
     A null text is empty. A table of one row is its own next. An empty table gives no rows.
     """
     rows = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    printed = rows.withColumn("f", F.expr(fingerprint_expr("text", k, w))).select(
-        id_col, "text", F.expr(f"unhex({digest('f')})").alias("fp"), F.expr(hash_set("f")).alias("hashes")
-    )
+    printed = rows.withColumn("f", F.expr(fingerprint_expr("text", k, w)))
     half = "length(text) div 2"
-    edited = with_next(printed, id_col, "text", "hashes").select(
-        id_col, F.length("text").cast("long").alias("n_chars"), "fp", "hashes", F.col("next.hashes").alias("next_hashes"),
+    edited = with_next(printed, id_col, "text", "f").select(
+        id_col, F.length("text").cast("long").alias("n_chars"), "f", F.expr(hash_set("f")).alias("hashes"), F.expr(hash_set("next.f")).alias("next_hashes"),
         F.expr(f"concat(left(text, length(text) - {half}), left(next.text, {half}))").alias("edited"),
     )
     edited = edited.withColumn("ef", F.expr(fingerprint_expr("edited", k, w)))
     return edited.select(
-        id_col, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.lower(F.hex("fp")).alias("fingerprint"), F.expr(digest("ef")).alias("edited_fingerprint"),
+        id_col, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.expr(written("f")).alias("fingerprint"), F.expr(written("ef")).alias("edited_fingerprint"),
         likeness(F.col("hashes"), F.expr(hash_set("ef"))).alias("near_edited"), likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"),
     )

@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from loomnote.llm.winnowing import RANGE, compare_edited, fingerprints
+from loomnote.llm.winnowing import RANGE, compare_edited, fingerprints, read
 
 SCHEMA = "doc_id long, text string, next string, f int, place_ int"
 
@@ -49,6 +49,11 @@ def test_passages_are_found(spark):
     assert one & two
 
 
+def likeness(a, b):
+    a, b = ({h for h, _ in read(x)} for x in (a, b))
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
 def edited(data):
     for i, t in enumerate(data):
         n = len(t) // 2
@@ -70,12 +75,12 @@ def test_compare_edited(spark):
             assert prints.setdefault(t, r.fingerprint) == r.fingerprint
         for t, r in zip(want, got):
             assert prints.setdefault(t, r.edited_fingerprint) == r.edited_fingerprint
-            assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
         for i, r in enumerate(got):
-            if r.fingerprint == got[(i + 1) % len(got)].fingerprint:
-                assert r.near_next == 1
-            if r.fingerprint == r.edited_fingerprint:
-                assert r.near_edited == 1
+            assert abs(r.near_next - likeness(r.fingerprint, got[(i + 1) % len(got)].fingerprint)) < 1e-12
+            assert abs(r.near_edited - likeness(r.fingerprint, r.edited_fingerprint)) < 1e-12
+        # What is written is the fingerprint, hashes and positions.
+        known = {r.doc_id: [(p.hash, p.position) for p in r.fingerprint] for r in fingerprints(spark.createDataFrame(rows, SCHEMA)).collect()}
+        assert all(read(r.fingerprint) == known[r.doc_id] for r in got)
 
 
 def test_null_and_repeated_ids(spark):
