@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from loomnote.llm.common import ascii_lower
 from loomnote.llm.grams import let
+from loomnote.llm.license_texts import SHORT_NOTICES, WHOLE_TEXTS
 
 #: A word of the scan: letters a-z, digits and all beyond ASCII. Fixed by the contract of the query.
 SCAN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -22,20 +23,8 @@ SCAN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases and their labels. Fixed by the contract of the query.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Notices (fixed values: short customary wording of public licenses) and their labels.
-TEMPLATES = [
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("apache-2.0", "You may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0"),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
-    ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-]
+#: What is looked for: short notices, and whole texts.
+TEMPLATES = [*SHORT_NOTICES, *((label, " ".join(text.split())) for label, text in WHOLE_TEXTS)]
 
 #: Words of a gram; how far apart diagonals may lie to be merged; least share of a template's words that a span covers; most words of a span, as a multiple of the template's.
 K, NEAR, COVER, LONGEST = 3, 3, 0.8, 1.5
@@ -69,7 +58,7 @@ def notices(df: DataFrame, templates=TEMPLATES, k: int = K, near: int = NEAR, co
     spark = df.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     grams = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_key"), scan_words(text).alias("words")).select("id", "text_key", F.posexplode(F.expr(gram_hashes("words", k))).alias("at", "gram"))
-    # The templates are constants of this module or a parameter: a few hundred grams, so a broadcast is bounded.
+    # The templates are constants of this module or a parameter: a few thousand grams, so a broadcast is bounded.
     hits = grams.join(F.broadcast(template_grams(spark, templates, k)), "gram").withColumn("diagonal", F.col("at") - F.col("place"))
     diagonals = hits.groupBy("id", "text_key", "template", "label", "template_words", "diagonal").agg(
         F.min("at").alias("first"), (F.max("at") + k - 1).alias("last"), F.collect_set("place").alias("places"), F.collect_set("at").alias("ats")

@@ -113,7 +113,8 @@ def _license_sql() -> str:
     from loomnote.llm import licenses as L
 
     words = lambda text: f"regexp_extract_all({text}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
-    templates = ", ".join(f"({i}, '{label}', '{text.lower()}')" for i, (label, text) in enumerate(L.TEMPLATES))
+    quoted = lambda text: text.lower().replace("'", "''")
+    templates = ", ".join(f"({i}, '{label}', '{quoted(text)}')" for i, (label, text) in enumerate(L.TEMPLATES))
     phrases = " UNION ALL ".join(
         f"SELECT doc_id, i - 1 AS pos, '{label}' AS label FROM places WHERE " + " AND ".join(f"ws[i + {j}] = '{w}'" for j, w in enumerate(phrase.split())) for phrase, label in L.PHRASES.items()
     )
