@@ -170,12 +170,15 @@ def fit_chain(rows, labels, categories: tuple[str, ...], folds: int = FOLDS) ->
 def train(df: DataFrame, labels: DataFrame, categories: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Chain:
     """Fit a chain on at most ``sample`` rows of ``labels`` (id and a 0/1 column for each category) that ``df`` has.
 
-    Label rows with a null id or category are left out. Without labelled rows every model says "no".
+    Label rows with a null id or category are left out; of several for one id the least counts, and of several texts of
+    one id one. Without labelled rows every model says "no".
     """
     import numpy as np
 
-    known = labels.select(F.col(id_col).alias("id"), *(F.col(c).cast("int").alias(f"y{i}") for i, c in enumerate(categories))).dropna()
-    chosen = known.orderBy(F.xxhash64("id"), "id", *(f"y{i}" for i in range(len(categories)))).limit(sample)
+    ys = [f"y{i}" for i in range(len(categories))]
+    known = labels.select(F.col(id_col).alias("id"), *(F.col(c).cast("int").alias(y) for c, y in zip(categories, ys))).dropna()
+    known = known.groupBy("id").agg(F.min(F.struct(*ys)).alias("y")).select("id", "y.*")
+    chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -183,11 +186,11 @@ def train(df: DataFrame, labels: DataFrame, categories: tuple[str, ...], id_col:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.binary()), *b.columns[2:]], names=["id", "held", *b.schema.names[2:]])
 
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    ys = [f"y{i}" for i in range(len(categories))]
-    # ``chosen`` has at most ``sample`` narrow rows, a fixed bound.
+    # ``chosen`` has at most ``sample`` narrow rows, a fixed bound; grouped by id, so has what comes to the driver.
     rows = texts.join(F.broadcast(chosen), "id").select("id", "text", *ys)
     kind = df.schema[id_col].dataType.simpleString()
-    got = sorted(rows.mapInArrow(featured, f"id {kind}, held binary, {', '.join(f'{y} int' for y in ys)}").collect())
+    found = rows.mapInArrow(featured, f"id {kind}, held binary, {', '.join(f'{y} int' for y in ys)}")
+    got = sorted(found.groupBy("id").agg(F.min(F.struct("held", *ys)).alias("x")).select("id", "x.*").collect())
     return fit_chain([np.frombuffer(r.held, "<u4") for r in got], [[r[y] for y in ys] for r in got], categories)
 
 

@@ -1,7 +1,10 @@
+import functools
 import random
 
 import numpy as np
+import pytest
 
+from loomnote.llm import toxicity
 from loomnote.llm.toxicity import fit_chain, score, text_features, train, without_toxic
 
 SCHEMA = "doc_id long, text string, scores string, c_text int"
@@ -61,3 +64,58 @@ def test_no_labels(spark):
         chain = train(docs, none, ("poor", "toxic"))
         assert all(r.p_toxic < 0.5 for r in score(docs, chain).collect())
     assert score(docs.limit(0), chain).count() == 0
+
+
+def plain_fit(x, y, earlier, rows, most=toxicity.FEATURES):
+    """A dense logistic regression by Newton's method, on the features that tell the classes of ``rows`` apart best; gives a function to logits."""
+    n, rate = x[rows].sum(0), y[rows].mean()
+    apart = np.abs(x[rows].T @ y[rows] - n * rate) / np.sqrt(n * rate * (1 - rate) + 1)
+    apart[n < 3] = -1
+    best = [j for j in np.argsort(-apart, kind="stable")[:most] if apart[j] > 1.5]
+    design = lambda who: np.c_[x[who][:, best], np.clip(earlier[who], -8, 8) / 4, np.ones(len(who))]
+    a, w = design(rows), np.zeros(len(best) + earlier.shape[1] + 1)
+    penalty = np.r_[np.full(len(w) - 1, toxicity.L2), 0.0]
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-a @ w))
+        w = w - np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(penalty) + 1e-9 * np.eye(len(w)), a.T @ (p - y[rows]) + penalty * w)
+    return lambda who: np.clip(design(np.asarray(who)) @ w, -8, 8)
+
+
+def test_equals_a_plain_chain(monkeypatch):
+    """The same folds, features and penalty, fitted densely to the end: probabilities agree."""
+    monkeypatch.setattr(toxicity, "fit", functools.partial(toxicity.fit, steps=20_000))
+    rows = data(150, 5)
+    held = [np.array(sorted(text_features(r[1])), "<u4") for r in rows]
+    names = np.unique(np.concatenate(held))
+    x = np.zeros((len(rows), len(names)))
+    for i, h in enumerate(held):
+        x[i, np.searchsorted(names, h)] = 1
+    y = np.array([r[2:] for r in rows], float)
+    chain, everyone = fit_chain(held, y, ("poor", "toxic")), np.arange(len(rows))
+    folds, earlier, logits = everyone % toxicity.FOLDS, np.zeros((len(rows), 0)), []
+    for k in range(2):
+        # Scoring feeds the logits of the whole models; training fed those of models that had not seen a row.
+        whole = plain_fit(x, y[:, k], earlier, everyone)
+        if k == 0:
+            logits.append(whole(everyone))
+            unseen = np.zeros(len(rows))
+            for f in range(toxicity.FOLDS):
+                unseen[folds == f] = plain_fit(x, y[:, 0], earlier, everyone[folds != f])(everyone[folds == f])
+            earlier = unseen[:, None]
+        else:
+            earlier[:, 0] = logits[0]
+            logits.append(whole(everyone))
+    got = np.array([chain.logits(h.tolist()) for h in held])
+    p = lambda z: 1 / (1 + np.exp(-z))
+    assert np.abs(p(got) - p(np.stack(logits, 1))).max() < 1e-3
+
+
+@pytest.mark.parametrize("sample", [4, 1000])
+def test_repeated_ids_are_one_row(spark, sample, monkeypatch):
+    """However often ids are repeated in texts or labels, no more than ``sample`` rows come to the driver."""
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_chain", lambda rows, labels, categories: seen.append((len(rows), labels)))
+    docs = spark.createDataFrame([(i % 6, f"text {i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 6, i // 6 % 2, 1) for i in range(30)], "doc_id long, poor int, toxic int")
+    train(docs, labels, ("poor", "toxic"), sample=sample)
+    assert seen == [(min(sample, 6), [[0, 1]] * min(sample, 6))]
