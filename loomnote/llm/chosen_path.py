@@ -29,12 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomnote.llm.common import shared_dir, staged
+from loomnote.llm.common import by_broadcast, discard, in_slices, staged
 from loomnote.llm.components import connected
+from loomnote.sources.staging import ready_to_cut
 
 HASHES, ROOTS, BRANCHES, DEPTH = 128, 8, 2, 3
 #: Members of a node that is compared exhaustively, pivots of a larger one, members of a block.
 SMALL, PIVOTS, BLOCK = 64, 8, 128
+#: Large nodes that are joined by broadcast: their sizes (24 bytes each), and their pivots (2.5 kilobytes each). More are joined by shuffle.
+BROADCAST_NODES, BROADCAST_PIVOTS = 500_000, 10_000
+#: Blocks of a tile: two tiles of a node meet in one group, so that a node's pairs of blocks are many groups.
+TILE = 8
 #: Classes whose texts are looked for by broadcasting their ids (40 bytes each); more are joined by shuffle.
 BROADCAST_CLASSES = 200_000
 #: Words whose hash a worker remembers.
@@ -134,7 +139,7 @@ def _hashed(df: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for b in batches:
+        for b in in_slices(batches, TEXTS):
             n, keys, roots, tokens = [], [], [], []
             for t in b.column(2).to_pylist():
                 s = shingles(t, k)
@@ -223,7 +228,7 @@ def _compare_lists(rows: DataFrame, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for b in batches:
+        for b in in_slices(batches, TEXTS):
             keys, n, sketch = b.column(1).to_pylist(), b.column(2).to_numpy(), _sketches(b.column(3))
             lists = b.column(4)
             count = lists.value_lengths().to_numpy()
@@ -259,13 +264,21 @@ def _bridge_cuts(least: int) -> tuple[int, int]:
 
 
 def _blocks(left: DataFrame, right: DataFrame, sizes: DataFrame, *cols: str) -> DataFrame:
-    """``node, x, y, at_x, at_y``: each block of about ``BLOCK`` rows of ``left`` with each of ``right`` of the same node, and which blocks they are."""
+    """``node, x, y, at_x, at_y``: each block of about ``BLOCK`` rows of ``left`` with each of ``right`` of the same node, and which blocks they are.
 
-    def cut(df: DataFrame, name: str) -> DataFrame:
-        block = F.pmod(F.xxhash64("key"), F.ceil(F.col("members") / BLOCK))
-        return df.join(sizes, "node").groupBy("node", block.alias("block")).agg(F.collect_list(F.struct(*cols)).alias(name)).withColumnRenamed("block", f"at_{name}")
+    Blocks meet by tiles: the key of the join is a node and a tile of either side, so that a large node is as many
+    groups as it has pairs of tiles, and a block is sent once to each tile of the other side.
+    """
+    sizes = by_broadcast(sizes.select("node", F.ceil(F.col("members") / BLOCK).alias("blocks")), BROADCAST_NODES)
 
-    return cut(left, "x").join(cut(right, "y"), "node").select("node", "x", "y", "at_x", "at_y")
+    def cut(df: DataFrame, name: str, other: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("key"), F.col("blocks"))
+        blocks = df.join(sizes, "node").groupBy("node", "blocks", block.alias(f"at_{name}")).agg(F.collect_list(F.struct(*cols)).alias(name))
+        tiles = F.sequence(F.lit(0).cast("long"), F.floor((F.col("blocks") - 1) / TILE))
+        return blocks.select("node", name, f"at_{name}", F.floor(F.col(f"at_{name}") / TILE).alias(f"tile_{name}"), F.explode(tiles).alias(f"tile_{other}"))
+
+    met = cut(left, "x", "y").join(cut(right, "y", "x"), ["node", "tile_x", "tile_y"])
+    return met.select("node", "x", "y", "at_x", "at_y")
 
 
 def _met(x, y, least: int):
@@ -281,7 +294,7 @@ def _with_candidates(blocks: DataFrame, least: int, name: str) -> DataFrame:
     """``node, key`` of the rows that have a candidate in another component. A pair of blocks gives one row, with the keys of either side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_slices(batches, BLOCK_ROWS):
             rows, xs, ys = [], [], []
             for row in range(b.num_rows):
                 kx, ky, _, _, hit = _met(b.column(1)[row].values, b.column(2)[row].values, least)
@@ -293,7 +306,7 @@ def _with_candidates(blocks: DataFrame, least: int, name: str) -> DataFrame:
             lists = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in (0, 3, 4)), pa.array(xs, lists), pa.array(ys, lists)], names=["node", "at_x", "at_y", "x", "y"])
 
-    met = _in_small_batches(blocks.mapInArrow(run, "node long, at_x long, at_y long, x array<long>, y array<long>"), BLOCK_ROWS, name)
+    met = staged(blocks.mapInArrow(run, "node long, at_x long, at_y long, x array<long>, y array<long>"), name)
     # A block's keys come once for each block that it met; they are few, and made distinct before they become rows.
     of = lambda side: met.groupBy("node", f"at_{side}").agg(F.array_distinct(F.flatten(F.collect_list(side))).alias("keys")).select("node", F.explode("keys").alias("key"))
     return of("x").union(of("y")).distinct()
@@ -317,7 +330,7 @@ def _links_of_blocks(blocks: DataFrame, least: int, once: bool = True) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for b in batches:
+        for b in in_slices(batches, SET_BLOCK_ROWS):
             for row in range(b.num_rows):
                 x, y = b.column(1)[row].values, b.column(2)[row].values
                 kx, ky, cx, cy, hit = _met(x, y, least)
@@ -355,39 +368,46 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return functools.reduce(DataFrame.unionAll, parts)
 
 
-def candidates(classes: DataFrame, least: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+def candidates(classes: DataFrame, least: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None, list[DataFrame]]:
     """Candidate pairs (a > b, equal) of ``classes`` (key, n, roots, tokens) by the chosen-path trees.
 
-    Also the members of large nodes, with what their pivots said, and these nodes' sizes (None if there are none).
+    Also the members of large nodes, with what their pivots said, and these nodes' sizes (None if there are none), and the
+    tables that nothing needs once the pairs are written.
     """
     rows = classes.select("key", "n", "tokens", F.posexplode("roots").alias("tree", "node"))
-    small, members, sizes = [], [], []
+    small, members, sizes, passing = [], [], [], []
     for depth in range(1, DEPTH + 1):
         large = staged(rows.groupBy("node").agg(F.count("*").alias("members")).where(F.col("members") > SMALL), f"large{depth}")
-        small.append(rows.join(large, "node", "left_anti").select("node", "key", "n", "tokens"))
+        known = by_broadcast(large, BROADCAST_NODES)
+        small.append(rows.join(known, "node", "left_anti").select("node", "key", "n", "tokens"))
         if large.isEmpty():
             break
-        inside = rows.join(large, "node").select("node", "key", "n", "tokens", "tree", "members")
+        inside = rows.join(known, "node").select("node", "key", "n", "tokens", "tree", "members")
         # Pivots are the members with the least hashes (the same in every tree, so pairs repeat): a bounded list, kept
         # small before the shuffle by taking hashes below a bound that 4 * PIVOTS members pass on average.
         order = F.pmod(F.xxhash64("key", F.lit(7)), F.lit(1 << 40))
         low = inside.withColumn("order", order).where(F.col("order") < 4.0 * PIVOTS * (1 << 40) / F.col("members"))
         pivots = low.groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct("order", "key", "n", "tokens"))), 1, PIVOTS).alias("pivots"))
+        passing.append(staged(pivots, f"pivots{depth}"))
+        pivots = by_broadcast(passing[-1], BROADCAST_PIVOTS)
         none = F.array().cast(pivots.schema["pivots"].dataType)
         seen = _compare_lists(inside.join(pivots, "node", "left").withColumn("pivots", F.coalesce("pivots", none)), least)
         # What no pivot settles and what was near one, or is left at the end, will meet the node's members.
         meets = ~F.col("settled") & (F.col("near") | F.lit(depth == DEPTH))
         members.append(staged(seen.withColumn("meets", meets), f"members{depth}"))
         sizes.append(large)
+        if depth == DEPTH:  # nobody is left to go on
+            break
         chosen = F.array(*(F.pmod(F.xxhash64(F.col("node"), F.lit(j)), F.lit(HASHES)).cast("int") for j in range(BRANCHES)))
         branch = F.transform(chosen, lambda i: F.xxhash64(F.col("node"), i, F.substring("tokens", 2 * i + 1, F.lit(2))))
         rows = staged(members[-1].where("not settled and not meets").select("key", "n", "tokens", F.lit(-1).alias("tree"), F.explode(branch).alias("node")), f"branch{depth}")
+        passing.append(rows)
     found = _compare_small(_all(small), least)
     if not members:
-        return found, None, None
+        return found, None, None, passing
     every, size = _all(members), _all(sizes)
     mates = every.select("key", F.explode("mates").alias("x")).select("key", "x.*")
-    return found.unionAll(mates.select(F.greatest("key", "mate").alias("a"), F.least("key", "mate").alias("b"), "equal")), every, size
+    return found.unionAll(mates.select(F.greatest("key", "mate").alias("a"), F.least("key", "mate").alias("b"), "equal")), every, size, passing
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
@@ -407,23 +427,12 @@ def _confirm(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-#: Rows of an Arrow batch with a text in each row, two full sets (a few kilobytes each, most often), two blocks, or two blocks with sets.
-TEXTS, SETS, BLOCK_ROWS, SET_BLOCK_ROWS = 1000, 1000, 100, 8
-
-
-def _in_small_batches(df: DataFrame, rows: int, name: str) -> DataFrame:
-    """Stage ``df``, whose rows are large, with that many in an Arrow batch."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(key)
-    try:
-        conf.set(key, str(rows))
-        return staged(df, name)
-    finally:
-        conf.set(key, before)
+#: Rows that are worked on at a time: texts, two blocks, two blocks with full sets.
+TEXTS, BLOCK_ROWS, SET_BLOCK_ROWS = 512, 64, 4
 
 
 def _links(pairs: DataFrame, sets: DataFrame, least: int, name: str) -> DataFrame:
-    return _in_small_batches(_confirm(pairs, sets, least), SETS, name)
+    return staged(_confirm(pairs, sets, least), name)
 
 
 def _labels(classes: DataFrame, joined: DataFrame) -> DataFrame:
@@ -441,10 +450,8 @@ def _full_sets(df: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, id_c
     involved = texts.join(wanted, F.col("id_").eqNullSafe(F.col("id")) & (F.col("text_key_") == F.col("text_key"))).select("key", "text")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t, k).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["key", "members"])
+        for part in in_slices(batches, TEXTS):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t, k).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["key", "members"])
 
     # A row that is repeated exactly gives its class's set more than once; one is enough.
     return staged(involved.mapInArrow(full, "key long, members binary").dropDuplicates(["key"]), "sets")
@@ -459,13 +466,16 @@ def _links_in_nodes(df: DataFrame, classes: DataFrame, members: DataFrame, sizes
     apart = staged(apart.join(anywhere, "key", "left").select("node", "key", "tree", "component", (F.col("meets") | (F.coalesce("met", F.lit(False)) & (F.col("tree") >= 0))).alias("meets")), "apart")
     # Only nodes where somebody meets others, of several components, matter; only there sketches are needed.
     split = apart.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("meets").alias("any")).where("any and lo <> hi").select("node")
+    split = by_broadcast(staged(split, "split"), BROADCAST_NODES)
     mixed = staged(apart.join(split, "node", "left_semi").join(classes.select("key", "n", "tokens"), "key"), "mixed")
     flagged = staged(_with_candidates(_blocks(mixed.where("meets"), mixed, sizes, "key", "n", "tokens", "component"), least, "flagged"), "candidates")
     sets = _full_sets(df, classes, flagged.select(F.col("key").alias("a"), F.col("key").alias("b")), k, id_col, text_col)
     whole = mixed.join(flagged, ["node", "key"]).join(classes.select("key", "roots"), "key").join(sets.withColumnRenamed("members", "set"), "key")
     size = flagged.groupBy("node").agg(F.count("*").alias("members"))
     blocks = _blocks(whole.where("meets"), whole, size, "key", "n", "tokens", "component", "tree", "roots", "set")
-    return _in_small_batches(_links_of_blocks(blocks, least), SET_BLOCK_ROWS, "links3")
+    links = staged(_links_of_blocks(blocks, least), "links3")
+    discard(apart, mixed, flagged, sets)
+    return links
 
 
 def _near_other(rows: DataFrame, least: int) -> DataFrame:
@@ -489,6 +499,7 @@ def _bridges(df: DataFrame, classes: DataFrame, members: DataFrame, part_of: Dat
     settled = members.where("settled").select("node", "key", "tree", F.col("mates")[0]["mate"].alias("mate")).join(part_of, "key")
     settled = settled.join(part_of.select(F.col("key").alias("mate"), F.col("component").alias("of_mate")), "mate").where("component = of_mate").drop("of_mate")
     split = settled.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("node")
+    split = by_broadcast(staged(split, "split"), BROADCAST_NODES)
     settled = staged(settled.join(split, "node", "left_semi"), "settled")
     if settled.isEmpty():
         return None
@@ -509,7 +520,9 @@ def _bridges(df: DataFrame, classes: DataFrame, members: DataFrame, part_of: Dat
     whole = near.join(flagged, ["node", "key"]).join(classes.select("key", "roots"), "key").join(sets.withColumnRenamed("members", "set"), "key")
     size = flagged.groupBy("node").agg(F.count("*").alias("members"))
     blocks = _blocks(whole.where("left"), whole.where("not left"), size, "key", "n", "tokens", "component", "tree", "roots", "set")
-    return _in_small_batches(_links_of_blocks(blocks, least, once=False), SET_BLOCK_ROWS, "links4")
+    links = staged(_links_of_blocks(blocks, least, once=False), "links4")
+    discard(settled, ways, near, flagged, sets)
+    return links
 
 
 def near_duplicates(df: DataFrame, k: int = 5, least: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -522,16 +535,16 @@ def near_duplicates(df: DataFrame, k: int = 5, least: int = 80, id_col: str = "d
     these two are left out. ``text_key`` is a hash of the text.
     """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    hashed = _in_small_batches(_hashed(df, k, id_col, text_col), TEXTS, "hashed")
+    ready_to_cut(spark)
+    hashed = staged(_hashed(df, k, id_col, text_col), "hashed")
     filled = hashed.where("key is not null")
     first = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key")
     classes = filled.groupBy("key").agg(F.min(first).alias("first"), F.first("n").alias("n"), F.first("roots").alias("roots"), F.first("tokens").alias("tokens"))
     # From here on a class is known by a number; its row is written, so the number stays.
     classes = staged(classes.withColumnRenamed("key", "digest").withColumn("key", F.monotonically_increasing_id()), "classes")
-    found, members, sizes = candidates(classes.select("key", "n", "roots", "tokens"), least)
+    found, members, sizes, passing = candidates(classes.select("key", "n", "roots", "tokens"), least)
     pairs = staged(found.groupBy("a", "b").agg(F.first("equal").alias("equal")), "pairs")
+    discard(*passing)
     sets = _full_sets(df, classes, pairs, k, id_col, text_col)
 
     # Round 1: each member's most alike candidates (ranks are cut before the shuffle).
@@ -545,6 +558,7 @@ def near_duplicates(df: DataFrame, k: int = 5, least: int = 80, id_col: str = "d
     more = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").where("of_a <> of_b").select("a", "b")
     second_pairs = staged(more.distinct().join(first_pairs, ["a", "b"], "left_anti"), "second")
     links = links.unionAll(_links(second_pairs, sets, least, "links2"))
+    discard(pairs, first_pairs, second_pairs, sets)
     if members is not None:
         links = links.unionAll(_links_in_nodes(df, classes, members, sizes, part_of, k, least, id_col, text_col))
     joined = connected(links)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
+import gc
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomnote.sources.staging import shared_folder
+
 #: A word: a run without ASCII white space. Fixed by the contract of the queries.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,25 +20,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return named or _own_dir()
-
-
-_OWN: list[str] = []
-
-
-def _own_dir() -> str:
-    if not _OWN:
-        _OWN.append(tempfile.mkdtemp(prefix="loomnote-"))
-    return _OWN[0]
-
-
 def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/loomnote-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/loomnote-{name}-{uuid.uuid4().hex}"
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -50,6 +39,26 @@ def discard(*tables: DataFrame) -> None:
         spark = table.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(table.staged_at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        release(tables[0].sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of plans that nothing refers to any more: Spark then drops their shuffle files, on all executors."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def by_broadcast(df: DataFrame, most: int) -> DataFrame:
+    """A staged table marked for broadcast if it has at most ``most`` rows; else as it is, for a join by shuffle whose skewed keys Spark splits."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of large rows, few rows at a time, so that what is made of them stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def ascii_lower(col: Column) -> Column:

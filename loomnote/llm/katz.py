@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomnote.llm.common import discard, staged
+from loomnote.llm.common import discard, release, staged
 
 #: Counts up to this are discounted.
 KATZ = 5
@@ -536,6 +536,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", spread:
     texts, n_tokens = blocks.agg(F.coalesce(F.sum("train_texts"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_tokens // PART_TOKENS))
     known = staged(_merge_dictionaries(_dealt(blocks, parts), parts), "dictionary")
+    release(spark)
     total = _totals(known.where("block = -1"))
     uni = Unigrams(total[0], total[1], texts, [0, *total[2:]])
     spread = max(spread, uni.tokens // (4 * parts))

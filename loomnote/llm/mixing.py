@@ -11,7 +11,8 @@ The pairing is a reduction tree: documents are dealt into leaves of ``FAN`` on a
 folded to one open document, and ``FAN`` leaves at a time are folded again. No task sees more than a few hundred
 rows of a source, however large it is, and a level has a ``FAN``-th of the rows of the one before. Within a fold
 large documents go first, so what is left over at the root is mostly small; it is rounded to the nearer side.
-Draws are hashes of ids, so reruns agree.
+Draws are hashes of ids and texts, so reruns agree. Rows that are alike in both would share a leaf, however many they
+are: the number of such a row among its like is part of its hash.
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomnote.llm.common import WORD, staged
+from loomnote.llm.common import WORD, by_broadcast, staged
 
 #: Open documents folded in one group.
 FAN = 64
 #: Sources up to this number are joined by broadcast (a row is under 200 bytes); more are joined by shuffle.
 BROADCAST_SOURCES = 50_000
+#: Repeated rows up to this number are joined by broadcast (16 bytes each); more are joined by shuffle.
+BROADCAST_REPEATS = 1_000_000
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -67,6 +70,22 @@ def _folded(open_: DataFrame, seed: int) -> DataFrame:
     return open_.groupBy("source", "leaf").agg(items).select("source", "leaf", F.expr(fold).alias("s")).select("source", "leaf", "s.*")
 
 
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """``rows`` with a hash of its own for each of several rows alike, which goes by its number among them.
+
+    The number is that within the task that read the row, plus how many the tasks before have; rows that are alike can
+    change places, so the same hashes come out however the table is cut.
+    """
+    repeats = staged(rows.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h"), "repeats")
+    alike = rows.join(by_broadcast(repeats, BROADCAST_REPEATS), "h").select("h", "row", F.shiftright("row", 33).alias("task"))
+    inside = alike.withColumn("nth", F.row_number().over(Window.partitionBy("h", "task").orderBy("row")))
+    before = Window.partitionBy("h").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    bases = alike.groupBy("h", "task").agg(F.count("*").alias("n")).select("h", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    numbered = staged(inside.join(bases, ["h", "task"]).select("row", (F.col("nth") + F.col("base")).alias("nth")), "numbered")
+    rows = rows.join(by_broadcast(numbered, BROADCAST_REPEATS), "row", "left")
+    return rows.withColumn("h", F.when(F.col("nth").isNotNull(), F.xxhash64("h", "nth")).otherwise(F.col("h"))).drop("nth")
+
+
 def mix(
     df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 1,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = (),
@@ -83,10 +102,11 @@ def mix(
         df.select(
             F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"),
             F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)).alias("h"), F.greatest(size, F.lit(0)).alias("size"),
-            F.struct(*keep).alias("kept") if keep else F.lit(None).cast("int").alias("kept"),
+            F.struct(*(F.col(f"`{c}`") for c in keep)).alias("kept") if keep else F.lit(None).cast("int").alias("kept"),
         ),
         "sizes",
     )
+    rows = _told_apart(rows)
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.when(F.col("size") > 0, 1)).alias("n"))
     sources = staged(targets(sources, weights, share, cap), "targets")
     n_sources, n_most = sources.agg(F.count("*"), F.max("n")).first()

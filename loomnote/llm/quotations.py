@@ -18,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomnote.llm.common import shared_dir, staged
+from loomnote.llm.common import staged
+from loomnote.sources.staging import ready_to_cut
 
 #: A line that introduces a quote.
 INTRODUCTION = r"(?i)^\s*(on\b.*\bwrote|am\b.*\bschrieb.*|le\b.*\ba écrit|el\b.*\bescribió)\s*:\s*$"
@@ -100,8 +101,7 @@ def link(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_
     Other columns are left out. Column names are the parameters' on input and fixed on output.
     """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    ready_to_cut(spark)
     rows = df.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     parsed = passages(rows).withColumn("part", F.monotonically_increasing_id())
     parsed = staged(parsed.select("conv_id", "turn", "role", "part", "clean", "max_level", F.filter("lines", lambda x: x["line"] != "").alias("lines")), "messages")

@@ -5,6 +5,7 @@ import pytest
 from loomnote.llm import chosen_path
 from loomnote.llm.chosen_path import near_duplicates
 from loomnote.llm.components import connected
+from loomnote.sources.staging import ready_to_cut
 
 SCHEMA = "doc_id long, text string, key string, n int, tokens int"
 
@@ -74,7 +75,7 @@ def test_equals_all_pairs(spark, k):
 
 def test_large_nodes(spark, monkeypatch):
     """With tiny nodes, pivots, blocks and depth all come into play."""
-    for name, value in (("SMALL", 3), ("PIVOTS", 2), ("BLOCK", 4), ("DEPTH", 3), ("BROADCAST_CLASSES", 0)):
+    for name, value in (("SMALL", 3), ("PIVOTS", 2), ("BLOCK", 4), ("DEPTH", 3), ("TILE", 2), ("BROADCAST_CLASSES", 0), ("BROADCAST_NODES", 0), ("BROADCAST_PIVOTS", 0)):
         monkeypatch.setattr(chosen_path, name, value)
     check(spark, corpus(7), 2)
 
@@ -106,7 +107,7 @@ def test_edges_of_tables(spark):
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(50)] + [(5000 + rng.randrange(60), 5000 + rng.randrange(60)) for _ in range(40)] + [(7, 7)]
-    spark.sparkContext.setCheckpointDir(chosen_path.shared_dir(spark))
+    ready_to_cut(spark)
     got = {r.node: r.component for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     parent = {x: x for e in edges for x in e}
 

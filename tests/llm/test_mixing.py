@@ -76,3 +76,17 @@ def test_mix_is_unbiased(spark):
 def test_mix_empty(spark):
     assert mix(spark.createDataFrame([], SCHEMA)).count() == 0
     assert mix(spark.createDataFrame([(1, None, None, 1, "")], SCHEMA)).collect()[0].taken == 0
+
+
+def test_repeated_rows_are_dealt_out(spark, monkeypatch):
+    """A third of all rows alike, with ids or without: leaves stay small, and targets are met."""
+    from loomnote.llm import mixing
+
+    sizes, fold = [], mixing._folded
+    monkeypatch.setattr(mixing, "_folded", lambda open_, seed: sizes.append(open_.groupBy("source", "leaf").count().agg({"count": "max"}).first()[0]) or fold(open_, seed))
+    rows = [(None if i % 2 else 5, "the same words", "a", 1, "") for i in range(3000)] + [(i, "w " * (1 + i % 50), "ab"[i % 2], 1, "") for i in range(3000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = mix(df, weights=(2, 1), share=0.8).collect()
+    assert max(sizes) < 4 * mixing.FAN
+    for target, taken in {(r.target, sum(x.taken for x in got if x.target == r.target)) for r in got}:
+        assert abs(target - taken) <= 50

@@ -85,3 +85,19 @@ def test_one_of_each_without_ids(spark, tmp_path):
     rows = [(d, t and (t if d is None else t.replace("W", "V"))) for d, t in rows]
     one = corpus_pipeline.keep_one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()
     assert sorted((str(r.doc_id), len(r.text or "") > 60) for r in one) == [("4", False), ("4", True), ("None", False), ("None", False), ("None", True)]
+
+
+def test_clashing_columns_maps_and_empty_tables(spark, tmp_path):
+    """Columns named as the stage's own, columns that have no order, and no rows at all."""
+    schema = "doc_id long, text string, source string, id_ int, key_ string, times_ map<string,int>, component long, row_ string, `a.b` int"
+    rows = [(1, "one two three four five six", "s", 1, "k", {"x": 1}, 7, "r", 2)] * 2 + [(2, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    kept = corpus_pipeline.keep_one_of_each(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and sorted((r.doc_id, r.id_, r["a.b"]) for r in kept.collect() if r.doc_id == 1) == [(1, 1, 2)] and kept.count() == 2
+    mix = corpus_pipeline.mix_sources(spark, kept, str(tmp_path))
+    assert mix.columns == docs.columns and mix.where("doc_id = 1").count() <= 2
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+    assert corpus_pipeline.reject_toxic(spark, docs, str(tmp_path)).count() == 3
