@@ -27,14 +27,21 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Of rows of one id, or of none, the least by the hash of the text stays; of rows that are alike in both, the least by the other columns.
     """
-    kept = near_duplicates(docs, k=5, least=80).where("kept").groupBy("component", F.col("doc_id").alias("id_"), F.col("text_key").alias("key_")).agg(F.count("*").alias("times_"))
-    first = F.min(F.struct(F.col("id_").isNull().alias("no_id_"), "id_", "key_", "times_")).alias("first_")
-    found = kept.where("component is not null").groupBy("component").agg(first).select("first_.id_", "first_.key_", "first_.times_")
-    found = found.unionAll(kept.where("component is null").select("id_", "key_", "times_"))
+    mark = "_"
+    while any(c.lower().startswith(mark) for c in docs.columns):  # names that no column of the documents has
+        mark += "_"
+    id_, key_, times_, row_ = (f"{mark}{x}" for x in ("id", "key", "times", "row"))
+    kept = near_duplicates(docs, k=5, least=80).where("kept").groupBy("component", F.col("doc_id").alias(id_), F.col("text_key").alias(key_)).agg(F.count("*").alias(times_))
+    first = F.min(F.struct(F.col(id_).isNull().alias("none"), id_, key_, times_)).alias("first")
+    found = kept.where("component is not null").groupBy("component").agg(first).select(*(F.col(f"first.{x}") for x in (id_, key_, times_)))
+    found = found.unionAll(kept.where("component is null").select(id_, key_, times_))
     key = F.xxhash64(F.coalesce("text", F.lit("")))
-    kept = docs.join(found, docs["doc_id"].eqNullSafe(found["id_"]) & (key == found["key_"]))
-    once = kept.where("times_ = 1").select(docs.columns)
-    repeated = kept.where("times_ > 1").groupBy("id_", "key_").agg(F.min(F.struct(*docs.columns)).alias("row_")).select("row_.*")
+    kept = docs.join(found, docs["doc_id"].eqNullSafe(found[id_]) & (key == found[key_]))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = kept.where(F.col(times_) == 1).select(columns)
+    # As JSON any row can be compared with another, whatever types its columns have.
+    one = F.min_by(F.struct(*columns), F.to_json(F.struct(*columns))).alias(row_)
+    repeated = kept.where(F.col(times_) > 1).groupBy(id_, key_).agg(one).select(f"{row_}.*")
     return once.unionAll(repeated)
 
 
