@@ -195,7 +195,7 @@ def train(df: DataFrame, labels: DataFrame, categories: tuple[str, ...], id_col:
 
 
 def score(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """``id_col`` and ``p_<category>`` for each row, or with ``keep`` all columns and ``scores``, an array in their order.
+    """``id_col`` and ``p_<category>`` for each row, or with ``keep`` all columns, as c0, c1, ..., and ``scores``, an array in their order.
 
     A null or empty text has no features: it gets the models' base rates.
     """
@@ -222,7 +222,7 @@ def score(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.float64()))], names=[*b.schema.names, "scores"]) if keep else pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float64()))], names=["id", "scores"])
 
     if keep:
-        fields = [StructField("c_" + f.name, f.dataType) for f in df.schema.fields]  # so that "scores" clashes with none
+        fields = [StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema.fields)]  # so that "scores" clashes with none
         at = df.columns.index(text_col)
         rows = df.toDF(*(f.name for f in fields))
         return rows.mapInArrow(scored, StructType([*fields, StructField("scores", ArrayType(DoubleType()))]))
@@ -236,4 +236,4 @@ def without_toxic(df: DataFrame, chain: Chain, category: str, threshold: float =
     """The rows of ``df``, as they are, whose ``category`` has a probability below ``threshold``."""
     k = chain.categories.index(category)
     kept = score(df, chain, id_col, text_col, keep=True).where(F.col("scores")[k] < threshold)
-    return kept.select(*(F.col(f"`c_{c}`").alias(c) for c in df.columns))
+    return kept.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)))
