@@ -4,11 +4,13 @@
    classes, so groups of exact copies cost one member each.
 2. Each class has ``HASHES`` minwise tokens. ``ROOTS`` independent trees' first branches each split all classes by one
    token; below, a node splits its members by ``BRANCHES`` tokens that the node's own path chooses. A pair of
-   likeness J follows a branch together with probability J, so at 0.8 it misses all roots with 0.2^8 < 3e-6.
+   likeness J follows a branch together with probability J, so at 0.8 it misses all roots with 0.2^8 < 3e-6, and all
+   trees, however deep, with 0.25^8 < 2e-5 (it parts below a node with 0.0625, the root of q = (0.2 + 0.8 q)^2).
 3. A node of up to ``SMALL`` members is compared exhaustively, by sketches. A larger one is first compared with a few
    pivots. Members much like a pivot are settled: they are paired with it (in a group of many near copies that is nearly
    all). Members unlike all pivots go down the tree; by the triangle inequality no settled one can be linked to them.
-   Members in between, and at ``DEPTH`` all that are left, will meet their whole node.
+   Members in between, and from ``DEPTH`` on all that are left in a node of up to ``CROWD``, will meet their whole node.
+   A larger one goes on down, so what meets a node grows with the members and not with their square.
 4. Pairs are confirmed on their full sets, and links give components, in two rounds. The first takes the ``NEIGHBOURS``
    most alike candidates of each member. The second takes the other candidates that the first has not brought into one
    component (links inside one would change nothing), and lets members meet their node, a block with a block at a time:
@@ -36,6 +38,8 @@ from loomnote.sources.staging import ready_to_cut
 HASHES, ROOTS, BRANCHES, DEPTH = 128, 8, 2, 3
 #: Members of a node that is compared exhaustively, pivots of a larger one, members of a block.
 SMALL, PIVOTS, BLOCK = 64, 8, 128
+#: Members of a node that those left at ``DEPTH`` or below meet; from ``DEEPEST`` on they meet a node of any size.
+CROWD, DEEPEST = 4096, 24
 #: Classes whose texts are looked for by broadcasting their ids (40 bytes each); more are joined by shuffle.
 BROADCAST_CLASSES = 200_000
 #: Words whose hash a worker remembers.
@@ -214,9 +218,9 @@ def _compare_small(rows: DataFrame, least: int) -> DataFrame:
 
 
 def _compare_lists(rows: DataFrame, least: int) -> DataFrame:
-    """For ``rows`` (node, key, n, tokens, pivots): the pivots each is like.
+    """For ``rows`` (node, key, n, tokens, pivots, tree, stays): the pivots each is like.
 
-    Gives ``node, key, n, tokens, settled, near, mates``: whether some pivot settles the row, whether one is near, and
+    Gives ``node, key, n, tokens, tree, stays, settled, near, mates``: whether some pivot settles the row, whether one is near, and
     the pivots it is to be paired with: the first that settles it, or else all candidates.
     """
     candidate, enough, close = _cuts(least)
@@ -244,9 +248,9 @@ def _compare_lists(rows: DataFrame, least: int) -> DataFrame:
             for j in np.flatnonzero(fit & (equal >= candidate)):
                 if not settled[owner[j]]:
                     mates[owner[j]].append({"mate": names[j], "equal": int(equal[j])})
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], b.column("tree"), pa.array(settled), pa.array(near), pa.array(mates, pa.list_(pa.struct([("mate", pa.int64()), ("equal", pa.int32())])))], names=["node", "key", "n", "tokens", "tree", "settled", "near", "mates"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], b.column("tree"), b.column("stays"), pa.array(settled), pa.array(near), pa.array(mates, pa.list_(pa.struct([("mate", pa.int64()), ("equal", pa.int32())])))], names=["node", "key", "n", "tokens", "tree", "stays", "settled", "near", "mates"])
 
-    return rows.select("node", "key", "n", "tokens", "pivots", "tree").mapInArrow(run, "node long, key long, n long, tokens binary, tree int, settled boolean, near boolean, mates array<struct<mate long, equal int>>")
+    return rows.select("node", "key", "n", "tokens", "pivots", "tree", "stays").mapInArrow(run, "node long, key long, n long, tokens binary, tree int, stays boolean, settled boolean, near boolean, mates array<struct<mate long, equal int>>")
 
 
 #: Candidates of each member that the first round confirms.
@@ -259,14 +263,22 @@ def _bridge_cuts(least: int) -> tuple[int, int]:
     return tuple(int(HASHES * j - 4.6 * (HASHES * j * (1 - j)) ** 0.5) for j in shares)
 
 
-def _blocks(left: DataFrame, right: DataFrame, sizes: DataFrame, *cols: str) -> DataFrame:
-    """``node, x, y, at_x, at_y``: each block of about ``BLOCK`` rows of ``left`` with each of ``right`` of the same node, and which blocks they are."""
+def _blocks(rows: DataFrame, left: str, right: str, sizes: DataFrame, *cols: str) -> DataFrame:
+    """``node, x, y, at_x, at_y``: each block of about ``BLOCK`` of the ``rows`` that ``left`` is true of with each of those of ``right`` in the same node, and which blocks they are.
+
+    ``sizes`` (node, of_x, of_y) has the number of either: a few rows that meet a large node are one block, not many of one row.
+    """
 
     def cut(df: DataFrame, name: str) -> DataFrame:
-        block = F.pmod(F.xxhash64("key"), F.ceil(F.col("members") / BLOCK))
+        block = F.pmod(F.xxhash64("key"), F.ceil(F.col(f"of_{name}") / BLOCK))
         return df.join(sizes, "node").groupBy("node", block.alias("block")).agg(F.collect_list(F.struct(*cols)).alias(name)).withColumnRenamed("block", f"at_{name}")
 
-    return cut(left, "x").join(cut(right, "y"), "node").select("node", "x", "y", "at_x", "at_y")
+    return cut(rows.where(left), "x").join(cut(rows.where(right), "y"), "node").select("node", "x", "y", "at_x", "at_y")
+
+
+def _sides(rows: DataFrame, left: str, right: str) -> DataFrame:
+    """``node, of_x, of_y``: of how many rows of each node ``left`` and ``right`` are true."""
+    return rows.groupBy("node").agg(F.count_if(F.expr(left)).alias("of_x"), F.count_if(F.expr(right)).alias("of_y"))
 
 
 def _met(x, y, least: int):
@@ -274,7 +286,8 @@ def _met(x, y, least: int):
     import numpy as np
 
     (kx, nx, cx, sx), (ky, ny, cy, sy) = ((v.field("key").to_numpy(), v.field("n").to_numpy(), v.field("component").to_numpy(), _sketches(v.field("tokens"))) for v in (x, y))
-    equal = np.stack([(sx == s).sum(axis=1) for s in sy])
+    # A step of the loop for each row of the shorter block.
+    equal = np.stack([(sx == s).sum(axis=1) for s in sy] if len(sy) <= len(sx) else [(sy == s).sum(axis=1) for s in sx], axis=int(len(sy) > len(sx)))
     return kx, ky, cx, cy, (equal >= _cuts(least)[0]) & _alike_sizes(nx[None, :], ny[:, None], least) & (cx[None, :] != cy[:, None])
 
 
@@ -356,19 +369,21 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return functools.reduce(DataFrame.unionAll, parts)
 
 
-def candidates(classes: DataFrame, least: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+def candidates(classes: DataFrame, least: int) -> tuple[DataFrame, DataFrame | None]:
     """Candidate pairs (a > b, equal) of ``classes`` (key, n, roots, tokens) by the chosen-path trees.
 
-    Also the members of large nodes, with what their pivots said, and these nodes' sizes (None if there are none).
+    Also the members of large nodes, with what their pivots said (None if there are none).
     """
     rows = classes.select("key", "n", "tokens", F.posexplode("roots").alias("tree", "node"))
-    small, members, sizes = [], [], []
-    for depth in range(1, DEPTH + 1):
+    small, members = [], []
+    for depth in range(1, DEEPEST + 1):
         large = staged(rows.groupBy("node").agg(F.count("*").alias("members")).where(F.col("members") > SMALL), f"large{depth}")
         small.append(rows.join(large, "node", "left_anti").select("node", "key", "n", "tokens"))
-        if large.isEmpty():
+        most = large.agg(F.max("members")).first()[0]
+        if most is None:
             break
-        inside = rows.join(large, "node").select("node", "key", "n", "tokens", "tree", "members")
+        stays = F.lit(depth >= DEPTH) & ((F.col("members") <= CROWD) | F.lit(depth == DEEPEST))
+        inside = rows.join(large, "node").select("node", "key", "n", "tokens", "tree", "members", stays.alias("stays"))
         # Pivots are the members with the least hashes (the same in every tree, so pairs repeat): a bounded list, kept
         # small before the shuffle by taking hashes below a bound that 4 * PIVOTS members pass on average.
         order = F.pmod(F.xxhash64("key", F.lit(7)), F.lit(1 << 40))
@@ -377,18 +392,19 @@ def candidates(classes: DataFrame, least: int) -> tuple[DataFrame, DataFrame | N
         none = F.array().cast(pivots.schema["pivots"].dataType)
         seen = _compare_lists(inside.join(pivots, "node", "left").withColumn("pivots", F.coalesce("pivots", none)), least)
         # What no pivot settles and what was near one, or is left at the end, will meet the node's members.
-        meets = ~F.col("settled") & (F.col("near") | F.lit(depth == DEPTH))
-        members.append(staged(seen.withColumn("meets", meets), f"members{depth}"))
-        sizes.append(large)
+        meets = ~F.col("settled") & (F.col("near") | F.col("stays"))
+        members.append(staged(seen.withColumn("meets", meets).drop("stays"), f"members{depth}"))
+        if depth == DEEPEST or depth >= DEPTH and most <= CROWD:  # nobody goes on
+            break
         chosen = F.array(*(F.pmod(F.xxhash64(F.col("node"), F.lit(j)), F.lit(HASHES)).cast("int") for j in range(BRANCHES)))
         branch = F.transform(chosen, lambda i: F.xxhash64(F.col("node"), i, F.substring("tokens", 2 * i + 1, F.lit(2))))
         rows = staged(members[-1].where("not settled and not meets").select("key", "n", "tokens", F.lit(-1).alias("tree"), F.explode(branch).alias("node")), f"branch{depth}")
     found = _compare_small(_all(small), least)
     if not members:
-        return found, None, None
-    every, size = _all(members), _all(sizes)
+        return found, None
+    every = _all(members)
     mates = every.select("key", F.explode("mates").alias("x")).select("key", "x.*")
-    return found.unionAll(mates.select(F.greatest("key", "mate").alias("a"), F.least("key", "mate").alias("b"), "equal")), every, size
+    return found.unionAll(mates.select(F.greatest("key", "mate").alias("a"), F.least("key", "mate").alias("b"), "equal")), every
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
@@ -451,7 +467,7 @@ def _full_sets(df: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, id_c
     return staged(involved.mapInArrow(full, "key long, members binary").dropDuplicates(["key"]), "sets")
 
 
-def _links_in_nodes(df: DataFrame, classes: DataFrame, members: DataFrame, sizes: DataFrame, part_of: DataFrame, k: int, least: int, id_col: str, text_col: str) -> DataFrame:
+def _links_in_nodes(df: DataFrame, classes: DataFrame, members: DataFrame, part_of: DataFrame, k: int, least: int, id_col: str, text_col: str) -> DataFrame:
     """Links between components that meet in a large node: of the members that are to meet it, and of those whose pivot was not confirmed."""
     slim = members.select("node", "key", "tree", "meets", F.when(F.col("settled"), F.col("mates")[0]["mate"]).alias("mate")).join(part_of, "key")
     apart = slim.join(part_of.select(F.col("key").alias("mate"), F.col("component").alias("of_mate")), "mate", "left").withColumn("meets", F.col("meets") | F.coalesce(F.col("of_mate") != F.col("component"), F.lit(False)))
@@ -461,11 +477,11 @@ def _links_in_nodes(df: DataFrame, classes: DataFrame, members: DataFrame, sizes
     # Only nodes where somebody meets others, of several components, matter; only there sketches are needed.
     split = apart.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("meets").alias("any")).where("any and lo <> hi").select("node")
     mixed = staged(apart.join(split, "node", "left_semi").join(classes.select("key", "n", "tokens"), "key"), "mixed")
-    flagged = staged(_with_candidates(_blocks(mixed.where("meets"), mixed, sizes, "key", "n", "tokens", "component"), least, "flagged"), "candidates")
+    flagged = staged(_with_candidates(_blocks(mixed, "meets", "true", _sides(mixed, "meets", "true"), "key", "n", "tokens", "component"), least, "flagged"), "candidates")
     sets = _full_sets(df, classes, flagged.select(F.col("key").alias("a"), F.col("key").alias("b")), k, id_col, text_col)
-    whole = mixed.join(flagged, ["node", "key"]).join(classes.select("key", "roots"), "key").join(sets.withColumnRenamed("members", "set"), "key")
-    size = flagged.groupBy("node").agg(F.count("*").alias("members"))
-    blocks = _blocks(whole.where("meets"), whole, size, "key", "n", "tokens", "component", "tree", "roots", "set")
+    some = mixed.join(flagged, ["node", "key"])
+    whole = some.join(classes.select("key", "roots"), "key").join(sets.withColumnRenamed("members", "set"), "key")
+    blocks = _blocks(whole, "meets", "true", _sides(some, "meets", "true"), "key", "n", "tokens", "component", "tree", "roots", "set")
     return _in_small_batches(_links_of_blocks(blocks, least), SET_BLOCK_ROWS, "links3")
 
 
@@ -504,12 +520,11 @@ def _bridges(df: DataFrame, classes: DataFrame, members: DataFrame, part_of: Dat
     # A pair of pivots in a node is known by a number of its own; the side of the lesser pivot meets the other.
     near = near.withColumn("left", F.col("mate") < F.col("other")).withColumn("node", F.xxhash64("node", F.least("mate", "other"), F.greatest("mate", "other"))).drop("mate", "other")
     near = staged(near, "near")
-    sizes = near.groupBy("node").agg(F.count("*").alias("members"))
-    flagged = staged(_with_candidates(_blocks(near.where("left"), near.where("not left"), sizes, "key", "n", "tokens", "component"), least, "flagged"), "candidates")
+    flagged = staged(_with_candidates(_blocks(near, "left", "not left", _sides(near, "left", "not left"), "key", "n", "tokens", "component"), least, "flagged"), "candidates")
     sets = _full_sets(df, classes, flagged.select(F.col("key").alias("a"), F.col("key").alias("b")), k, id_col, text_col)
-    whole = near.join(flagged, ["node", "key"]).join(classes.select("key", "roots"), "key").join(sets.withColumnRenamed("members", "set"), "key")
-    size = flagged.groupBy("node").agg(F.count("*").alias("members"))
-    blocks = _blocks(whole.where("left"), whole.where("not left"), size, "key", "n", "tokens", "component", "tree", "roots", "set")
+    some = near.join(flagged, ["node", "key"])
+    whole = some.join(classes.select("key", "roots"), "key").join(sets.withColumnRenamed("members", "set"), "key")
+    blocks = _blocks(whole, "left", "not left", _sides(some, "left", "not left"), "key", "n", "tokens", "component", "tree", "roots", "set")
     return _in_small_batches(_links_of_blocks(blocks, least, once=False), SET_BLOCK_ROWS, "links4")
 
 
@@ -530,7 +545,7 @@ def near_duplicates(df: DataFrame, k: int = 5, least: int = 80, id_col: str = "d
     classes = filled.groupBy("key").agg(F.min(first).alias("first"), F.first("n").alias("n"), F.first("roots").alias("roots"), F.first("tokens").alias("tokens"))
     # From here on a class is known by a number; its row is written, so the number stays.
     classes = staged(classes.withColumnRenamed("key", "digest").withColumn("key", F.monotonically_increasing_id()), "classes")
-    found, members, sizes = candidates(classes.select("key", "n", "roots", "tokens"), least)
+    found, members = candidates(classes.select("key", "n", "roots", "tokens"), least)
     pairs = staged(found.groupBy("a", "b").agg(F.first("equal").alias("equal")), "pairs")
     sets = _full_sets(df, classes, pairs, k, id_col, text_col)
 
@@ -546,7 +561,7 @@ def near_duplicates(df: DataFrame, k: int = 5, least: int = 80, id_col: str = "d
     second_pairs = staged(more.distinct().join(first_pairs, ["a", "b"], "left_anti"), "second")
     links = links.unionAll(_links(second_pairs, sets, least, "links2"))
     if members is not None:
-        links = links.unionAll(_links_in_nodes(df, classes, members, sizes, part_of, k, least, id_col, text_col))
+        links = links.unionAll(_links_in_nodes(df, classes, members, part_of, k, least, id_col, text_col))
     joined = connected(links)
     if members is not None:
         bridges = _bridges(df, classes, members, _labels(classes, joined), k, least, id_col, text_col)

@@ -80,6 +80,33 @@ def test_large_nodes(spark, monkeypatch):
     check(spark, corpus(7), 2)
 
 
+def test_crowded_nodes_go_on_down(spark, monkeypatch):
+    """Members left at DEPTH meet their whole node only where it is no crowd: texts that share a part, and some of which have a near copy."""
+    for name, value in (("SMALL", 3), ("PIVOTS", 2), ("DEPTH", 1), ("CROWD", 12)):
+        monkeypatch.setattr(chosen_path, name, value, raising=False)
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    shared = [word() for _ in range(40)]
+    texts = [" ".join(shared + [word() for _ in range(60)]) for _ in range(60)]
+    texts += [t + " more" for t in texts[::4]]
+    met, real = [], chosen_path.candidates
+
+    def candidates(classes, least):
+        out = real(classes, least)
+        met.extend(out[1].where("meets and not near").join(out[1].groupBy("node").count(), "node").select("count").collect())
+        return out
+
+    monkeypatch.setattr(chosen_path, "candidates", candidates)
+    check(spark, list(enumerate(texts)), 2)
+    assert met and max(r["count"] for r in met) <= 12
+
+
+def test_few_rows_that_meet_a_large_node_are_one_block(spark):
+    rows = spark.range(2000).selectExpr("1L node", "id key", "id < 5 meets")
+    sizes = chosen_path._sides(rows, "meets", "true")
+    assert chosen_path._blocks(rows, "meets", "true", sizes, "key").count() == 16  # 5 rows with 16 blocks; once 5 or so with 16 each
+
+
 def bridged(seed, size=70):
     """Two families at a likeness of 0.68, and for each a document that lacks half of what is its family's alone: these two are linked, and nothing else is across."""
     rng = random.Random(seed)
