@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomnote.llm.common import staged
+from loomnote.llm.common import release, staged
 from loomnote.llm.components import connected
 from loomnote.sources.staging import ready_to_cut
 
@@ -399,6 +399,7 @@ def candidates(classes: DataFrame, least: int) -> tuple[DataFrame, DataFrame | N
         chosen = F.array(*(F.pmod(F.xxhash64(F.col("node"), F.lit(j)), F.lit(HASHES)).cast("int") for j in range(BRANCHES)))
         branch = F.transform(chosen, lambda i: F.xxhash64(F.col("node"), i, F.substring("tokens", 2 * i + 1, F.lit(2))))
         rows = staged(members[-1].where("not settled and not meets").select("key", "n", "tokens", F.lit(-1).alias("tree"), F.explode(branch).alias("node")), f"branch{depth}")
+        release(rows.sparkSession)
     found = _compare_small(_all(small), least)
     if not members:
         return found, None
@@ -539,15 +540,20 @@ def near_duplicates(df: DataFrame, k: int = 5, least: int = 80, id_col: str = "d
     """
     spark = df.sparkSession
     ready_to_cut(spark)
+    # Each step's plans, and the shuffles they hold, go before the next: this is many plans, and the driver has them all.
+    release(spark)
     hashed = _in_small_batches(_hashed(df, k, id_col, text_col), TEXTS, "hashed")
     filled = hashed.where("key is not null")
     first = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key")
     classes = filled.groupBy("key").agg(F.min(first).alias("first"), F.first("n").alias("n"), F.first("roots").alias("roots"), F.first("tokens").alias("tokens"))
     # From here on a class is known by a number; its row is written, so the number stays.
     classes = staged(classes.withColumnRenamed("key", "digest").withColumn("key", F.monotonically_increasing_id()), "classes")
+    release(spark)
     found, members = candidates(classes.select("key", "n", "roots", "tokens"), least)
     pairs = staged(found.groupBy("a", "b").agg(F.first("equal").alias("equal")), "pairs")
+    release(spark)
     sets = _full_sets(df, classes, pairs, k, id_col, text_col)
+    release(spark)
 
     # Round 1: each member's most alike candidates (ranks are cut before the shuffle).
     ways = pairs.select("a", "b", "equal", F.explode(F.array("a", "b")).alias("me"))
@@ -556,13 +562,17 @@ def near_duplicates(df: DataFrame, k: int = 5, least: int = 80, id_col: str = "d
     links = _links(first_pairs, sets, least, "links1")
     # Round 2: what is still in different components.
     part_of = staged(_labels(classes, connected(links)), "parts")
+    release(spark)
     of = lambda name: part_of.select(F.col("key").alias(name), F.col("component").alias(f"of_{name}"))
     more = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").where("of_a <> of_b").select("a", "b")
     second_pairs = staged(more.distinct().join(first_pairs, ["a", "b"], "left_anti"), "second")
     links = links.unionAll(_links(second_pairs, sets, least, "links2"))
+    release(spark)
     if members is not None:
         links = links.unionAll(_links_in_nodes(df, classes, members, part_of, k, least, id_col, text_col))
+        release(spark)
     joined = connected(links)
+    release(spark)
     if members is not None:
         bridges = _bridges(df, classes, members, _labels(classes, joined), k, least, id_col, text_col)
         if bridges is not None and not bridges.isEmpty():

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +48,20 @@ def release(spark: SparkSession) -> None:
     """Let go of plans that nothing refers to any more: Spark then drops their shuffle files, on all executors."""
     gc.collect()
     spark._jvm.System.gc()
+    _trim(spark)
+
+
+def _trim(spark: SparkSession) -> None:
+    """Give freed memory of the driver, of its Python and of what its JVM has outside the heap, back to the system: the C library keeps it for each thread, and Spark has one for each exchange."""
+    with contextlib.suppress(AttributeError, OSError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    with contextlib.suppress(Py4JError):  # a JVM that has no such command
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        said = gateway.new_array(jvm.java.lang.Object, 4)  # the last two are null: no arguments
+        said[0], said[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke.invoke(server, said)
 
 
 def by_broadcast(df: DataFrame, most: int) -> DataFrame:

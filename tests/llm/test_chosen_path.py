@@ -124,6 +124,22 @@ def test_settled_members_of_two_components_meet(spark):
     check(spark, list(enumerate(t for seed in (2, 27, 41) for t in bridged(seed))), 2)
 
 
+def test_plans_and_their_shuffles_go_between_steps(spark):
+    import time
+
+    def held():
+        return spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+
+    df = spark.createDataFrame([(d, t, "clash", 1, 2) for d, t in corpus(7)[:60]], SCHEMA)
+    first = spark.sparkContext._jsc.sc().newShuffleId()
+    near_duplicates(df, 2)
+    made = spark.sparkContext._jsc.sc().newShuffleId() - first
+    end = time.time() + 20
+    while held() > made / 2 and time.time() < end:  # Spark's cleaner works behind
+        time.sleep(0.5)
+    assert made > 20 and held() <= made / 2
+
+
 def test_edges_of_tables(spark):
     rows = [(None, "a b c d"), (5, "a b c d"), (None, "x y"), (None, "x y"), (9, "q"), (9, "r s t"), (9, "q"), (7, None)]
     check(spark, rows, 2)
