@@ -17,8 +17,8 @@ from loomnote.llm.common import ascii_lower
 from loomnote.llm.grams import let
 from loomnote.llm.license_texts import SHORT_NOTICES, WHOLE_TEXTS
 
-#: A word of the scan: letters a-z, digits and all beyond ASCII. Fixed by the contract of the query.
-SCAN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words of the scan: all of ASCII but letters a-z and digits. Fixed by the contract of the query.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Phrases and their labels. Fixed by the contract of the query.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -31,9 +31,12 @@ K, NEAR, COVER, LONGEST = 3, 3, 0.8, 1.5
 
 
 def scan_words(text: Column) -> Column:
-    """The words of a text with A-Z in lower case. (ASCII texts, most often, take the fast way.)"""
+    """The words of a text with A-Z in lower case. (ASCII texts, most often, take the fast way.)
+
+    Splitting gives the runs that extracting them would give, for a tenth of the time, and empty strings at the ends.
+    """
     lowered = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(ascii_lower(text))
-    return F.regexp_extract_all(lowered, F.lit(SCAN_WORD), F.lit(0))
+    return F.array_remove(F.split(lowered, BETWEEN, -1), "")
 
 
 def gram_hashes(words: str, k: int) -> str:
