@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomnote.llm.common import discard, release, staged
+from loomnote.llm.common import discard, staged
 
 #: Counts up to this are discounted.
 KATZ = 5
@@ -147,6 +147,7 @@ def _discounted(c, d: list[float]):
 
 
 def _blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Two rows for each block, apart so that each kind can go when it is consumed: its documents and tokens, and its dictionary."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,10 +178,10 @@ def _blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             made += 1
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([first + made], pa.int64()), pa.array([[x[0].as_py() for x in texts]], pa.list_(texts[0][0].type)), pa.array([train_texts], pa.int64()),
-                    pa.array([len(stream)], pa.int64()), pa.array([_pack(local.astype("u4"), length)], pa.binary()), pa.array([_pack(words, train)], pa.binary()),
+                    pa.array([first + made] * 2, pa.int64()), pa.array([[x[0].as_py() for x in texts], None], pa.list_(texts[0][0].type)), pa.array([train_texts, None], pa.int64()),
+                    pa.array([len(stream), None], pa.int64()), pa.array([_pack(local.astype("u4"), length), _pack(words, train)], pa.binary()), pa.array(["tokens", "words"]),
                 ],
-                names=["block", "ids", "train_texts", "n_tokens", "tokens", "dictionary"],
+                names=["block", "ids", "train_texts", "n_tokens", "packed", "holds"],
             )
 
         texts, n = [], 0
@@ -198,7 +199,7 @@ def _blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     held_out = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(10)) == 0
     rows = df.select(F.col(id_col), held_out.alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"block long, ids array<{kind}>, train_texts long, n_tokens long, tokens binary, dictionary binary")
+    return rows.mapInArrow(run, f"block long, ids array<{kind}>, train_texts long, n_tokens long, packed binary, holds string")
 
 
 # -- 2: dictionaries ---------------------------------------------------------
@@ -219,7 +220,7 @@ def _dealt(blocks: DataFrame, parts: int) -> DataFrame:
                 out = [_pack(words[x:y], train[x:y]) for x, y in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(out), pa.int64()), pa.array(part[first].astype("i4")), pa.array(out, pa.binary())], names=["block", "part", "words"])
 
-    return blocks.select("block", "dictionary").mapInArrow(run, "block long, part int, words binary")
+    return blocks.select("block", "packed").mapInArrow(run, "block long, part int, words binary")
 
 
 def _merge_dictionaries(entries: DataFrame, parts: int) -> DataFrame:
@@ -265,7 +266,7 @@ def _totals(packed: DataFrame) -> list[int]:
 
 
 def _bigrams(blocks: DataFrame, parts: int, uni: Unigrams, spread: int, kind: str) -> DataFrame:
-    """Blocks (block, ids, train_texts, tokens, known) to rows of two kinds: a block's documents (part -block), and its bigrams of a part."""
+    """Blocks (block, ids, train_texts, packed, known) to rows of two kinds: a block's documents (part -block), and its bigrams of a part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -312,7 +313,7 @@ def _bigrams(blocks: DataFrame, parts: int, uni: Unigrams, spread: int, kind: st
     def batch(block, part, train_texts, bigrams, *rest) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(part, pa.int64()), pa.array(train_texts, pa.int64()), pa.array(bigrams, pa.binary()), *rest], names=names)
 
-    return blocks.select("block", "ids", "train_texts", "tokens", "known").mapInArrow(run, f"block long, part long, train_texts long, bigrams binary, ids array<{kind}>, n_tokens array<long>, n_known array<long>, base array<double>, score array<double>")
+    return blocks.select("block", "ids", "train_texts", "packed", "known").mapInArrow(run, f"block long, part long, train_texts long, bigrams binary, ids array<{kind}>, n_tokens array<long>, n_known array<long>, base array<double>, score array<double>")
 
 
 def _part_of(h, w, ch, spread: int, parts: int):
@@ -328,14 +329,14 @@ def _part_of(h, w, ch, spread: int, parts: int):
 
 
 def _pack_bigrams(key, doc, c, ch) -> bytes:
-    """Sorted bigrams with their documents: each history and each bigram is written once."""
+    """Sorted bigrams with their documents: each history, each bigram and the count of each word is written once."""
     import numpy as np
 
     new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     times = np.diff(np.r_[new, len(key)]).astype("u4")
     h, w = (key[new] >> np.uint64(32)).astype("u4"), (key[new] & np.uint64(0xFFFFFFFF)).astype("u4")
-    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    return _pack(np.diff(h[first], prepend=h.dtype.type(0)), np.diff(np.r_[first, len(h)]).astype("u4"), ch[new][first], w, c[new], times, doc)
+    first, runs = _runs(h)
+    return _pack(np.diff(h[first], prepend=h.dtype.type(0)), runs, ch[new][first], _steps(w, runs), _of_words(w, c[new]), times, doc)
 
 
 def _runs(sorted_) -> tuple:
@@ -346,6 +347,33 @@ def _runs(sorted_) -> tuple:
     return first, np.diff(np.r_[first, len(sorted_)]).astype("u4")
 
 
+def _steps(a, runs):
+    """Runs of ascending values: the first of each, then differences (mod 2^bits)."""
+    import numpy as np
+
+    starts = np.cumsum(runs, dtype="i8") - runs
+    step = np.diff(a, prepend=a.dtype.type(0))
+    step[starts] = a[starts]
+    return step
+
+
+def _walked(step, runs):
+    """The values of which ``step`` are the steps."""
+    import numpy as np
+
+    total = np.cumsum(step, dtype=step.dtype)
+    before = np.concatenate([np.zeros(1, step.dtype), total[np.cumsum(runs, dtype="i8")[:-1] - 1]])
+    total -= np.repeat(before, runs)
+    return total
+
+
+def _of_words(w, c):
+    """The counts of the distinct words in ``w``, ascending: a count depends on the word alone."""
+    import numpy as np
+
+    return c[np.unique(w, return_index=True)[1]]
+
+
 class _Part:
     """The bigrams of one part, of all blocks: distinct ones with training counts, and where each occurs.
 
@@ -358,11 +386,12 @@ class _Part:
         import numpy as np
 
         self = cls()
-        keys, counts, histories, times, docs, trained = [], [], [], [], [], []
+        keys, words, counts, histories, times, docs, trained = [], [], [], [], [], [], []
         for t, data in zip(train_texts, bigrams):
             dh, runs, ch, w, c, n, doc = _unpack(data)
-            h = np.repeat(np.cumsum(dh, dtype="u4"), runs)
+            h, w = np.repeat(np.cumsum(dh, dtype="u4"), runs), _walked(w, runs)
             keys.append(h.astype("u8") << np.uint64(32) | w)
+            words.append(np.unique(w))
             counts.append(c)
             histories.append(np.repeat(ch, runs))
             times.append(n)
@@ -371,7 +400,9 @@ class _Part:
         self.sizes = np.array([len(k) for k in keys], "u4")
         self.key, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         self.place, self.times, self.docs = place.astype("u4"), np.concatenate(times), np.concatenate(docs)
-        self.word_count, self.history_count = np.concatenate(counts)[first], np.concatenate(histories)[first]
+        self.history_count = np.concatenate(histories)[first]
+        words, first = np.unique(np.concatenate(words), return_index=True)
+        self.word_count = np.concatenate(counts)[first][np.searchsorted(words, (self.key & np.uint64(0xFFFFFFFF)).astype("u4"))]
         self.count = np.bincount(place, weights=np.concatenate(trained), minlength=len(self.key)).astype("u8")
         return self._grouped()
 
@@ -380,12 +411,11 @@ class _Part:
         import numpy as np
 
         self = cls()
-        dh, runs, ch, w, self.word_count, self.count, self.sizes, step, self.times, self.docs = _unpack(data)
+        dh, runs, ch, w, c, self.count, self.sizes, place, self.times, self.docs = _unpack(data)
+        w = _walked(w, runs)
         self.key = np.repeat(np.cumsum(dh, dtype="u4"), runs).astype("u8") << np.uint64(32) | w
-        self.history_count = np.repeat(ch, runs)
-        ends = np.cumsum(self.sizes, dtype="i8")
-        total = np.cumsum(step, dtype="i8")
-        self.place = total - np.repeat(np.r_[0, total[ends[:-1] - 1]], self.sizes)  # steps start anew in each block
+        self.word_count, self.history_count = c[np.unique(w, return_inverse=True)[1]], np.repeat(ch, runs)
+        self.place = _walked(place, self.sizes)  # steps start anew in each block
         return self._grouped()
 
     def packed(self) -> bytes:
@@ -393,10 +423,10 @@ class _Part:
 
         h, w = (self.key >> np.uint64(32)).astype("u4"), (self.key & np.uint64(0xFFFFFFFF)).astype("u4")
         first, runs = _runs(h)
-        step = np.diff(self.place.astype("i8"), prepend=0)
-        starts = np.cumsum(self.sizes, dtype="i8") - self.sizes
-        step[starts] = self.place[starts]
-        return _pack(np.diff(h[first], prepend=h.dtype.type(0)), runs, self.history_count[first], w, self.word_count, self.count, self.sizes, step.astype("u4"), self.times, self.docs)
+        return _pack(
+            np.diff(h[first], prepend=h.dtype.type(0)), runs, self.history_count[first], _steps(w, runs), _of_words(w, self.word_count),
+            self.count, self.sizes, _steps(self.place, self.sizes), self.times, self.docs,
+        )
 
     def _grouped(self) -> _Part:
         import numpy as np
@@ -532,18 +562,20 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", spread:
         return katz_order.score(df, order, id_col, text_col)
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
-    blocks = staged(_blocks(df, id_col, text_col), "blocks")
+    both = staged(_blocks(df, id_col, text_col), "blocks", "holds")
+    blocks, dictionaries = both.where("holds = 'tokens'"), both.where("holds = 'words'")
+    dictionaries.staged_at = f"{both.staged_at}/holds=words"
     texts, n_tokens = blocks.agg(F.coalesce(F.sum("train_texts"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_tokens // PART_TOKENS))
-    known = staged(_merge_dictionaries(_dealt(blocks, parts), parts), "dictionary")
-    release(spark)
+    known = staged(_merge_dictionaries(_dealt(dictionaries, parts), parts), "dictionary")
+    discard(dictionaries)
     total = _totals(known.where("block = -1"))
     uni = Unigrams(total[0], total[1], texts, [0, *total[2:]])
     spread = max(spread, uni.tokens // (4 * parts))
 
     of_block = known.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("part", "known")).alias("known"))  # a block's own dictionary
     table = staged(_counted(_bigrams(blocks.join(of_block, "block"), parts, uni, spread, kind), uni, spread, kind), "bigrams")
-    discard(blocks, known)
+    discard(both, known)
     by_part = table.where("part >= 0")
     low = by_part.agg(*(F.coalesce(F.sum(F.col("low")[r]), F.lit(0)).cast("long") for r in range(KATZ + 1))).first()
     d = discounts([0, *low])

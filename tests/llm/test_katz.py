@@ -3,6 +3,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -106,6 +107,64 @@ def test_packing_round_trip():
         assert all((x == y).all() and x.dtype == y.dtype for x, y in zip(a, katz._unpack(katz._pack(*a))))
 
 
+def bigrams_of_blocks(count_of, blocks=3, n=30_000, words=1_000):
+    """Packed bigrams of one part, and the rows they are made of: history, word, document."""
+    rng, packed, rows = np.random.default_rng(5), [], []
+    for _ in range(blocks):
+        h, w, doc = rng.integers(0, 300, n), rng.integers(0, words, n), np.sort(rng.integers(0, 900, n))
+        w[:3], h[3:5] = katz.UNKNOWN, katz.START
+        key = h.astype("u8") << np.uint64(32) | w.astype("u8")
+        order = np.argsort(key, kind="stable")
+        key, doc, w, h = key[order], doc[order].astype("u2"), w[order], h[order]
+        packed.append(katz._pack_bigrams(key, doc, count_of[np.minimum(w, words)], 7 + h.astype("u8")))
+        rows.append((key, doc))
+    return packed, rows
+
+
+def test_bigrams_round_trip_and_write_a_word_count_once():
+    rng = np.random.default_rng(2)
+    varied, flat = np.r_[rng.integers(1, 2**24, 1_000), 0].astype("u8"), np.r_[np.ones(1_000), 0].astype("u8")
+    packed, rows = bigrams_of_blocks(varied)
+    same, _ = bigrams_of_blocks(flat)
+    trained = [500] * len(packed)
+    part, plain = katz._Part.merged(trained, packed), katz._Part.merged(trained, same)
+    # 1,000 counts of 3 bytes a block, not one for each of about 28,000 bigrams
+    assert all(len(a) - len(b) < 8_000 for a, b in [*zip(packed, same), (part.packed(), plain.packed())])
+
+    want = Counter()
+    for key, doc in rows:
+        want.update(key[doc < 500].tolist())
+    assert part.key.tolist() == sorted(set(np.concatenate([k for k, _ in rows]).tolist()))
+    assert part.count.tolist() == [want[k] for k in part.key.tolist()]
+    word = part.key & np.uint64(0xFFFFFFFF)
+    assert (part.word_count == varied[np.minimum(word, 1_000)]).all() and (part.history_count == 7 + (part.key >> np.uint64(32))).all()
+    back = katz._Part.unpacked(part.packed())
+    for name in ("key", "word_count", "history_count", "count", "sizes", "place", "times", "docs", "first", "h", "group"):
+        assert (getattr(back, name) == getattr(part, name)).all(), name
+    at = done = 0
+    for (key, doc), n in zip(rows, part.sizes.tolist()):
+        times = back.times[at : at + n]
+        assert (np.repeat(back.key[back.place[at : at + n]], times) == key).all() and (back.docs[done : done + len(doc)] == doc).all()
+        at, done = at + n, done + len(doc)
+
+
+def test_dictionaries_are_gone_before_bigrams_are_written(spark, monkeypatch):
+    real, left = katz.staged, {}
+
+    def staged(df, name, *partition_by):
+        table = real(df, name, *partition_by)
+        left[name] = [n for n, at in places.items() if any(Path(at.removeprefix("file:")).rglob("*.parquet"))]
+        places[name] = table.staged_at
+        if name == "blocks":
+            places["words"] = f"{table.staged_at}/holds=words"
+        return table
+
+    places = {}
+    monkeypatch.setattr(katz, "staged", staged)
+    score(spark.createDataFrame([(*r, "", 1, 2) for r in corpus(40)], SCHEMA))
+    assert left == {"blocks": [], "dictionary": ["blocks", "words"], "bigrams": ["blocks", "dictionary"], "spread": ["bigrams"]}
+
+
 class PlainOrder(Plain):
     """The model of any order, by recursion over dictionaries."""
 
