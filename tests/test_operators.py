@@ -48,6 +48,35 @@ def test_plans_agree_and_blocks_split(spark, monkeypatch):
         assert {k: (round(s, 6), t) for k, (s, t) in got.items()} == {k: (round(s, 6), t) for k, (s, t) in plain.items()} and len(got) > 50
 
 
+def test_blocks_are_not_sent_to_each_other(spark, monkeypatch):
+    """All blocks of a notebook meet, by a shuffle of terms that doesn't grow with the number of blocks they meet."""
+    import random
+
+    from loomnote.operators import blocks
+
+    rng = random.Random(5)
+    notes = {f"n{i}": {f"é{rng.randint(1, 40)} {i % 7}": rng.randint(1, 9) for _ in range(12)} | {"über": 1} for i in range(60)} | {"copy": {"x y": 2, "x z": 2}, "copy2": {"x z": 2, "x y": 2}}
+    plain = pairs(spark, notes, 0.15, "plain")
+    monkeypatch.setattr(similarity, "BLOCK", 4)
+    for name, value in (("TILE", 100), ("COUNTED", 100), ("COLUMNS", 5)):  # many tiles and groups, few dense terms
+        monkeypatch.setattr(blocks, name, value)
+    got = pairs(spark, notes, 0.15)
+    assert {k: (round(s, 6), t) for k, (s, t) in got.items()} == {k: (round(s, 6), t) for k, (s, t) in plain.items()} and len(got) > 50
+    assert got["copy", "copy2"][1] == "x y"
+    plan = similarity.similar_pairs(*terms(spark, notes))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_terms_are_not_sent(spark):
+    """Texts go to their notes before they become terms, so counting terms needs no shuffle of them; two rows of a path are one note."""
+    from loomnote.operators.terms import note_terms
+
+    notes = spark.createDataFrame([("nb", "a", "red fox"), ("nb", "a", "red hen"), ("nb", "b", None)], "notebook_id string, relative_path string, content string")
+    assert {(r.relative_path, r.term): r.tf for r in note_terms(notes).collect()} == {("a", "red"): 2, ("a", "fox"): 1, ("a", "hen"): 1, ("a", "red fox"): 1, ("a", "red hen"): 1}
+    plan = note_terms(notes)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_cap_and_single_note(spark):
     notes = {"hub": {"shared": 5}, **{x: {"shared": 1, f"own{x}": 1} for x in "abcde"}, "z1": {"q": 1}, "z2": {"r": 1}, "z3": {"s": 1}}
     note_term, note = terms(spark, notes)
