@@ -86,6 +86,24 @@ def test_cap_and_single_note(spark):
     assert one.where("source = 'hub'").count() == 2 and one.where("target = 'hub'").count() == 2
 
 
+def test_crowded_names(spark, monkeypatch):
+    """Edges of a name that many say and many have are made in parts and are not sent once made."""
+    monkeypatch.setattr(mentions, "CROWD", 2)
+    note_term = spark.createDataFrame([("nb", f"s{i}", t, n) for i in range(7) for t, n in (("topic", 2), (f"f{i} topic", 2 + i % 2), ("f1 topic", 2) if i != 1 else ("x", 1))] + [("nb", "lone", "f2 topic", 1)], TERM)
+    paths = [f"f{i}/topic.md" for i in range(5)]
+    notes = spark.createDataFrame([("nb", p) for p in paths + paths[:1]], "notebook_id string, relative_path string")
+    made = mentions.mention_edges(note_term, notes)
+    found = {(r.source, r.target): (r.noun, r["count"]) for r in made.collect()}
+    each = {}
+    for p in paths:
+        for r in mentions.mention_edges(note_term, notes, target=p).collect():
+            each[r.source, r.target] = (r.noun, r["count"])
+    assert found == each and made.count() == len(found) == 7 * 5 + 1
+    assert found["lone", "f2/topic.md"] == ("f2 topic", 1) and found["s2", "f2/topic.md"] == ("f2 topic", 4) and found["s3", "f3/topic.md"] == ("f3 topic", 5) and found["s3", "f0/topic.md"] == ("topic", 2)
+    plan = mentions.mention_edges(note_term, notes)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Join") < plan.index("Exchange")  # from the last step to the first: nothing is sent after the join
+
+
 def test_mentions(spark):
     def edges(notes, **kw):
         return sorted((r.source, r.target, r.noun, r["count"]) for r in mentions.mention_edges(*terms(spark, notes), **kw).collect())
