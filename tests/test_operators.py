@@ -74,7 +74,7 @@ def test_terms_are_not_sent(spark):
     notes = spark.createDataFrame([("nb", "a", "red fox"), ("nb", "a", "red hen"), ("nb", "b", None)], "notebook_id string, relative_path string, content string")
     assert {(r.relative_path, r.term): r.tf for r in note_terms(notes).collect()} == {("a", "red"): 2, ("a", "fox"): 1, ("a", "hen"): 1, ("a", "red fox"): 1, ("a", "red hen"): 1}
     plan = note_terms(notes)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate") < plan.index("Exchange")  # from the last step to the first
 
 
 def test_cap_and_single_note(spark):
@@ -86,6 +86,15 @@ def test_cap_and_single_note(spark):
     assert one.where("source = 'hub'").count() == 2 and one.where("target = 'hub'").count() == 2
 
 
+def test_terms_of_a_build_stay_where_they_are(spark):
+    """What a batch asks of the kept terms, by note, needs no shuffle of them; they are stored without one as well."""
+    notes = spark.createDataFrame([("nb", f"n{i}.md", f"red fox {i}", "h", 0.0, "", "", "") for i in range(9)], "notebook_id string, relative_path string, content string, hash string, mtime_ms double, basename string, title string, path_text string")
+    kept = changes.build(notes).note_term
+    assert kept.count() == 9 * 4 and kept.where("term = 'red fox'").count() == 9  # a number of one digit is no term
+    plan = kept.groupBy("notebook_id", "relative_path").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_crowded_names(spark, monkeypatch):
     """Edges of a name that many say and many have are made in parts and are not sent once made."""
     monkeypatch.setattr(mentions, "CROWD", 2)
