@@ -237,3 +237,51 @@ def test_a_batch_makes_similar_edges_of_its_notebooks_alone(spark, monkeypatch):
     new = [r if r[:2] != ("one", "0.md") else (*r[:2], "shared words of alpha") for r in rows]
     want = changes.build(as_notes(spark.createDataFrame(new, "notebook_id string, relative_path string, content string")))
     assert sorted(map(str, after.edge.select(graph.EDGE_COLUMNS).collect())) == sorted(map(str, want.edge.select(graph.EDGE_COLUMNS).collect()))
+
+
+def test_best_of_each_note_without_all_pairs(spark, monkeypatch):
+    """The best of each note, by blocks that meet in many rounds, are those of all pairs, copies as well; the pairs themselves are not written."""
+    import random
+
+    from loomnote.operators import blocks
+
+    rng = random.Random(7)
+    notes = {f"n{i}": {f"t{int(rng.paretovariate(0.6)) % 60}": rng.randint(1, 9) for _ in range(15)} for i in range(60)}
+    notes |= {f"c{i}": {"copy": 1, "one": 2} for i in range(40)}  # 780 pairs of similarity 1
+    note_term, note = terms(spark, notes)
+    most = 3
+    want = similarity.similar_edges(similarity.similar_pairs(note_term, note, 0.15, "plain"), most)
+    monkeypatch.setattr(similarity, "BLOCK", 8)
+    written, delete = [], blocks.delete
+
+    def counted(session, path):
+        if path.rsplit("/", 1)[1].isdigit():  # what a round wrote
+            written.append(session.read.parquet(path).count())
+        delete(session, path)
+
+    monkeypatch.setattr(blocks, "delete", counted)
+    for name, value in (("TILE", 100), ("COUNTED", 100), ("COLUMNS", 5), ("SENT", 150)):
+        monkeypatch.setattr(blocks, name, value)
+    got = similarity.best_edges(note_term, note, 0.15, most)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 150
+    pairs = similarity.similar_pairs(note_term, note, 0.15, "plain").count()
+    assert pairs > 780 and len(written) > 5 and sum(written[len(written) // 2 :]) < len(notes) * most
+    assert similarity.best_edges(note_term, note, 0.15, 0).count() == 0
+
+
+def test_frequencies_are_broadcast_to_blocks(spark, monkeypatch):
+    """Blocks get their frequencies some at a time, and stay where they are."""
+    import numpy as np
+
+    from loomnote.operators import blocks
+
+    seen = []
+    write = blocks._finish
+    monkeypatch.setattr(blocks, "_finish", lambda buckets: seen.append(buckets) or write(buckets))
+    monkeypatch.setattr(blocks, "SENT", 20)
+    monkeypatch.setattr(similarity, "BLOCK", 4)
+    notes = {f"n{i}": {f"t{i % 5}": 1, "x y": 2, f"u{i % 3}": 3} for i in range(40)}
+    plain = pairs(spark, notes, 0.15, "plain")
+    got = pairs(spark, notes, 0.15)
+    assert len(seen) > 2 and {k: (round(s, 6), t) for k, (s, t) in got.items()} == {k: (round(s, 6), t) for k, (s, t) in plain.items()}
+    assert blocks._rounded(np.array([0.1234567885, 0.5, 0.9999999995, 1.0])).tolist() == [123456789, 500000000, 1000000000, 1000000000]
