@@ -25,3 +25,14 @@ def test_equals_sql(spark, name):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 def test_entry(spark):
     assert entry.entry(spark).columns == ["notebook_id", "source", "target", "type", "noun", "display_text", "count"]
+
+
+@pytest.mark.parametrize("name", ["inbound_count"])
+def test_no_pairs_are_written(spark, monkeypatch, name):
+    """The similar edges of the graph come from the best of each note, not from all pairs."""
+    from loomnote.operators import blocks, similarity
+
+    asked, made = [], blocks.blocked_pairs
+    monkeypatch.setattr(similarity, "blocked_pairs", lambda *a: asked.append(a[5:]) or made(*a))
+    assert entry.queries()[name](spark, "/root/testdata/sf0.001").count()
+    assert asked == [(10,)]
