@@ -27,7 +27,7 @@ def test_entry(spark):
     assert entry.entry(spark).columns == ["notebook_id", "source", "target", "type", "noun", "display_text", "count"]
 
 
-@pytest.mark.parametrize("name", ["inbound_count", "search_related", "graph_edges_capped"])
+@pytest.mark.parametrize("name", ["inbound_count", "search_related", "graph_edges_capped", "links_for_note"])
 def test_no_pairs_are_written(spark, monkeypatch, name):
     """The similar edges of the graph come from the best of each note, not from all pairs."""
     from loomnote.operators import blocks, similarity
