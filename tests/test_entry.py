@@ -36,3 +36,23 @@ def test_no_pairs_are_written(spark, monkeypatch, name):
     monkeypatch.setattr(similarity, "blocked_pairs", lambda *a: asked.append(a[5:]) or made(*a))
     assert entry.queries()[name](spark, "/root/testdata/sf0.001").count()
     assert asked == [(10,)]
+
+
+@pytest.mark.parametrize("name", ["inbound_count"])
+def test_texts_and_terms_are_not_sent(spark, monkeypatch, name):
+    """The similar edges of the graph are made of each note's terms where its text lies."""
+    from loomnote.operators import changes
+
+    class Seen(Exception):
+        pass
+
+    asked = []
+
+    def layer(note_term, *_):
+        asked.append((note_term.columns, "Exchange hashpartitioning" in note_term._jdf.queryExecution().executedPlan().toString()))
+        raise Seen
+
+    monkeypatch.setattr(changes, "similar_layer", layer)
+    with pytest.raises(Seen):
+        entry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert asked == [(["notebook_id", "relative_path", "terms"], False)]

@@ -285,3 +285,42 @@ def test_frequencies_are_broadcast_to_blocks(spark, monkeypatch):
     got = pairs(spark, notes, 0.15)
     assert len(seen) > 2 and {k: (round(s, 6), t) for k, (s, t) in got.items()} == {k: (round(s, 6), t) for k, (s, t) in plain.items()}
     assert blocks._rounded(np.array([0.1234567885, 0.5, 0.9999999995, 1.0])).tolist() == [123456789, 500000000, 1000000000, 1000000000]
+
+
+def test_term_lists_are_the_terms_and_are_not_sent(spark):
+    """Terms counted where blocks are packed give the edges of ``note_term``, notes that share a path too; no text or term is shuffled."""
+    from loomnote.operators import terms as extract
+
+    rows = [("nb", f"{i}.md", f"Words of alpha{i % 4} beta{i % 3} beta{i % 3} gamma, alpha{i % 4} delta{i}") for i in range(40)]
+    rows += [("nb", "3.md", "more alpha1 beta2"), ("nb", "empty.md", ""), ("nb", "none.md", None), (None, "x.md", "alpha1 beta2"), ("other", "1.md", "one two"), ("other", "2.md", "one two"), ("other", "3.md", "three")]
+    notes = spark.createDataFrame(rows, "notebook_id string, relative_path string, content string")
+    flat = lambda df: sorted(map(str, df.collect()))
+    known = "notebook_id is not null"
+    lists = extract.term_lists(notes)
+    assert flat(extract.counted(lists)) == flat(extract.note_terms(notes).where(known))
+    want = similarity.best_edges(extract.note_terms(notes), notes, 0.15, 3, "plain")
+    assert flat(similarity.best_edges(lists, notes, 0.15, 3)) == flat(want) and want.where("notebook_id = 'other'").count() == 2
+    assert flat(similarity.best_edges(lists, notes, 0.15, 3, "plain")) == flat(want)
+    alone = extract.term_lists(notes.where("content not like 'more%'"))
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
+
+
+def test_packed_blocks_go_as_they_are_finished(spark, monkeypatch):
+    """A part of the packed blocks is deleted when its blocks have their frequencies, not when all have."""
+    from loomnote.operators import blocks
+
+    seen, delete = [], blocks.delete
+
+    def watched(session, path):
+        seen.append(path.rsplit("/", 1)[1])
+        delete(session, path)
+
+    monkeypatch.setattr(blocks, "delete", watched)
+    monkeypatch.setattr(blocks, "SENT", 20)
+    monkeypatch.setattr(similarity, "BLOCK", 4)
+    note_term, note = terms(spark, {f"n{i}": {f"t{i % 5}": 1, "x y": 2, f"u{i % 3}": 3} for i in range(40)})
+    got = similarity.best_edges(note_term.repartition(4, "relative_path"), note, 0.15, 3)
+    want = similarity.best_edges(note_term, note, 0.15, 3, "plain")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    gone = [x for x in seen if x.startswith("part=")]
+    assert gone and len(gone) == len(set(gone)) and seen[: len(gone)] == gone
