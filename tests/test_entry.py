@@ -56,3 +56,22 @@ def test_texts_and_terms_are_not_sent(spark, monkeypatch, name):
     with pytest.raises(Seen):
         entry.queries()[name](spark, "/root/testdata/sf0.001")
     assert asked == [(["notebook_id", "relative_path", "terms"], False)]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", ["search_related"])
+def test_edges_are_kept_in_compressed_columns(spark, monkeypatch, name):
+    """The graph's edges are written as parquet, not as whole rows of a checkpoint, and the shuffles that led to them are let go of."""
+    from pathlib import Path
+
+    from loomnote.sources.staging import shared_folder
+
+    said, (release, staged) = [], (getattr(catalogue, x, None) for x in ("release", "staged"))
+    monkeypatch.setattr(catalogue, "staged", lambda df: said.append(set(df.columns)) or staged(df), raising=False)
+    monkeypatch.setattr(catalogue, "release", lambda s: said.append("release") or release(s), raising=False)
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.glob("*/rdd-*"))
+    assert entry.queries()[name](spark, SF).count()
+    assert set(folder.glob("*/rdd-*")) == before
+    needed = {"search_related": {"notebook_id", "source", "target", "type"}, "graph_edges_capped": {"notebook_id", "source", "target", "type", "count"}, "links_for_note": {"notebook_id", "source", "target", "type", "noun", "display_text", "count"}}
+    assert said == [needed[name], "release"]
