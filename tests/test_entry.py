@@ -59,7 +59,7 @@ def test_texts_and_terms_are_not_sent(spark, monkeypatch, name):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["search_related", "graph_edges_capped"])
+@pytest.mark.parametrize("name", ["search_related", "graph_edges_capped", "links_for_note"])
 def test_edges_are_kept_in_compressed_columns(spark, monkeypatch, name):
     """The graph's edges are written as parquet, not as whole rows of a checkpoint, and the shuffles that led to them are let go of."""
     from pathlib import Path
